@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import decontaminate, perspectives, quality_rules, sharding
+from lexmill.llm import decontaminate, perspectives, quality_ranker, quality_rules, secrets, sharding
 from lexmill.session import table
 
 
@@ -16,6 +16,18 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"), trusted)
 
 
+def id_remainder(n: int) -> Column:
+    """crc32 of the id as text, modulo ``n``: what splits training from held-out rows."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op2_quality_ranker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    ranker = quality_ranker.fit(docs, labels.where(id_remainder(4) != 2))
+    out = quality_ranker.score(docs, ranker)
+    return out.select("doc_id", (id_remainder(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op3_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perspectives.rotate_perspectives(table(spark, sf_dir, "conversations"))
 
@@ -32,11 +44,25 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secrets.scan_secrets(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda x: x["kind"].isin("assign", "access", "hex"))
+    count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    verdicts = lambda v: F.size(F.filter("spans", lambda x: x["verdict"] == v)).cast("long")
+    joined = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["s"], x["e"])), ",")
+    return out.select(
+        "doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"),
+        verdicts("live").alias("n_live"), verdicts("example").alias("n_example"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_quality_ranker": op2_quality_ranker,
     "op3_perspectives": op3_perspectives,
     "op4_prefix_sharding": op4_prefix_sharding,
     "op6_decontamination": op6_decontamination,
+    "op10_secret_ownership": op10_secret_ownership,
 }
 
 _WORDS6 = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
