@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import decontaminate, perspectives, quality_ranker, quality_rules, secrets, sharding
+from lexmill.llm import decontaminate, packing, perspectives, quality_ranker, quality_rules, secrets, sharding
 from lexmill.session import table
 
 
@@ -44,6 +44,13 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_config_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path
+    return packing.pack(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), capacity=2048, end_id=0)
+
+
 def op10_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secrets.scan_secrets(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda x: x["kind"].isin("assign", "access", "hex"))
@@ -62,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_perspectives": op3_perspectives,
     "op4_prefix_sharding": op4_prefix_sharding,
     "op6_decontamination": op6_decontamination,
+    "op7_config_packing": op7_config_packing,
     "op10_secret_ownership": op10_secret_ownership,
 }
 
