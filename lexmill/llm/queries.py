@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import decontaminate, packing, perspectives, quality_ranker, quality_rules, secrets, sharding
+from lexmill.llm import decontaminate, near_dups, packing, perspectives, quality_ranker, quality_rules, secrets, sharding
 from lexmill.session import table
 
 
@@ -37,6 +37,10 @@ def op4_prefix_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_coordinate_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85, matches=40)
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select(
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_ranker": op2_quality_ranker,
     "op3_perspectives": op3_perspectives,
     "op4_prefix_sharding": op4_prefix_sharding,
+    "op5_coordinate_join": op5_coordinate_join,
     "op6_decontamination": op6_decontamination,
     "op7_config_packing": op7_config_packing,
     "op10_secret_ownership": op10_secret_ownership,
