@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm.text import gram_hash, positions, words
+from lexmill.plans.joins import broadcast_if_small
 
 #: Words of a repeated passage, and the base rules' limits.
 WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = 5, 10, 20
@@ -65,11 +66,11 @@ def ngram_weights(
 ) -> list[int]:
     """``SCALE * ln(p_target / p_raw)`` of every bucket, from counts over all of ``docs``.
 
-    ``trusted`` holds ids; the join's strategy is Spark's own choice from the tables' sizes.
+    ``trusted`` holds ids: broadcast up to a counted bound, else joined by a shuffle.
     """
     ids = trusted.select(F.col(id_col).alias("t_id")).where("t_id is not null").distinct().withColumn("trusted", F.lit(True))
     rows = docs.select(F.col(id_col).alias("d_id"), F.col(text_col).alias("body")).where("body is not null")
-    w = rows.join(ids, F.col("d_id") == F.col("t_id"), "left").select("trusted", words(F.col("body")).alias("w"))
+    w = rows.join(broadcast_if_small(ids), F.col("d_id") == F.col("t_id"), "left").select("trusted", words(F.col("body")).alias("w"))
     grams = F.concat(*[_buckets(F.col("w"), n, buckets) for n in range(1, max_n + 1)])
     counts = (
         w.select("trusted", F.explode(grams).alias("bucket"))
