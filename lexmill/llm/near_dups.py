@@ -136,7 +136,7 @@ def _links(body: DataFrame, classes: DataFrame, lists: DataFrame, kind: str, n:
     met = lists.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("key")
     lists = materialize(lists.join(met, "key"), "lists")
     concerned = materialize(lists.select("node").distinct().join(classes, "node").select("node", F.col("rep").alias("c_id"), "sig"), "concerned")
-    texts = body.join(concerned.select("c_id").distinct(), F.col("doc_id") == F.col("c_id"), "left_semi").select("body")
+    texts = body.join(concerned.select("c_id").distinct().hint("merge"), F.col("doc_id") == F.col("c_id"), "left_semi").select("body")
     sets = texts.mapInArrow(_sets(n), "s_node binary, s array<bigint>")
     sets = sets.join(concerned.select("node"), F.col("s_node") == F.col("node"), "left_semi").groupBy("s_node").agg(F.first("s").alias("s"))
     sets = materialize(sets.join(concerned.select("node", "sig"), F.col("s_node") == F.col("node")).select("node", "sig", "s"), "sets")
