@@ -98,3 +98,28 @@ def shingles(h: np.ndarray, before: np.ndarray, n: int) -> tuple[np.ndarray, np.
     fresh[1:] = (s[1:] != s[:-1]) | (row[1:] != row[:-1])
     s, row = s[fresh], row[fresh]
     return s, np.searchsorted(row, np.arange(len(count) + 1))
+
+
+def squeeze(a: np.ndarray) -> bytes:
+    """An integer array as compressed byte planes."""
+    import zstandard
+
+    width = a.dtype.itemsize
+    return zstandard.compress(np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(-1, width).T).tobytes(), 1)
+
+
+def unsqueeze(data: bytes, dtype: type) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8)
+    width = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(planes.reshape(width, -1).T).view(dtype).ravel()
+
+
+def deltas(keys: np.ndarray) -> bytes:
+    """Sorted unsigned keys as squeezed differences."""
+    return squeeze(np.diff(keys, prepend=U(0)))
+
+
+def undelta(data: bytes) -> np.ndarray:
+    return np.cumsum(unsqueeze(data, np.uint64), dtype=np.uint64)

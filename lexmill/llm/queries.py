@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import decontaminate, near_dups, packing, perspectives, quality_ranker, quality_rules, secrets, sharding
+from lexmill.llm import decontaminate, lm_score, near_dups, packing, perspectives, quality_ranker, quality_rules, secrets, sharding
 from lexmill.session import table
 
 
@@ -55,6 +55,11 @@ def op7_config_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), capacity=2048, end_id=0)
 
 
+def op8_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lm_score.score_texts(table(spark, sf_dir, "documents"), id_remainder(7) != 2)
+    return out.select("doc_id", (id_remainder(7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secrets.scan_secrets(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda x: x["kind"].isin("assign", "access", "hex"))
@@ -75,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_coordinate_join": op5_coordinate_join,
     "op6_decontamination": op6_decontamination,
     "op7_config_packing": op7_config_packing,
+    "op8_backoff_automaton": op8_backoff_automaton,
     "op10_secret_ownership": op10_secret_ownership,
 }
 
