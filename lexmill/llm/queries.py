@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import decontaminate, lm_score, near_dups, packing, perspectives, quality_ranker, quality_rules, secrets, sharding
+from lexmill.llm import decontaminate, lm_score, near_dups, packing, perspectives, quality_ranker, quality_rules, secrets, sharding, substring_dedup
 from lexmill.session import table
 
 
@@ -60,6 +60,11 @@ def op8_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (id_remainder(7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op9_bucket_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.repeated_substrings(table(spark, sf_dir, "documents"), length=50)
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op10_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secrets.scan_secrets(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda x: x["kind"].isin("assign", "access", "hex"))
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_decontamination": op6_decontamination,
     "op7_config_packing": op7_config_packing,
     "op8_backoff_automaton": op8_backoff_automaton,
+    "op9_bucket_refinement": op9_bucket_refinement,
     "op10_secret_ownership": op10_secret_ownership,
 }
 
