@@ -13,6 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[tuple[SparkSession, str]] = []
+_tables: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,6 +34,15 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_bucketed(df: DataFrame, column: str, buckets: int, label: str = "table") -> DataFrame:
+    """Write ``df`` once as a table of the warehouse, bucketed by ``column``: later joins and co-groups on it don't shuffle it."""
+    spark = df.sparkSession
+    name = f"lexmill_{label}_{uuid.uuid4().hex}"
+    df.write.format("parquet").bucketBy(buckets, column).saveAsTable(name)
+    _tables.append((spark, name))
+    return spark.table(name)
+
+
 def release() -> None:
     """Delete the tables written so far; only call it when no result that reads them is pending."""
     while _written:
@@ -43,6 +53,12 @@ def release() -> None:
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
         except Exception:  # noqa: BLE001  the session has ended; the shared folder's owner clears it
             continue
+    while _tables:
+        spark, name = _tables.pop()
+        try:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        except Exception:  # noqa: BLE001
+            continue
 
 
 atexit.register(release)
