@@ -5,7 +5,8 @@ a corpus would shuffle many times its size, so suffixes are sampled first, witho
 ``length``-byte window the one with the least hash is its anchor. The choice depends on the window's bytes alone, so equal
 windows have the same anchor at the same place, and only the surroundings of anchors that several documents share need sorting.
 
-1. One scan turns texts into blocks (some MB; one row each, written once).
+1. One scan turns texts into blocks (some MB; one row each, written once as a bucketed table, so that the co-groups below
+   don't shuffle it).
 2. Blocks send their sorted distinct anchor hashes in slices by hash range, and the digests of their texts with least ids; a
    range answers which anchors other blocks share, in the block's order, and the least id of every text. A text that a smaller id
    has as well is covered whole and takes no further part.
@@ -32,45 +33,57 @@ from pyspark.sql import functions as F
 
 from lexmill.llm import batches
 from lexmill.llm.batches import U, chunks, deltas, mix, powers, squeeze, undelta, unsqueeze
-from lexmill.plans.scratch import materialize
+from lexmill.plans.scratch import materialize, materialize_bucketed
 
 Q = 16
-BLOCK = 16 << 20
+BLOCK = 4 << 20
 SEGMENT = (2 << 20) - 4096
 #: Contexts that are sorted at once.
 GROUP = 40_000
 NO_ID = np.iinfo(np.int64).max
 
-_BLOCKS = "block binary, ids binary, valid binary, sizes binary, body binary"
+_BLOCKS = "block binary, ids binary, valid binary, sizes binary, places binary, body binary"
 _SLICES = "p int, block binary, keys binary, digests binary, least binary"
 _CONTEXTS = "p int, block binary, body binary, lo binary, hi binary, least binary"
 _BACK = "block binary, kind int, p int, data binary, more binary"
 
 
-def _blocks(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import zstandard
+def _blocks(length: int):  # noqa: ANN202
+    names = ["block", "ids", "valid", "sizes", "places", "body"]
+
+    def row(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        import zstandard
+
+        ids, valid, sizes, raw = (np.concatenate(x) for x in zip(*held, strict=True))
+        places = anchors(raw, np.r_[0, np.cumsum(sizes)], length)
+        data = [
+            uuid.uuid4().bytes, squeeze(ids), squeeze(valid.astype(np.uint8)), squeeze(sizes.astype(np.uint64)),
+            squeeze(np.diff(places, prepend=0).astype(np.uint32)), zstandard.compress(raw.tobytes(), 1),
+        ]
+        return pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in data], names)
+
+    def scan(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+        for b in found:
+            ids = b.column("doc_id")
+            valid = np.asarray(ids.is_valid())
+            ids = ids.fill_null(NO_ID).to_numpy()
+            for first, end, raw, offsets in chunks(b.column("body")):
+                held.append((ids[first:end], valid[first:end], np.diff(offsets), raw))
+                size += len(raw)
+                if size >= BLOCK:
+                    yield row(held)
+                    held, size = [], 0
+            held = [(*x[:3], x[3].copy()) for x in held]  # the batch's memory goes
+        if held:
+            yield row(held)
+
+    return scan
 
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray, bytes]] = []
-    size = 0
-
-    def flush() -> pa.RecordBatch:
-        ids, valid, sizes = (np.concatenate(x) for x in list(zip(*held, strict=True))[:3])
-        body = zstandard.compress(b"".join(x[3] for x in held), 1)
-        row = [uuid.uuid4().bytes, squeeze(ids), squeeze(valid.astype(np.uint8)), squeeze(sizes.astype(np.uint64)), body]
-        return pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in row], ["block", "ids", "valid", "sizes", "body"])
-
-    for b in found:
-        ids = b.column("doc_id")
-        valid = np.asarray(ids.is_valid())
-        ids = ids.fill_null(NO_ID).to_numpy()
-        for first, end, raw, offsets in chunks(b.column("body")):
-            held.append((ids[first:end], valid[first:end], np.diff(offsets), raw.tobytes()))
-            size += len(raw)
-            if size >= BLOCK:
-                yield flush()
-                held, size = [], 0
-    if held:
-        yield flush()
+
+def _places(row: dict) -> np.ndarray:
+    return np.cumsum(unsqueeze(row["places"], np.uint32), dtype=np.int64)
 
 
 def _read(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -81,9 +94,17 @@ def _read(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return unsqueeze(row["ids"], np.int64), unsqueeze(row["valid"], np.uint8).astype(bool), np.r_[0, np.cumsum(sizes)], np.frombuffer(zstandard.decompress(row["body"]), np.uint8)
 
 
-def anchors(raw: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, 48-bit hashes) of the anchors of all windows that lie in one document, in order."""
-    at, keys = [], []
+def _keys(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """48-bit hashes of the q-grams at the places."""
+    h = np.zeros(len(at), U)
+    for k, r in enumerate(powers(batches._R, Q)):
+        h += batches._BYTE[raw[at + k]] * r
+    return mix(h) >> U(16)
+
+
+def anchors(raw: np.ndarray, offsets: np.ndarray, length: int) -> np.ndarray:
+    """Places of the anchors of all windows that lie in one document, in order."""
+    at = []
     for s in range(0, max(len(raw) - length + 1, 0), SEGMENT):
         part = raw[s : s + SEGMENT + length - 1]
         n, w = len(part), length - Q + 1
@@ -104,12 +125,8 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarr
         chosen = np.zeros(len(gram), bool)
         chosen[(least[ok] & U(0xFFFFFF)).astype(np.int64)] = True
         i = np.flatnonzero(chosen)
-        at.append(i + s), keys.append(gram[i] >> U(16))
-    if not at:
-        return np.zeros(0, np.int64), np.zeros(0, U)
-    at, keys = np.concatenate(at), np.concatenate(keys)
-    at, first = np.unique(at, return_index=True)
-    return at, keys[first]
+        at.append(i + s)
+    return np.unique(np.concatenate(at)) if at else np.zeros(0, np.int64)
 
 
 def _digests(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -143,8 +160,7 @@ def _send_anchors(parts: int, length: int):  # noqa: ANN202
         for b in found:
             for row in b.to_pylist():
                 ids, _, offsets, raw = _read(row)
-                _, keys = anchors(raw, offsets, length)
-                keys = np.unique(keys)
+                keys = np.unique(_keys(raw, _places(row)))
                 digest, least, _ = _texts(ids, raw, offsets)
                 k, d = _bounds(keys, parts, 48), _bounds(digest, parts, 64)
                 yield pa.RecordBatch.from_arrays(
@@ -192,7 +208,8 @@ class _Block:
         back = sorted((x for x in back if x["kind"] == 0), key=lambda x: x["p"])
         least = np.concatenate([unsqueeze(x["more"], np.int64) for x in back])[inverse]
         self.copy = self.valid & (least < self.ids)
-        at, keys = anchors(self.raw, self.offsets, length)
+        at = _places(row)
+        keys = _keys(self.raw, at)
         distinct, number = np.unique(keys, return_inverse=True)
         bounds = np.diff(_bounds(distinct, parts, 48))
         shared = np.concatenate([np.unpackbits(np.frombuffer(x["data"], np.uint8), count=n) for x, n in zip(back, bounds, strict=True)]).astype(bool)
@@ -369,20 +386,19 @@ def _cut(parts: int, length: int):  # noqa: ANN202
         if back:
             own[b.order] = np.concatenate([unsqueeze(x["data"], np.int64) for x in back])
             mask[b.order] = np.concatenate([unsqueeze(x["more"], np.uint64) for x in back])
-        turn = np.zeros(len(b.raw) + 1, np.int32)  # +1 where a covered range starts, -1 where it ends
+        starts, ends = [], []  # of covered ranges
         whole = (own[b.context] < b.ids[b.doc]) & (b.hi - b.lo >= length)
-        np.add.at(turn, (b.start + b.lo)[whole], 1)
-        np.add.at(turn, (b.start + b.hi)[whole], -1)
-        rest = ~whole & (mask[b.context] > 0)
+        starts.append((b.start + b.lo)[whole]), ends.append((b.start + b.hi)[whole])
+        rest = np.flatnonzero(~whole & (mask[b.context] > 0))
+        bits, at = mask[b.context[rest]], b.start[rest]
         for o in range(b.width - length + 1):
-            i = rest & ((mask[b.context] >> U(o)) & U(1)).astype(bool)
-            np.add.at(turn, b.start[i] + o, 1)
-            np.add.at(turn, b.start[i] + o + length, -1)
+            i = at[((bits >> U(o)) & U(1)).astype(bool)] + o
+            starts.append(i), ends.append(i + length)
         size = np.diff(b.offsets)
         i = b.copy & (size >= length)
-        np.add.at(turn, b.offsets[:-1][i], 1)
-        np.add.at(turn, b.offsets[1:][i], -1)
-        gone = np.cumsum(turn[:-1]) > 0
+        starts.append(b.offsets[:-1][i]), ends.append(b.offsets[1:][i])
+        n = len(b.raw) + 1
+        gone = np.cumsum(np.bincount(np.concatenate(starts), minlength=n) - np.bincount(np.concatenate(ends), minlength=n))[:-1] > 0
         kept, sha, spans = ~gone, [], []
         before = np.r_[0, np.cumsum(gone)]
         for s, e in zip(b.offsets[:-1], b.offsets[1:], strict=True):
@@ -410,7 +426,7 @@ def repeated_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     spark = docs.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("body"))
-    blocks = materialize(rows.mapInArrow(_blocks, _BLOCKS), "blocks")
+    blocks = materialize_bucketed(rows.mapInArrow(_blocks(length), _BLOCKS), "block", parts, "blocks")
     sent = blocks.mapInArrow(_send_anchors(parts, length), _SLICES)
     shared = materialize(sent.groupBy("p").applyInArrow(_join_anchors, _BACK), "anchors")
     by_block = blocks.groupBy("block")
