@@ -11,8 +11,8 @@
 3. Retained pairs are confirmed on the full sets, re-read for the classes concerned alone.
 4. No list's pairs are emitted wholesale. Each round tests the members of a list against one member (drawn by hash, anew each
    round), links are contracted to components, and only pairs across components are left. When those are few, or a round
-   finds nothing new, all of them are tested: every pair that prefix and lengths allow is then tested or already
-   connected, so no link between different texts is lost.
+   finds little new, all of them are tested, each in its first common list: every pair that prefix and lengths allow is then
+   tested or already connected, so no link between different texts is lost.
 """
 
 from __future__ import annotations
@@ -112,9 +112,10 @@ def near_duplicates(
     posts = classes.select("node", "n", F.posexplode("sig").alias("k", "v")).select("node", "n", key.alias("key"))
     shared = posts.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     held = posts.join(shared, "key").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("p"))  # at most one a coordinate
-    prefix = held.where(F.size("p") >= matches).select("node", "n", F.explode(F.slice("p", F.lit(1), F.size("p") - (matches - 1))).alias("p"))
-    lists = materialize(prefix.select("p.key", "node", "n"), "lists")
-    if lists.isEmpty():
+    prefix = F.transform(F.slice("p", F.lit(1), F.size("p") - (matches - 1)), lambda x: x["key"])
+    prefixes = materialize(held.where(F.size("p") >= matches).select("node", "n", prefix.alias("prefix")), "prefixes")
+    lists = prefixes.select(F.explode("prefix").alias("key"), "node", "n", "prefix")
+    if prefixes.isEmpty():
         links = None
     else:
         links = _links(body, classes, lists, kind, shingle, percent, matches, rounds)
@@ -143,19 +144,17 @@ def _links(body: DataFrame, classes: DataFrame, lists: DataFrame, kind: str, n:
     side = lambda x: sets.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("s").alias(f"s_{x}"))
     sigs = lambda x: concerned.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}"))
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        agree = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda x: x))
-        retained = pairs.join(sigs("a"), "a").join(sigs("b"), "b").where(agree >= matches).select("a", "b")
+    agree = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda x: x)) >= matches
+
+    def confirmed(retained: DataFrame) -> DataFrame:
         common = F.size(F.array_intersect("s_a", "s_b"))
         union = F.size("s_a") + F.size("s_b") - F.col("common")
         full = retained.join(side("a"), "a").join(side("b"), "b").select("a", "b", common.alias("common"), "s_a", "s_b")
         return full.where(100 * F.col("common") >= percent * union).select("a", "b")
 
     links: DataFrame | None = None
-    tested: DataFrame | None = None
-    turn = -1
+    turn, productive = 0, True
     while True:
-        turn += 1
         if links is None:
             now = lists.withColumn("comp", F.col("node"))
         else:
@@ -166,25 +165,23 @@ def _links(body: DataFrame, classes: DataFrame, lists: DataFrame, kind: str, n:
         across, members = sizes.agg(F.coalesce(F.sum((F.col("l") * F.col("l") - F.col("q")) / 2), F.lit(0.0)), F.coalesce(F.sum("l"), F.lit(0.0))).first()
         if not across:
             break
-        last = across <= 2 * members or turn >= rounds
+        last = across <= 2 * members or turn >= rounds or not productive
         if last:
-            other = now.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"))
-            pairs = now.withColumnRenamed("node", "a").join(other, "key").where("a < b and comp != comp_b")
+            # Each pair is met in its first common list alone, and its collisions are completed inside the join.
+            of = lambda x: now.join(sigs(x).withColumnRenamed(x, "node"), "node").select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "comp", "prefix")], f"sig_{x}")
+            pairs = of("a").join(of("b"), "key").where(F.col("node_a") < F.col("node_b")).where(F.col("comp_a") != F.col("comp_b")).where(_near(F.col("n_a"), F.col("n_b"), percent))
+            pairs = pairs.where(F.array_min(F.array_intersect("prefix_a", "prefix_b")) == F.col("key")).where(agree)
+            pairs = pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
         else:
             hub = now.groupBy("key").agg(F.min_by(F.struct("node", "n", "comp"), F.xxhash64("node", F.lit(turn))).alias("h"))
-            pairs = now.join(hub, "key").where("comp != h.comp").select(
-                F.least("node", "h.node").alias("a"), F.greatest("node", "h.node").alias("b"), "n", F.col("h.n").alias("n_b")
-            )
-        pairs = pairs.where(_near(F.col("n"), F.col("n_b"), percent)).select("a", "b").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+            pairs = now.join(hub, "key").where("comp != h.comp").where(_near(F.col("n"), F.col("h.n"), percent))
+            pairs = pairs.select(F.least("node", "h.node").alias("a"), F.greatest("node", "h.node").alias("b")).distinct()
+            pairs = pairs.join(sigs("a"), "a").join(sigs("b"), "b").where(agree).select("a", "b")
         pairs = materialize(pairs, "pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
         new = materialize(confirmed(pairs), "links")
-        found = not new.isEmpty()
         links = new if links is None else links.unionByName(new)
         if last:
             break
-        if not found:
-            rounds = turn + 1  # nothing contracts any more: test the rest
+        turn += 1
+        productive = 10 * new.count() >= pairs.count()  # else what is left is near, but not linked: test it once and for all
     return links if links is not None else lists.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
