@@ -18,6 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import _parse_datatype_string
 
 from lexmill.functions.ids import DASHES, canonical_id, display, validate_path
+from lexmill.session import ship
 
 MAX_RANGE = 26
 
@@ -229,6 +230,7 @@ def parse_citation(text: str) -> Citation:
 
 def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per citation: doc_id and the citation's fields. Texts without a digit have none and never leave the JVM."""
+    ship(docs.sparkSession)
     kind, arrow = dict(docs.dtypes)[id_col], to_arrow_type(_parse_datatype_string(SCHEMA))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

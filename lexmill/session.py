@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,6 +15,9 @@ TABLES = (
 )
 
 
+_shipped: dict[int, bool] = {}
+
+
 def local_session(cpus: int | None = None, app: str = "lexmill") -> SparkSession:
     """A session for tests and benchmarks on one machine; a cluster brings its own."""
     cpus = cpus or int(os.environ.get("BENCH_CPUS", "8"))
@@ -29,6 +35,19 @@ def local_session(cpus: int | None = None, app: str = "lexmill") -> SparkSession
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors' Python workers, once a session, unless PYTHONPATH already leads them to it."""
+    root = Path(__file__).resolve().parent.parent
+    if any(Path(p).resolve() == root for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p) or _shipped.get(id(spark.sparkContext)):
+        return
+    target = Path(tempfile.mkdtemp(prefix="lexmill-")) / "lexmill_package.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in (root / "lexmill").rglob("*.py"):
+            z.write(f, f.relative_to(root))
+    spark.sparkContext.addPyFile(str(target))
+    _shipped[id(spark.sparkContext)] = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables, read lazily with column pruning left to Catalyst."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
