@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from lexmill.llm import batches
 from lexmill.llm.batches import U, chunks, deltas, mix, powers, squeeze, undelta, unsqueeze
 from lexmill.plans.scratch import materialize, materialize_bucketed
+from lexmill.session import ship
 
 Q = 16
 BLOCK = 4 << 20
@@ -424,6 +425,7 @@ def repeated_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     if not 32 <= length <= 64:
         raise ValueError("length must be between 32 and 64 bytes")
     spark = docs.sparkSession
+    ship(spark)
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("body"))
     blocks = materialize_bucketed(rows.mapInArrow(_blocks(length), _BLOCKS), "block", parts, "blocks")
