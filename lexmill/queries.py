@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import cite, ids
 from lexmill.operators import fuzzy, graph, lookup, models, search, temporal, versions
-from lexmill.plans import verify
+from lexmill.plans import quotes, verify
 from lexmill.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -610,3 +610,19 @@ def scope_inheritance(spark: SparkSession, sf: str) -> DataFrame:
     nodes = table(spark, sf, "part").where("p_partkey <= 30").select(F.concat(F.lit("/us/usc/t26/s"), "p_partkey", F.lit("/a/1")).alias("id"))
     stated = inline(spark, "sid string, scope string", ("/us/usc/t26/s1", "title"), ("/us/usc/t26/s2", "part"), ("/us/usc/t26/s2/a", "chapter"), ("/us/usc/t26/s7/a/1", "section"))
     return lookup.nearest_ancestor_value(nodes, "id", stated, "sid", "scope")
+
+
+@query(
+    """SELECT o_orderkey AS doc_id, CASE o_orderkey % 4 WHEN 0 THEN 'quote_exact' WHEN 1 THEN 'wrong_pinpoint' WHEN 2 THEN 'misattributed' ELSE 'quote_not_found' END AS status
+    FROM orders WHERE o_orderkey < 2000"""
+)
+def quotes_e2e(spark: SparkSession, sf: str) -> DataFrame:
+    said = F.array(*map(F.lit, ("all the ordinary and necessary expenses paid", "salaries shall not exceed amounts prescribed", "all income from whatever source derived", "purple elephants dance under seven moons")))
+    docs = table(spark, sf, "orders").where("o_orderkey < 2000").select(
+        F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("It says “"), F.get(said, (F.col("o_orderkey") % 4).cast("int")), F.lit("” in § 162(a).")).alias("text")
+    )
+    provisions = inline(
+        spark, "id string, text string", ("/us/usc/t26/s162/a", "There shall be allowed as a deduction all the ordinary and necessary expenses paid."),
+        ("/us/usc/t26/s162/b", "Reasonable salaries shall not exceed amounts prescribed by the rules of this title."), ("/us/usc/t26/s61", "Gross income means all income from whatever source derived, of any kind."),
+    )
+    return quotes.check_quotes(docs, provisions).select("doc_id", "status")
