@@ -48,9 +48,10 @@ def test_query_matches_sql(spark, con, name):
     assert a == b
 
 
-def test_components_of_chains_stars_and_loops(spark):
+@pytest.mark.parametrize("one_task", [0, 10_000])
+def test_components_of_chains_stars_and_loops(spark, one_task):
     edges = [(i, i + 1) for i in range(30)] + [(100, i) for i in range(101, 140)] + [(200, 200), (300, 301), (301, 300), (None, 5)]
-    out = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    out = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long"), one_task=one_task).collect()}
     assert out == {**{i: 0 for i in range(31)}, **{i: 100 for i in range(100, 140)}, 200: 200, 300: 300, 301: 300}
 
 
