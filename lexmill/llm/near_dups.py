@@ -11,13 +11,13 @@
 3. Retained pairs are confirmed on the full sets, re-read for the classes concerned alone.
 4. No list's pairs are emitted wholesale. Each round tests the members of a list against one member (drawn by hash, anew each
    round), links are contracted to components, and only pairs across components are left. When those are few, or a round
-   finds little new, all of them are tested, each in its first common list: every pair that prefix and lengths allow is then
-   tested or already connected, so no link between different texts is lost.
+   finds little new, all of them are tested at once, as differences from one member of their list: every pair that prefix and
+   lengths allow is then tested or already connected, so no link between different texts is lost.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -115,9 +115,8 @@ def near_duplicates(
     shared = posts.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     held = posts.join(shared, "key").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("p"))  # at most one a coordinate
     prefix = F.transform(F.slice("p", F.lit(1), F.size("p") - (matches - 1)), lambda x: x["key"])
-    prefixes = materialize(held.where(F.size("p") >= matches).select("node", "n", prefix.alias("prefix")), "prefixes")
-    lists = prefixes.select(F.explode("prefix").alias("key"), "node", "n", "prefix")
-    if prefixes.isEmpty():
+    lists = materialize(held.where(F.size("p") >= matches).select(F.explode(prefix).alias("key"), "node", "n"), "lists")
+    if lists.isEmpty():
         links = None
     else:
         links = _links(body, classes, lists, kind, shingle, percent, matches, rounds)
@@ -134,6 +133,27 @@ def near_duplicates(
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
+def _across(now: DataFrame, side: Callable[[str], DataFrame], percent: int, turn: int) -> DataFrame:
+    """Every link (a, b) between members of one list in different components, tested on full sets without their sets side by side.
+
+    Each set is written as its difference from one member of the list: near texts differ little from it. Of two sets with
+    differences D and E the symmetric difference has |D| + |E| - 2 |D and E| elements, so the join's own condition is the exact test
+    and only links leave it; the sizes alone bound it from below.
+    """
+    hub = now.groupBy("key").agg(F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("hub"))
+    rows = now.join(hub, "key").select("key", "node", "n", "comp", "hub")
+    apart = rows.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct().join(side("a"), "a").join(side("b"), "b")
+    apart = apart.select(F.col("a").alias("node"), F.col("b").alias("hub"), F.array_union(F.array_except("s_a", "s_b"), F.array_except("s_b", "s_a")).alias("d"))
+    rows = rows.join(materialize(apart, "differences"), ["node", "hub"]).withColumn("m", F.size("d"))
+    of = lambda x: rows.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "comp", "d", "m")])
+    total = F.col("n_a") + F.col("n_b")
+    # |A and B| = (|A| + |B| - |A xor B|) / 2, and 100 |A and B| >= percent |A or B|, both doubled
+    linked = lambda xor: 100 * (total - xor) >= percent * (total + xor)
+    pairs = of("a").join(of("b"), "key").where(F.col("node_a") < F.col("node_b")).where(F.col("comp_a") != F.col("comp_b")).where(_near(F.col("n_a"), F.col("n_b"), percent))
+    pairs = pairs.where(linked(F.abs(F.col("m_a") - F.col("m_b")))).where(linked(F.col("m_a") + F.col("m_b") - 2 * F.size(F.array_intersect("d_a", "d_b"))))
+    return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+
+
 def _links(body: DataFrame, classes: DataFrame, lists: DataFrame, kind: str, n: int, percent: int, matches: int, rounds: int) -> DataFrame:
     """Confirmed links (a, b) between classes: enough of them to connect all that are linked."""
     met = lists.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("key")
@@ -169,21 +189,16 @@ def _links(body: DataFrame, classes: DataFrame, lists: DataFrame, kind: str, n:
             break
         last = across <= 2 * members or turn >= rounds or not productive
         if last:
-            # Each pair is met in its first common list alone, and its collisions are completed inside the join.
-            of = lambda x: now.join(sigs(x).withColumnRenamed(x, "node"), "node").select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "comp", "prefix")], f"sig_{x}")
-            pairs = of("a").join(of("b"), "key").where(F.col("node_a") < F.col("node_b")).where(F.col("comp_a") != F.col("comp_b")).where(_near(F.col("n_a"), F.col("n_b"), percent))
-            pairs = pairs.where(F.array_min(F.array_intersect("prefix_a", "prefix_b")) == F.col("key")).where(agree)
-            pairs = pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-        else:
-            hub = now.groupBy("key").agg(F.min_by(F.struct("node", "n", "comp"), F.xxhash64("node", F.lit(turn))).alias("h"))
-            pairs = now.join(hub, "key").where("comp != h.comp").where(_near(F.col("n"), F.col("h.n"), percent))
-            pairs = pairs.select(F.least("node", "h.node").alias("a"), F.greatest("node", "h.node").alias("b")).distinct()
-            pairs = pairs.join(sigs("a"), "a").join(sigs("b"), "b").where(agree).select("a", "b")
-        pairs = materialize(pairs, "pairs")
+            rest = _across(now, side, percent, turn)
+            rest = materialize(rest.join(sigs("a"), "a").join(sigs("b"), "b").where(agree).select("a", "b"), "links")
+            links = rest if links is None else links.unionByName(rest)
+            break
+        hub = now.groupBy("key").agg(F.min_by(F.struct("node", "n", "comp"), F.xxhash64("node", F.lit(turn))).alias("h"))
+        pairs = now.join(hub, "key").where("comp != h.comp").where(_near(F.col("n"), F.col("h.n"), percent))
+        pairs = pairs.select(F.least("node", "h.node").alias("a"), F.greatest("node", "h.node").alias("b")).distinct()
+        pairs = materialize(pairs.join(sigs("a"), "a").join(sigs("b"), "b").where(agree).select("a", "b"), "pairs")
         new = materialize(confirmed(pairs), "links")
         links = new if links is None else links.unionByName(new)
-        if last:
-            break
         turn += 1
         productive = 10 * new.count() >= pairs.count()  # else what is left is near, but not linked: test it once and for all
     return links if links is not None else lists.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
