@@ -35,19 +35,41 @@ def owner_shift(register: DataFrame, entity: str, day: str, holder: str, percent
     return out.select(F.col("e").alias(entity), F.col("t").alias("when"), "total_increase", (F.col("total_increase") > CHANGE).alias("changed"))
 
 
-def limitation_schedule(scenarios: DataFrame, id_col: str, annual: str, nol: str, incomes: str) -> DataFrame:
+def limitations(scenarios: DataFrame, rates: DataFrame) -> DataFrame:
+    """Scenarios (id, change_date, value, rbig, continuity, short_days) with annual and first: the yearly ceiling and a short first year's.
+
+    The rate is that of the exact month of the change; without one both are null, never a neighbour's. Built-in gains are added;
+    without continuity of business the ceiling is 0. A short year counts days / 365. ``rates``: month, rate (per cent).
+    """
+    money = lambda c: F.round(c, 2).cast("decimal(20,2)")
+    r = rates.select(F.col("month").alias("r_month"), F.col("rate").alias("r_rate"))
+    rows = scenarios.join(r, F.trunc("change_date", "month") == F.col("r_month"), "left")
+    base = money(F.col("value") * F.col("r_rate") / 100) + F.coalesce(F.col("rbig"), F.lit(0).cast("decimal(20,2)"))
+    annual = F.when(F.col("r_rate").isNotNull(), F.when(F.coalesce("continuity", F.lit(True)), base).otherwise(F.lit(0)))
+    rows = rows.withColumn("annual", annual.cast("decimal(20,2)"))
+    return rows.withColumn("first", money(F.col("annual") * F.coalesce("short_days", F.lit(365)) / 365)).drop("r_month", "r_rate")
+
+
+def carryover_checklist(provisions: DataFrame, root: str) -> DataFrame:
+    """(id, num, heading, repealed): headed children's children of a subsection, in order of number."""
+    rows = provisions.where(F.col("id").startswith(root + "/") & (F.size("path") == 2) & F.col("heading").isNotNull())
+    return rows.select("id", "num", "heading", F.lower("heading").startswith("repealed").alias("repealed")).orderBy(F.col("num").try_cast("int"), "num")
+
+
+def limitation_schedule(scenarios: DataFrame, id_col: str, annual: str, nol: str, incomes: str, first: str | None = None) -> DataFrame:
     """(id, year, available, absorbed, carry, remaining): a fold over each scenario's incomes.
 
     Each year's ceiling is the annual amount and what was carried; absorbed is the least of ceiling, income and what remains;
-    unused ceiling carries forward. The fold is one expression on the row; null incomes count as 0.
+    unused ceiling carries forward. The fold is one expression on the row; a null income is no limit.
     """
     zero = F.lit(0).cast("decimal(20,2)")
     dec = lambda c: c.cast("decimal(20,2)")
     start = F.struct(zero.alias("carry"), dec(F.col(nol)).alias("remaining"), F.array().cast("array<struct<available:decimal(20,2),absorbed:decimal(20,2),carry:decimal(20,2),remaining:decimal(20,2)>>").alias("years"))
 
     def step(a: Column, income: Column) -> Column:
-        ceiling = dec(F.col(annual) + a["carry"])
-        used = dec(F.greatest(F.least(ceiling, dec(F.coalesce(income, zero)), a["remaining"]), zero))
+        share = F.when(F.size(a["years"]) == 0, F.coalesce(F.col(first), F.col(annual))).otherwise(F.col(annual)) if first else F.col(annual)
+        ceiling = dec(share + a["carry"])
+        used = dec(F.greatest(F.least(ceiling, dec(income), a["remaining"]), zero))  # least skips nulls
         row = F.struct(ceiling.alias("available"), used.alias("absorbed"), dec(ceiling - used).alias("carry"), dec(a["remaining"] - used).alias("remaining"))
         return F.struct(row["carry"].alias("carry"), row["remaining"].alias("remaining"), F.concat(a["years"], F.array(row)).alias("years"))
 

@@ -87,6 +87,17 @@ def test_limitation_carries_unused_ceiling(spark):
     assert [float(r["absorbed"]) for r in out] == [0.0, 3880000.0] and float(out[1]["remaining"]) == 6120000.0
 
 
+def test_limitations_known_answers(spark):
+    d = decimal.Decimal
+    rows = [(1, "2024-03-10", d(50_000_000), None, True, 107), (2, "2024-04-10", d(50_000_000), None, True, None), (3, "2024-03-01", d(50_000_000), None, False, None), (4, "2024-03-01", d(50_000_000), d(500_000), True, None)]
+    df = spark.createDataFrame(rows, "id int, change_date string, value decimal(20,2), rbig decimal(20,2), continuity boolean, short_days int").withColumn("change_date", F.col("change_date").cast("date"))
+    rates = spark.createDataFrame([("2024-03-01", d("3.88"))], "month string, rate decimal(9,4)").withColumn("month", F.col("month").cast("date"))
+    out = models.limitations(df, rates)
+    assert {r["id"]: (r["annual"], r["first"]) for r in out.collect()} == {1: (d("1940000.00"), d("568712.33")), 2: (None, None), 3: (d(0), d(0)), 4: (d(2_440_000), d(2_440_000))}
+    years = models.limitation_schedule(out.where("id = 1").withColumns({"nol": F.lit(10**7), "inc": F.array(F.lit(None).cast("decimal(20,2)"), F.lit(100).cast("decimal(20,2)"))}), "id", "annual", "nol", "inc", "first")
+    assert [float(r["absorbed"]) for r in years.orderBy("year").collect()] == [568712.33, 100.0]
+
+
 def test_verification_of_a_memo(spark, tmp_path):
     prov = spark.createDataFrame(
         [("/us/usc/t26/s162", "Trade expenses", "active"), ("/us/usc/t26/s162/a", None, "active"), ("/us/usc/t26/s163", None, "repealed"), ("/us/usc/t26/s1000", None, "reserved")],
