@@ -1,21 +1,23 @@
 """Language-model scoring with a weighted backoff automaton.
 
-The model is a bigram model over words and an end mark. Its root holds the add-one unigrams; each history that makes up at
-least ``history_share`` of all training tokens (there cannot be more than 1 / history_share such words) is a state. A state
-has an arc for every bigram that occurs ``min_count`` times or more and gains over its failure path; the arc's weight is the
-absolutely discounted probability. A state's failure arc leads to the root and carries the mass its arcs leave,
-normalised over the words they don't cover, so every state's probabilities sum to one. Scoring runs once from left to right:
-the state is carried along, each token takes an arc or else fails to the root first, and logarithms are added up (the
-traversal of a block of texts is one NumPy expression, as a state is a function of the previous token).
+The model has n-grams of up to ``order`` words over words and an end mark. Its root holds the add-one unigrams; every history of up
+to ``order`` - 1 words (a text's start counts as one) is a state. A state has an arc for every n-gram that occurs ``min_count`` times or
+more and gains over its failure path; the arc's weight is the absolutely discounted probability. A state's failure arc leads to the
+history without its first word and carries the mass its arcs leave, normalised over the words they don't cover, so every state's
+probabilities sum to one. Scoring runs once from left to right: each token takes the longest history's arc or else fails to
+the next, and logarithms are added up (the traversal of a block of texts is one NumPy expression for each order).
 
-Counting and look-ups are exact over all documents and no vocabulary ever has to fit in one place:
+Counting and look-ups are exact over all documents and words, and neither the vocabulary nor the model ever has to fit in one place:
 
 1. One scan turns texts into blocks (some MB of text; one row each, written once): local word numbers and the hashes they stand for.
 2. Each block sends its sorted hashes with its training counts in slices by hash range; a range's totals go back to every
    block in the block's own order, so that only numbers travel. A slice group holds at most one entry for each word of the range
    and block: a word in every document is one entry a block.
-3. Bigrams of two history words are counted and returned in the same way.
-4. A block meets its totals in a co-group and is scored.
+3. Then, order by order, 64-bit hashes of n-grams are counted in the same way. An n-gram is sent if its history and its last words
+   occur ``min_count`` times, as it can't occur more often than they do. Of the blocks that hold an n-gram its range names one as owner.
+4. From the totals a block computes its arcs, and sends for each history the mass of those it owns; a history's failure weight
+   goes back to every block in the block's own order.
+5. A block meets all its answers in a co-group and is scored.
 """
 
 from __future__ import annotations
@@ -29,13 +31,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm.batches import U, chunks, deltas, mix, squeeze, undelta, unsqueeze, word_hashes
-from lexmill.plans.scratch import materialize
+from lexmill.plans.scratch import materialize, materialize_bucketed
 from lexmill.session import ship
 
 #: Text bytes of a block.
 BLOCK = 16 << 20
-#: Bigram keys: history * SPAN + word; both are history numbers, or END.
+#: ``Model.arcs`` takes bigrams as history * SPAN + word.
 SPAN = 1 << 20
+#: Stands for the end mark, and as a history for the start.
+END = U(0x5851F42D4C957F2D)
 
 _BLOCK_SCHEMA = "block binary, ids binary, train binary, n binary, words binary, vocab binary"
 
@@ -90,27 +94,36 @@ def _slices(keys: np.ndarray, parts: int) -> np.ndarray:
     return np.r_[0, np.searchsorted(keys, np.array([k * width for k in range(1, parts)], U)), len(keys)] if parts > 1 else np.array([0, len(keys)])
 
 
-def _unigram_slices(parts: int):  # noqa: ANN202
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for block, train, n, words, vocab in zip(*[b.column(c).to_pylist() for c in ("block", "train", "n", "words", "vocab")], strict=True):
-                keys, number = _vocab(vocab)
-                use = np.repeat(unsqueeze(train, np.uint8).astype(bool), unsqueeze(n, np.uint32))
-                count = np.bincount(unsqueeze(words, np.uint32)[use], minlength=len(keys)).astype(np.uint32)[number]
-                at = _slices(keys, parts)
-                p = np.flatnonzero(np.diff(at))
-                yield _rows(p, block, [deltas(keys[at[k] : at[k + 1]]) for k in p], [squeeze(count[at[k] : at[k + 1]]) for k in p])
+def _send(kind: int, block: bytes, keys: np.ndarray, values: np.ndarray, parts: int) -> pa.RecordBatch:
+    """A row for each hash range that the sorted keys reach; the values' last axis goes with the keys."""
+    at = _slices(keys, parts)
+    p = np.flatnonzero(np.diff(at))
+    cut = [slice(at[k], at[k + 1]) for k in p]
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([kind] * len(p), pa.int32()), pa.array(p, pa.int32()), pa.array([block] * len(p), pa.binary()),
+            pa.array([deltas(keys[i]) for i in cut], pa.binary()), pa.array([squeeze(values[..., i].ravel()) for i in cut], pa.binary()),
+        ],
+        schema=_UP_SCHEMA,
+    )
 
-    return scan
 
+_UP = "kind int, p int, block binary, keys binary, counts binary"
+_UP_SCHEMA = pa.schema([("kind", pa.int32()), ("p", pa.int32()), ("block", pa.binary()), ("keys", pa.binary()), ("counts", pa.binary())])
+_BACK = "block binary, kind int, p int, data binary"
+#: Kinds of answers: NUMBERS of the training text, 2 * order for totals, 2 * order + 1 for failure weights.
+NUMBERS = 1
 
-def _rows(p: np.ndarray, block: bytes, keys: list[bytes], values: list[bytes]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(p, pa.int32()), pa.array([block] * len(p), pa.binary()), pa.array(keys, pa.binary()), pa.array(values, pa.binary())], ["p", "block", "keys", "counts"]
-    )
 
+def _unigrams(parts: int):  # noqa: ANN202
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in b.to_pylist():
+                train, n, words, keys, number = _read(row)
+                count = np.bincount(words[np.repeat(train, n)], minlength=len(keys)).astype(np.uint32)[number]
+                yield _send(2, row["block"], keys, count, parts)
 
-_BACK = "block binary, kind int, p int, data binary"
+    return scan
 
 
 def _answer(blocks: list[bytes | None], kinds: list[int], p: int, data: list[bytes]) -> pa.Table:
@@ -118,84 +131,58 @@ def _answer(blocks: list[bytes | None], kinds: list[int], p: int, data: list[byt
     return pa.table([pa.array(blocks, pa.binary()), pa.array(kinds, pa.int32()), pa.array([p] * n, pa.int32()), pa.array(data, pa.binary())], names=["block", "kind", "p", "data"])
 
 
-def _sum_by_key(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    whole, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(inverse, np.concatenate(counts), len(whole)).astype(np.int64)
-    return whole, total, np.split(inverse, np.cumsum([len(k) for k in keys])[:-1])
+def _by_key(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """(where each distinct key comes first, each entry's distinct key, bounds of the blocks' entries)."""
+    keys = [undelta(x) for x in table.column("keys").to_pylist()]
+    _, first, inverse = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+    return first, inverse, np.cumsum([len(k) for k in keys])[:-1].tolist()
 
 
-def _unigram_totals(share: float):  # noqa: ANN202
+def _reduce(min_count: int):  # noqa: ANN202
     def reduce(table: pa.Table) -> pa.Table:
-        """Kind 0: totals in the block's order; 1: tokens and distinct ones; 2: words that may be frequent, and their counts."""
-        p = table.column("p")[0].as_py()
+        """In each block's order: totals of words; twice the totals of n-grams (0 below min_count), plus 1 for the owner; failure weights."""
+        kind, p = table.column("kind")[0].as_py(), table.column("p")[0].as_py()
         blocks = table.column("block").to_pylist()
-        keys, total, inverse = _sum_by_key([undelta(x) for x in table.column("keys").to_pylist()], [unsqueeze(x, np.uint32) for x in table.column("counts").to_pylist()])
-        numbers = np.array([total.sum(), (total > 0).sum()], np.int64)
-        top = np.flatnonzero((total > 0) & (total >= share * total.sum()))  # at most 1 / share words
-        data = [squeeze(total[i].astype(np.uint64)) for i in inverse] + [numbers.tobytes(), np.stack([keys[top].view(np.int64), total[top]]).tobytes()]
-        return _answer([*blocks, None, None], [0] * len(blocks) + [1, 2], p, data)
+        first, inverse, cuts = _by_key(table)
+        kinds = [kind] * len(blocks)
+        if kind % 2:
+            mass = np.concatenate([unsqueeze(x, np.float64).reshape(2, -1) for x in table.column("counts").to_pylist()], axis=1)
+            arcs, below = (np.bincount(inverse, m, len(first)) for m in mass)
+            alpha = np.where(arcs > 0, np.log10(np.maximum(1 - arcs, 1e-12) / np.maximum(1 - below, 1e-12)), 0.0).astype(np.float32)
+            return _answer(blocks, kinds, p, [squeeze(alpha[i]) for i in np.split(inverse, cuts)])
+        count = np.concatenate([unsqueeze(x, np.uint32) for x in table.column("counts").to_pylist()])
+        total = np.bincount(inverse, count, len(first)).astype(np.uint64)
+        if kind == 2:
+            numbers = np.array([total.sum(), (total > 0).sum()], np.int64)
+            return _answer([*blocks, None], [*kinds, NUMBERS], p, [*(squeeze(total[i]) for i in np.split(inverse, cuts)), numbers.tobytes()])
+        total[total < min_count] = 0
+        out = 2 * total[inverse]
+        out[first] += (total > 0).astype(np.uint64)
+        return _answer(blocks, kinds, p, [squeeze(x) for x in np.split(out, cuts)])
 
     return reduce
 
 
-def _frequent(totals: DataFrame, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and counts of the words with at least ``least`` training tokens."""
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for data in b.column("data").to_pylist():
-                h, c = np.frombuffer(data, np.int64).reshape(2, -1)
-                yield pa.RecordBatch.from_arrays([pa.array(h[c >= least]), pa.array(c[c >= least])], ["h", "c"])
-
-    found = totals.where("kind = 2").select("data").mapInArrow(scan, "h long, c long").toPandas()  # at most 1 / history_share rows
-    return found["h"].to_numpy(np.int64).view(np.uint64), found["c"].to_numpy(np.int64)
-
-
 class Model:
-    """What every task needs: numbers bounded by 1 / history_share, whatever the corpus."""
+    """What every task needs: some numbers, whatever the corpus. Words and their counts are only given for ``arcs``."""
 
     def __init__(self, hashes: np.ndarray, counts: np.ndarray, train_docs: int, tokens: int, distinct: int, discount: float, min_count: int) -> None:
         order = np.argsort(hashes)
-        self.hashes = hashes[order]
-        self.end = len(hashes)
         self.counts = np.r_[counts[order], train_docs].astype(np.float64)  # the last is the end mark, and as a history the start
-        self.tokens, self.distinct, self.discount, self.min_count = tokens, distinct, discount, min_count
-        self.alpha = np.zeros(self.end + 1)
+        self.train_docs, self.tokens, self.distinct, self.discount, self.min_count = train_docs, tokens, distinct, discount, min_count
+        self.least = min_count  # an n-gram can't occur more often than its history
 
     def log_base(self, count: np.ndarray) -> np.ndarray:
         return np.log10((count + 1.0) / (self.tokens + self.distinct + 1.0))
 
-    def number(self, hashes: np.ndarray) -> np.ndarray:
-        """History number of every hash, -1 for other words."""
-        if not len(self.hashes):
-            return np.full(len(hashes), -1)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, at, -1)
+    def weights(self, count: np.ndarray, history: np.ndarray, below: np.ndarray) -> np.ndarray:
+        """log10 probability of each n-gram from its count, its history's and the log10 probability on its failure path; nan where it has no arc."""
+        log = np.log10(np.maximum(count - self.discount, 1e-9) / np.maximum(history, 1))
+        return np.where((count >= self.min_count) & (count * (log - below) >= 1), log, np.nan)
 
     def arcs(self, keys: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """log10 probability of each bigram, nan where it has no arc."""
-        h, w = keys // SPAN, keys % SPAN
-        p = np.maximum(count - self.discount, 1e-9) / self.counts[h]
-        gain = np.log10(p) - self.log_base(self.counts[w])
-        return np.where((count >= self.min_count) & (count * gain >= 1), np.log10(p), np.nan)
-
-
-def _sequence(model: Model, n: np.ndarray, words: np.ndarray, keys: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens of all rows, an end mark after each: (local word or -1 for end, history number, state before it)."""
-    size = n.astype(np.int64) + 1
-    ends = np.cumsum(size) - 1
-    token = np.full(int(size.sum()), -1, np.int64)
-    inside = np.ones(len(token), bool)
-    inside[ends] = False
-    token[inside] = words
-    of_local = np.empty(len(keys), np.int64)
-    of_local[number] = model.number(keys)
-    now = np.full(len(token), model.end, np.int64)
-    now[inside] = of_local[words]
-    state = np.empty_like(now)
-    state[1:] = now[:-1]
-    state[ends - size + 1] = model.end
-    return token, now, state
+        """``weights`` of bigrams of the model's own words."""
+        return self.weights(count, self.counts[keys // SPAN], self.log_base(self.counts[keys % SPAN]))
 
 
 def _read(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -203,56 +190,82 @@ def _read(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np
     return unsqueeze(row["train"], np.uint8).astype(bool), unsqueeze(row["n"], np.uint32), unsqueeze(row["words"], np.uint32), keys, number
 
 
-def _bigrams(model: Model, row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct keys of all rows, training counts, token's position among the keys or -1, ...)"""
-    train, n, words, keys, number = _read(row)
-    token, now, state = _sequence(model, n, words, keys, number)
-    both = (now >= 0) & (state >= 0)
-    grams, inverse = np.unique(state[both] * SPAN + now[both], return_inverse=True)
-    use = np.repeat(train, n.astype(np.int64) + 1)[both]
-    count = np.bincount(inverse[use], minlength=len(grams))
-    at = np.full(len(token), -1, np.int64)
-    at[both] = inverse
-    return grams, count, at, np.stack([token, now, state])
-
-
-def _by_part(grams: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """A stable order that groups keys by part, and the parts' bounds."""
-    part = (mix(grams.astype(U)) % U(parts)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    return order, np.searchsorted(part[order], np.arange(parts + 1))
-
-
-def _bigram_slices(model: Model, parts: int):  # noqa: ANN202
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                grams, count, _, _ = _bigrams(model, row)
-                order, at = _by_part(grams, parts)
-                p = np.flatnonzero(np.diff(at))
-                cut = [order[at[k] : at[k + 1]] for k in p]
-                yield _rows(p, row["block"], [deltas(grams[i].astype(U)) for i in cut], [squeeze(count[i].astype(np.uint32)) for i in cut])
-
-    return scan
-
+def _before(x: np.ndarray, first: np.ndarray, at_first: int) -> np.ndarray:
+    out = np.empty_like(x)
+    out[1:] = x[:-1]
+    out[first] = at_first
+    return out
 
-def _bigram_totals(model: Model):  # noqa: ANN202
-    def reduce(table: pa.Table) -> pa.Table:
-        """Kind 3: arc weights in the block's order; kind 4: by history, the mass of its arcs and of their words at the root."""
-        p = table.column("p")[0].as_py()
-        keys, total, inverse = _sum_by_key([undelta(x) for x in table.column("keys").to_pylist()], [unsqueeze(x, np.uint32) for x in table.column("counts").to_pylist()])
-        keys = keys.astype(np.int64)
-        arc = model.arcs(keys, total)
-        has = ~np.isnan(arc)
-        h, w = keys[has] // SPAN, keys[has] % SPAN
-        mass = np.stack([np.bincount(h, 10.0 ** arc[has], model.end + 1), np.bincount(h, 10.0 ** model.log_base(model.counts[w]), model.end + 1)])
-        blocks = table.column("block").to_pylist()
-        return _answer([*blocks, None], [3] * len(blocks) + [4], p, [squeeze(arc[i].astype(np.float32)) for i in inverse] + [mass.tobytes()])
-
-    return reduce
 
+def _walk(model: Model, order: int, step: int, row: dict, back: list[dict], parts: int) -> tuple[list[pa.RecordBatch], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Go through a block with the totals of orders up to ``step`` and the failure weights below it.
 
-def _score(model: Model, parts: int, id_type: pa.DataType):  # noqa: ANN202
+    Returns what is to be sent next (failure masses of this order, counts of the next one), words a row, and of each token, an end
+    mark after each row: the total, the log10 probability at the root and, after the last step, that of the model.
+    """
+    found: dict[int, list[bytes]] = {}
+    for x in sorted(back, key=lambda x: (x["kind"], x["p"])):
+        found.setdefault(x["kind"], []).append(x["data"])
+    got = lambda kind, dtype: np.concatenate([np.zeros(0, dtype), *[unsqueeze(x, dtype) for x in found.pop(kind, [])]])
+    train, n, words, vocab, number = _read(row)
+    size = n.astype(np.int64) + 1
+    first = np.cumsum(size) - size
+    end = len(vocab)
+    word = np.full(int(size.sum()), end, np.int32)
+    inside = np.ones(len(word), bool)
+    inside[first + size - 1] = False
+    word[inside] = words
+    use = np.repeat(train, size)
+    hashes = np.full(end + 1, END)
+    hashes[number] = vocab
+    total = np.zeros(end + 1, np.int64)
+    total[number], total[end] = got(2, np.uint64), model.train_docs
+    count = total[word]
+    base = logs = model.log_base(count)
+    up: list[pa.RecordBatch] = []
+    at, keys = word, hashes
+    for k in range(2, min(step + 1, order) + 1):
+        history = _before(at, first, end if k == 2 else -1)
+        e = np.flatnonzero((history >= 0) & (at >= 0))
+        e = e[(total[history[e]] >= model.least) & (total[at[e]] >= model.min_count)]
+        of = history[e]
+        grams, example, inverse = np.unique(mix(keys[of] * U(0x9FB21C651E98DF25) + hashes[word[e]]), return_index=True, return_inverse=True)
+        if k > step:
+            up.append(_send(2 * k, row["block"], grams, np.bincount(inverse[use[e]], minlength=len(grams)).astype(np.uint32), parts))
+            break
+        totals = got(2 * k, np.uint64)
+        own, totals = (totals & U(1)).astype(bool), (totals >> U(1)).astype(np.int64)
+        below = logs[e[example]]
+        arc = model.weights(totals, total[of[example]], below)
+        asked = np.unique(history)  # also those that only words without an arc follow here
+        asked = asked[(asked >= 0) & (total[asked] >= model.least)]
+        asked = asked[np.argsort(keys[asked])]
+        if k == step:
+            own &= ~np.isnan(arc)
+            mass = [np.bincount(of[example][own], 10.0 ** x[own], len(keys))[asked] for x in (arc, below)]
+            up.append(_send(2 * k + 1, row["block"], keys[asked], np.stack(mass), parts))
+        else:
+            alpha = np.zeros(len(keys) + 1, np.float32)  # the last is for no history
+            alpha[asked] = got(2 * k + 1, np.float32)
+            failed = logs + alpha[history]
+            taken = arc[inverse]
+            failed[e] = np.where(np.isnan(taken), failed[e], taken)
+            logs = failed
+        at = np.full(len(word), -1, np.int32)
+        at[e] = inverse
+        keys, total = grams, totals
+    return up, n, count, base, logs
+
+
+def _ask(model: Model, order: int, step: int, parts: int):  # noqa: ANN202
+    def ask(left: pa.Table, right: pa.Table) -> pa.Table:
+        up = [x for row in left.to_pylist() for x in _walk(model, order, step, row, right.to_pylist(), parts)[0]]
+        return pa.Table.from_batches(up, _UP_SCHEMA)
+
+    return ask
+
+
+def _score(model: Model, order: int, parts: int, id_type: pa.DataType):  # noqa: ANN202
     names = ["doc_id", "n_tokens", "n_known", "base_score", "score"]
     schema = pa.schema([("doc_id", id_type), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
@@ -260,23 +273,7 @@ def _score(model: Model, parts: int, id_type: pa.DataType):  # noqa: ANN202
         if not left.num_rows:
             return schema.empty_table()
         row = left.to_pylist()[0]
-        back = sorted(right.to_pylist(), key=lambda x: (x["kind"], x["p"]))
-        _, n, words, keys, number = _read(row)
-        grams, _, at, (token, now, state) = _bigrams(model, row)
-        total = np.zeros(len(keys), np.int64)
-        found = [unsqueeze(x["data"], np.uint64) for x in back if x["kind"] == 0]
-        if found:
-            total[number] = np.concatenate(found).astype(np.int64)  # by local number
-        count = np.where(token >= 0, total[np.maximum(token, 0)] if len(total) else 0, model.counts[model.end])
-        base = model.log_base(count)
-        arc = np.full(len(grams), np.nan)
-        order, _ = _by_part(grams, parts)
-        found = [unsqueeze(x["data"], np.float32) for x in back if x["kind"] == 3]
-        if found:
-            arc[order] = np.concatenate(found)
-        taken = np.where(at >= 0, arc[np.maximum(at, 0)] if len(arc) else np.nan, np.nan)
-        failed = np.where(state >= 0, model.alpha[np.maximum(state, 0)], 0.0) + base
-        logs = np.where(np.isnan(taken), failed, taken)
+        _, n, count, base, logs = _walk(model, order, order + 1, row, right.to_pylist(), parts)
         starts = np.r_[0, np.cumsum(n.astype(np.int64) + 1)[:-1]]
         ids = pa.ipc.open_stream(row["ids"]).read_all().column("doc_id").combine_chunks()
         return pa.table(
@@ -293,7 +290,8 @@ def score_texts(
     *,
     id_col: str = "doc_id",
     text_col: str = "text",
-    history_share: float = 1e-4,
+    order: int = 3,
+    history_share: float = 0.0,
     discount: float = 0.5,
     min_count: int = 4,
     parts: int | None = None,
@@ -302,7 +300,8 @@ def score_texts(
 
     ``train`` says which rows the model learns from (null: not). Null and empty texts are the end mark alone. Rows with equal or null ids are
     kept apart; an empty table gives no rows; without a training row every token is unknown and the model is uniform; extra
-    columns are ignored. ``parts``: hash ranges; one should hold some million distinct words.
+    columns are ignored. ``history_share``: histories below this share of all training tokens get no arcs; at 0 all may have some.
+    ``parts``: hash ranges; one should hold some million distinct words.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -312,25 +311,22 @@ def score_texts(
     kind = docs.schema[id_col].dataType
     id_type = to_arrow_type(kind)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("body"), F.coalesce(train, F.lit(False)).alias("train"))
-    blocks = materialize(rows.mapInArrow(_blocks, _BLOCK_SCHEMA), "blocks")
-    up = blocks.mapInArrow(_unigram_slices(parts), "p int, block binary, keys binary, counts binary")
-    totals = materialize(up.groupBy("p").applyInArrow(_unigram_totals(history_share), _BACK), "totals")
+    blocks = materialize_bucketed(rows.mapInArrow(_blocks, _BLOCK_SCHEMA), "block", parts, "blocks")
+    by_block = blocks.groupBy("block")
+    answer = lambda up: materialize(up.groupBy("kind", "p").applyInArrow(_reduce(min_count), _BACK), "answers")
+    back = answer(blocks.mapInArrow(_unigrams(parts), _UP))
     tokens = distinct = 0
-    for r in totals.where("kind = 1").select("data").toLocalIterator():
+    for r in back.where(F.col("kind") == NUMBERS).select("data").toLocalIterator():
         a, b = np.frombuffer(r["data"], np.int64)
         tokens, distinct = tokens + int(a), distinct + int(b)
     train_docs = rows.where("train").count()
     tokens, distinct = tokens + train_docs, distinct + (train_docs > 0)
-    model = Model(*_frequent(totals, max(tokens * history_share, 1.0)), train_docs, tokens, distinct, discount, min_count)
-    up = blocks.mapInArrow(_bigram_slices(model, parts), "p int, block binary, keys binary, counts binary")
-    arcs = materialize(up.groupBy("p").applyInArrow(_bigram_totals(model), _BACK), "arcs")
-    mass = np.zeros((2, model.end + 1))
-    for r in arcs.where("kind = 4").select("data").toLocalIterator():
-        mass += np.frombuffer(r["data"], np.float64).reshape(2, -1)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        model.alpha = np.where(mass[1] < 1, np.log10(np.maximum(1 - mass[0], 1e-12) / np.maximum(1 - mass[1], 1e-12)), 0.0)
-    back = totals.where("kind = 0").unionByName(arcs.where("kind = 3")).select("block", "kind", "p", "data")
-    scored = blocks.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(
-        _score(model, parts, id_type), f"doc_id {kind.simpleString()}, n_tokens long, n_known long, base_score double, score double"
+    model = Model(np.zeros(0, U), np.zeros(0), train_docs, tokens, distinct, discount, min_count)
+    model.least = max(min_count, tokens * history_share)
+    back = back.where("block is not null")
+    for step in range(1, order + 1 if order > 1 else 1):
+        back = back.unionByName(answer(by_block.cogroup(back.groupBy("block")).applyInArrow(_ask(model, order, step, parts), _UP)))
+    scored = by_block.cogroup(back.groupBy("block")).applyInArrow(
+        _score(model, order, parts, id_type), f"doc_id {kind.simpleString()}, n_tokens long, n_known long, base_score double, score double"
     )
     return scored.withColumn("train_tokens", F.lit(tokens).cast("long")).select("doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score")
