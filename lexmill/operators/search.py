@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.plans.joins import broadcast_if_small
+from lexmill.plans.scratch import materialize
+
 K1, B = 1.2, 0.75
 #: Fusion weights by ranking and the constant added to ranks.
 FUSION, FUSION_CONSTANT = {"relevance": 1.0, "authority": 1.0, "depth": 1.5, "length": 1.0}, 10
@@ -70,3 +73,26 @@ def near(docs: DataFrame, id_col: str, text_col: str, a: str, b: str, distance:
     rows = rows.select("id", places(F.col("t"), a).alias("pa"), places(F.col("t"), b).alias("pb"))
     least = F.array_min(F.transform("pa", lambda x: F.array_min(F.transform(F.col("pb"), lambda y: F.abs(x - y)))))
     return rows.select("id", least.alias("gap")).where(F.col("gap") <= distance)
+
+
+def longest_prefixes(queries: DataFrame, q_id: str, q_text: str, docs: DataFrame, text_col: str) -> DataFrame:
+    """(id, longest): the most of a query's first words that stand together in some document; queries without one have no row.
+
+    Prefixes of every length join the documents' runs by equality of (length, hash). Only runs whose first two words begin a query are
+    followed, each distinct one once.
+    """
+    q = queries.select(F.col(q_id).alias(q_id), tokens(F.col(q_text)).alias("t")).where(F.size("t") > 0)
+    prefix = lambda t, n: F.xxhash64(F.slice(t, F.lit(1), n))
+    nodes = q.select(q_id, F.explode(F.transform(F.sequence(F.lit(1), F.size("t")), lambda n: F.struct(n.alias("n"), prefix(F.col("t"), n).alias("g")))).alias("x")).select(q_id, "x.*")
+    longest = q.agg(F.max(F.size("t"))).first()[0] or 0
+    d = materialize(docs.select(F.monotonically_increasing_id().alias("rid"), tokens(F.col(text_col)).alias("t")), "tokens")
+    words = d.select(F.explode(F.array_distinct("t")).alias("w")).select(F.lit(1).alias("n"), F.xxhash64(F.array("w")).alias("g"))
+    words = words.join(broadcast_if_small(nodes.where("n = 1").select("g").distinct()), "g", "left_semi").select("n", "g").distinct()
+    begins = broadcast_if_small(nodes.where("n = 2").select("g").distinct())
+    spots = d.select("rid", F.posexplode(F.transform("t", lambda x, i: F.xxhash64(F.slice("t", i + 1, 2)))).alias("i", "g"))  # noqa: ARG005
+    spots = spots.join(begins, "g", "left_semi").groupBy("rid").agg(F.collect_list("i").alias("at"))
+    runs = d.join(spots, "rid").select(F.explode(F.transform("at", lambda i: F.slice("t", i + 1, longest))).alias("t")).distinct()
+    runs = runs.where(F.size("t") > 1).select(F.explode(F.transform(F.sequence(F.lit(2), F.size("t")), lambda n: F.struct(n.alias("n"), prefix(F.col("t"), n).alias("g")))).alias("x"))
+    known = broadcast_if_small(nodes.where("n > 1").select("n", "g").distinct())
+    met = runs.select("x.*").join(known, ["n", "g"], "left_semi").distinct().unionByName(words)
+    return nodes.join(met, ["n", "g"]).groupBy(q_id).agg(F.max("n").alias("longest"))

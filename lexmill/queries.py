@@ -380,6 +380,12 @@ def longest_prefix_match(spark: SparkSession, sf: str) -> DataFrame:
     return prefixes.join(runs, "g").groupBy("item_id").agg(F.max("n").alias("longest"))
 
 
+@query(None)
+def longest_prefix_match_all(spark: SparkSession, sf: str) -> DataFrame:
+    """``longest_prefix_match`` for every item and every length; its SQL is of ten items and eight words."""
+    return search.longest_prefixes(table(spark, sf, "benchmark"), "item_id", "text", table(spark, sf, "documents"), "text")
+
+
 @query(
     """WITH h AS (SELECT o_custkey % 50 AS e, CAST(o_orderdate AS DATE) AS d, o_custkey AS h, max(CAST(o_totalprice % 60 AS DECIMAL(9,4))) AS p FROM orders WHERE o_custkey < 400 GROUP BY ALL),
     dates AS (SELECT DISTINCT e, d AS t FROM h),
