@@ -96,3 +96,34 @@ def longest_prefixes(queries: DataFrame, q_id: str, q_text: str, docs: DataFrame
     known = broadcast_if_small(nodes.where("n > 1").select("n", "g").distinct())
     met = runs.select("x.*").join(known, ["n", "g"], "left_semi").distinct().unionByName(words)
     return nodes.join(met, ["n", "g"]).groupBy(q_id).agg(F.max("n").alias("longest"))
+
+
+#: Words of a run by which documents are proposed for a phrase.
+RUN = 3
+
+
+def phrase_counts(queries: DataFrame, q_id: str, q_text: str, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, n_docs): in how many documents each query's text stands, letter case and widths of white space aside.
+
+    A phrase may begin and end within a word, but its inner words are whole ones of the document. So a document is proposed by
+    the rarest run of (up to RUN) inner words, by equality, and confirmed on the text; phrases without an inner word meet every document.
+    """
+    flat = lambda c: F.regexp_replace(F.lower(c), r"\s+", " ")
+    q = queries.select(q_id, flat(F.col(q_text)).alias("needle"))
+    each = q.where("needle is not null").select("needle").distinct()
+    inner = F.split("needle", " ", -1)
+    each = each.withColumn("t", F.slice(inner, F.lit(2), F.greatest(F.size(inner) - 2, F.lit(0)))).withColumn("k", F.least(F.size("t"), F.lit(RUN)))
+    runs = lambda t, k: F.transform(F.sequence(F.lit(1), F.size(t) - k + 1), lambda i: F.xxhash64(F.slice(t, i, k)))
+    of = each.where("k > 0").select("needle", F.explode(F.array_distinct(runs(F.col("t"), F.col("k")))).alias("g"))
+    lengths = [r["k"] for r in each.where("k > 0").select("k").distinct().collect()]  # at most RUN
+    d = docs.select(F.col(id_col).alias("id"), flat(F.col(text_col)).alias("text")).where("text is not null and id is not null")
+    of_text = lambda t: F.flatten(F.array(*[F.when(F.size(t) >= k, runs(t, F.lit(k))).otherwise(F.array().cast("array<bigint>")) for k in lengths]))
+    # an array of one, so that the text is split once and not for each run
+    own = F.array_distinct(F.flatten(F.transform(F.array(F.split("text", " ", -1)), of_text))) if lengths else F.array().cast("array<bigint>")
+    seen = d.select(F.explode(own).alias("g")).join(broadcast_if_small(of.select("g").distinct()), "g", "left_semi").groupBy("g").agg(F.count(F.lit(1)).alias("df"))
+    best = of.join(seen, "g", "left").groupBy("needle").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "g")).alias("b"))
+    best = broadcast_if_small(materialize(best.where("b.df > 0").select("needle", F.col("b.g").alias("g")), "phrases"))
+    near = d.select("text", F.explode(own).alias("g")).join(best, "g").where(F.contains("text", F.col("needle"))).select("needle")
+    short = d.join(broadcast_if_small(each.where("k = 0").select("needle")), F.contains("text", F.col("needle"))).select("needle")
+    counts = near.unionByName(short).groupBy("needle").agg(F.count(F.lit(1)).alias("n"))
+    return q.join(counts, "needle", "left").groupBy(q_id).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_docs"))

@@ -235,11 +235,21 @@ def variant_generator_join(spark: SparkSession, sf: str) -> DataFrame:
     SELECT term, count(*) AS n_docs FROM w JOIN t USING (term) WHERE length(term) >= 6 GROUP BY term"""
 )
 def containment_join_terms(spark: SparkSession, sf: str) -> DataFrame:
-    terms = table(spark, sf, "benchmark").where("item_id < 5").select(F.explode(search.tokens(F.col("text"))).alias("term")).distinct().where(F.length("term") >= 6)
+    return _term_counts(spark, sf, "item_id < 5")
+
+
+def _term_counts(spark: SparkSession, sf: str, which: str) -> DataFrame:
+    terms = table(spark, sf, "benchmark").where(which).select(F.explode(search.tokens(F.col("text"))).alias("term")).distinct().where(F.length("term") >= 6)
     words = table(spark, sf, "documents").select("doc_id", F.explode(F.array_distinct(search.tokens(F.col("text")))).alias("term"))
     return words.join(terms, "term").groupBy("term").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
+@query(None)
+def containment_join_terms_all(spark: SparkSession, sf: str) -> DataFrame:
+    """``containment_join_terms`` for the terms of every item; its SQL is of five."""
+    return _term_counts(spark, sf, "true")
+
+
 @query("WITH k(kind, word) AS (VALUES ('metal', 'BRASS'), ('metal', 'STEEL'), ('size', 'SMALL'), ('all', '')) SELECT DISTINCT p_partkey, kind FROM part JOIN k ON contains(p_type, word)")
 def keyword_cross_join(spark: SparkSession, sf: str) -> DataFrame:
     # three fixed kinds, so keywords are expressions on the row instead of a join
@@ -386,6 +396,12 @@ def longest_prefix_match_all(spark: SparkSession, sf: str) -> DataFrame:
     return search.longest_prefixes(table(spark, sf, "benchmark"), "item_id", "text", table(spark, sf, "documents"), "text")
 
 
+@query(None)
+def phrase_containment_all(spark: SparkSession, sf: str) -> DataFrame:
+    """``phrase_containment`` for every item; its SQL is of twenty."""
+    return search.phrase_counts(table(spark, sf, "benchmark"), "item_id", "text", table(spark, sf, "documents"), "doc_id", "text")
+
+
 @query(
     """WITH h AS (SELECT o_custkey % 50 AS e, CAST(o_orderdate AS DATE) AS d, o_custkey AS h, max(CAST(o_totalprice % 60 AS DECIMAL(9,4))) AS p FROM orders WHERE o_custkey < 400 GROUP BY ALL),
     dates AS (SELECT DISTINCT e, d AS t FROM h),
