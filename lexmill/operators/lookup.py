@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions.ids import prefixes_of
+from lexmill.plans.scratch import materialize
 
 
 def with_ordinal(df: DataFrame, parent: str, order: list[Column | str], name: str = "ordinal") -> DataFrame:
@@ -22,6 +23,15 @@ def keep_first(df: DataFrame, key: list[str], order: list[Column | str]) -> Data
     return best.select(*key, *[F.col("__b")[c].alias(c) for c in rest]).select(*df.columns)
 
 
+def successors(df: DataFrame, col: str) -> DataFrame:
+    """(a, b): each value but the last with the next one in order. Sorted by ranges; only a range's first value meets the range before."""
+    rows = materialize(df.select(F.col(col).alias("a")).where("a is not null").repartitionByRange("a").withColumn("p", F.spark_partition_id()), "ranges")
+    firsts = rows.groupBy("p").agg(F.min("a").alias("first"))  # one row a range
+    after = firsts.select("p", F.lead("first").over(Window.orderBy("p")).alias("after"))
+    own = rows.select("p", "a", F.lead("a").over(Window.partitionBy("p").orderBy("a")).alias("b"))
+    return own.join(F.broadcast(after), "p").select("a", F.coalesce("b", "after").alias("b")).where("b is not null")
+
+
 def arg_best(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     """One row per key by a ranking of any direction."""
     return df.withColumn("__r", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("__r = 1").drop("__r")

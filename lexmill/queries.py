@@ -85,7 +85,17 @@ def prefix_subtree(spark: SparkSession, sf: str) -> DataFrame:
     SELECT id, ancestor, len(string_split(ancestor, '/')) - 5 AS depth FROM a"""
 )
 def recursive_ancestors(spark: SparkSession, sf: str) -> DataFrame:
-    return lookup.ancestors(sections(spark, sf).where(F.col("section").cast("long") < 500).select("id").distinct(), "id")
+    return _recursive_ancestors(spark, sf, "cast(section as long) < 500")
+
+
+@query(None)
+def recursive_ancestors_all(spark: SparkSession, sf: str) -> DataFrame:
+    """``recursive_ancestors`` over the whole table; its SQL is of section < 500."""
+    return _recursive_ancestors(spark, sf, "true")
+
+
+def _recursive_ancestors(spark: SparkSession, sf: str, which: str) -> DataFrame:
+    return lookup.ancestors(sections(spark, sf).where(which).select("id").distinct(), "id")
 
 
 def _edges(spark: SparkSession, sf: str) -> DataFrame:
@@ -124,9 +134,18 @@ def incoming_outgoing_left_join(spark: SparkSession, sf: str) -> DataFrame:
     WHERE b IS NOT NULL AND array_to_string(string_split(a, '/')[1:5], '/') <> array_to_string(string_split(b, '/')[1:5], '/')"""
 )
 def anti_internal_edges(spark: SparkSession, sf: str) -> DataFrame:
-    rows = sections(spark, sf).where(F.col("section").cast("long") < 2000).select("id").distinct()
-    pairs = rows.select(F.col("id").alias("a"), F.lead("id").over(Window.orderBy("id")).alias("b"))
-    return graph.without_internal(pairs.where("b is not null"), "a", "b")
+    return _anti_internal_edges(spark, sf, "cast(section as long) < 2000")
+
+
+@query(None)
+def anti_internal_edges_all(spark: SparkSession, sf: str) -> DataFrame:
+    """``anti_internal_edges`` over the whole table; its SQL is of section < 2000."""
+    return _anti_internal_edges(spark, sf, "true")
+
+
+def _anti_internal_edges(spark: SparkSession, sf: str, which: str) -> DataFrame:
+    rows = sections(spark, sf).where(which).select("id").distinct()
+    return graph.without_internal(lookup.successors(rows, "id"), "a", "b")
 
 
 _OLD = "SELECT o_custkey AS k, o_orderpriority AS h, o_orderstatus AS t FROM orders WHERE o_orderdate < TIMESTAMP '1995-06-01' QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1"
@@ -224,7 +243,17 @@ def fuzzy_nearest_top3(spark: SparkSession, sf: str) -> DataFrame:
     SELECT query, name FROM v JOIN q n ON n.query = v.name WHERE v.query <> v.name""".replace("SELECT query, name FROM v JOIN q n", "SELECT v.query, v.name FROM v JOIN q n")
 )
 def variant_generator_join(spark: SparkSession, sf: str) -> DataFrame:
-    q = table(spark, sf, "part").where("p_partkey < 300").select(F.col("p_partkey").cast("string").alias("query"))
+    return _variant_generator_join(spark, sf, "p_partkey < 300")
+
+
+@query(None)
+def variant_generator_join_all(spark: SparkSession, sf: str) -> DataFrame:
+    """``variant_generator_join`` over the whole table; its SQL is of p_partkey < 300."""
+    return _variant_generator_join(spark, sf, "true")
+
+
+def _variant_generator_join(spark: SparkSession, sf: str, which: str) -> DataFrame:
+    q = table(spark, sf, "part").where(which).select(F.col("p_partkey").cast("string").alias("query"))
     made = q.select("query", F.explode(fuzzy.variants(F.col("query"))).alias("name"))
     return made.join(q.select(F.col("query").alias("name")), "name", "left_semi").select("query", "name")
 
@@ -412,7 +441,17 @@ def phrase_containment_all(spark: SparkSession, sf: str) -> DataFrame:
       sum(CASE WHEN peak >= 5 THEN greatest(now - low, 0) ELSE 0 END) > 50 AS changed FROM x GROUP BY e, t"""
 )
 def owner_shift_3y(spark: SparkSession, sf: str) -> DataFrame:
-    register = table(spark, sf, "orders").where("o_custkey < 400").select(
+    return _owner_shift_3y(spark, sf, "o_custkey < 400")
+
+
+@query(None)
+def owner_shift_3y_all(spark: SparkSession, sf: str) -> DataFrame:
+    """``owner_shift_3y`` over the whole table; its SQL is of o_custkey < 400."""
+    return _owner_shift_3y(spark, sf, "true")
+
+
+def _owner_shift_3y(spark: SparkSession, sf: str, which: str) -> DataFrame:
+    register = table(spark, sf, "orders").where(which).select(
         (F.col("o_custkey") % 50).alias("company"), F.col("o_orderdate").cast("date").alias("day"), F.col("o_custkey").alias("holder"), (F.col("o_totalprice") % 60).cast("decimal(9,4)").alias("percent")
     )
     out = models.owner_shift(register, "company", "day", "holder", "percent")
@@ -629,7 +668,17 @@ def extract_citations_e2e(spark: SparkSession, sf: str) -> DataFrame:
     SELECT '/us/usc/t26/s' || id || '/a/1' AS id, scope FROM t LEFT JOIN v ON k = id"""
 )
 def scope_inheritance(spark: SparkSession, sf: str) -> DataFrame:
-    nodes = table(spark, sf, "part").where("p_partkey <= 30").select(F.concat(F.lit("/us/usc/t26/s"), "p_partkey", F.lit("/a/1")).alias("id"))
+    return _scope_inheritance(spark, sf, "p_partkey <= 30")
+
+
+@query(None)
+def scope_inheritance_all(spark: SparkSession, sf: str) -> DataFrame:
+    """``scope_inheritance`` over the whole table; its SQL is of p_partkey <= 30."""
+    return _scope_inheritance(spark, sf, "true")
+
+
+def _scope_inheritance(spark: SparkSession, sf: str, which: str) -> DataFrame:
+    nodes = table(spark, sf, "part").where(which).select(F.concat(F.lit("/us/usc/t26/s"), "p_partkey", F.lit("/a/1")).alias("id"))
     stated = inline(spark, "sid string, scope string", ("/us/usc/t26/s1", "title"), ("/us/usc/t26/s2", "part"), ("/us/usc/t26/s2/a", "chapter"), ("/us/usc/t26/s7/a/1", "section"))
     return lookup.nearest_ancestor_value(nodes, "id", stated, "sid", "scope")
 
@@ -639,8 +688,18 @@ def scope_inheritance(spark: SparkSession, sf: str) -> DataFrame:
     FROM orders WHERE o_orderkey < 2000"""
 )
 def quotes_e2e(spark: SparkSession, sf: str) -> DataFrame:
+    return _quotes_e2e(spark, sf, "o_orderkey < 2000")
+
+
+@query(None)
+def quotes_e2e_all(spark: SparkSession, sf: str) -> DataFrame:
+    """``quotes_e2e`` over the whole table; its SQL is of o_orderkey < 2000."""
+    return _quotes_e2e(spark, sf, "true")
+
+
+def _quotes_e2e(spark: SparkSession, sf: str, which: str) -> DataFrame:
     said = F.array(*map(F.lit, ("all the ordinary and necessary expenses paid", "salaries shall not exceed amounts prescribed", "all income from whatever source derived", "purple elephants dance under seven moons")))
-    docs = table(spark, sf, "orders").where("o_orderkey < 2000").select(
+    docs = table(spark, sf, "orders").where(which).select(
         F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("It says “"), F.get(said, (F.col("o_orderkey") % 4).cast("int")), F.lit("” in § 162(a).")).alias("text")
     )
     provisions = inline(
