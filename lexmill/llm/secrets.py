@@ -38,7 +38,10 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 #: Kinds in the order of the report; the first three are the base.
 KINDS = ("assign", "access", "hex", "pem", "prefixed", "jwt", "random")
 MORE = {
-    "pem": re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    "pem": re.compile(
+        r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?)-----(?:(?!-----)[\s\S])*?-----END \1-----"  # the whole block
+        r"|-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----(?:(?:\s|\\[rn])*(?:(?:Proc-Type|DEK-Info|Version|Comment|Charset): [^\r\n]*|[A-Za-z0-9+/=]{16,}|[A-Za-z0-9+/]*=))*"  # or, if it doesn't end, the header and what follows of the key
+    ),
     "prefixed": re.compile(r"\b(?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|sk_live_[A-Za-z0-9]{16,})"),
     "jwt": re.compile(r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     "random": re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{28,}(?![A-Za-z0-9+/_=-])"),
@@ -48,6 +51,12 @@ LONG = 20
 BITS = 3.0
 
 
+def pem_body(block: str) -> str:
+    """The key in a PEM block, by which copies are told: without the marks, headers and white space, escaped line ends too."""
+    body = re.sub(r"-----(?:BEGIN|END)[^-]*-----", "", block.replace("\\r", "\r").replace("\\n", "\n"))
+    return re.sub(r"\s+", "", re.sub(r"(?m)^[ \t]*(?:Proc-Type|DEK-Info|Version|Comment|Charset): .*$", "", body))
+
+
 def entropy(value: str) -> float:
     """Bits a character."""
     n = len(value)
@@ -57,7 +66,7 @@ def entropy(value: str) -> float:
 def live_looking(kind: str, value: str) -> bool:
     """Random enough for a credential: high entropy, or for ``random`` also letters of both cases and digits."""
     if kind == "pem":
-        return True
+        return bool(value)
     mixed = any(c.isdigit() for c in value) and any(c.isupper() for c in value) and any(c.islower() for c in value)
     return entropy(value) >= BITS and (kind != "random" or (mixed and entropy(value) >= 4.0))
 
@@ -68,10 +77,12 @@ def find(text: str) -> list[tuple[str, int, int, str]]:
     low = text.lower()
     if any(k in low for k in (*KEYWORDS, "apikey", "api_key")):
         found += [("assign", m.start(), m.end(), m[1]) for m in ASSIGN.finditer(text) if len(m[1]) >= 6]
-    if any(len(w) >= LONG for w in text.split()) or "-----BEGIN" in text:
+    pem = [("pem", m.start(), m.end(), pem_body(m[0])) for m in MORE["pem"].finditer(text)] if "-----BEGIN" in text else []
+    found += pem
+    if any(len(w) >= LONG for w in text.split()):
         found += [("access", m.start(), m.end(), m[0]) for m in ACCESS.finditer(text)]
         found += [("hex", m.start(), m.end(), m[0]) for m in HEX.finditer(text)]
-        for kind, pattern in MORE.items():
+        for kind, pattern in list(MORE.items())[1:]:
             base = [(s, e) for _, s, e, _ in found]
             found += [(kind, m.start(), m.end(), m[0]) for m in pattern.finditer(text) if not any(s < m.end() and m.start() < e for s, e in base)]
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
