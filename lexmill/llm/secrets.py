@@ -3,7 +3,7 @@
 One Arrow-batched scan finds candidate spans of every whole text. Each candidate's value is hashed; hashes are
 aggregated over the corpus by distinct repository and owner. A value that ``example_owners`` or more owners share is a
 widely copied example; one that at most ``live_owners`` owners have and that looks random is live-looking. The three
-base kinds are always reported; the further kinds are added where their value is live-looking.
+base kinds are always reported; the further kinds are added where their value looks random and is no example.
 
 Aggregation runs on distinct (hash, repository, owner) with map-side combination, so a value in a third of all
 rows reaches the reducers once a task. Only spans are shuffled, never texts.
@@ -47,7 +47,7 @@ MORE = {
     "random": re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{28,}(?![A-Za-z0-9+/_=-])"),
 }
 #: No span of the other kinds is shorter.
-LONG = 20
+LONG = 15
 BITS = 3.0
 
 
@@ -114,7 +114,7 @@ def scan_secrets(
 ) -> DataFrame:
     """One row per input row: doc_id and ``spans`` (array of kind, s, e, h, live, owners, repos, verdict).
 
-    ``verdict`` is ``example``, ``live`` or ``unclear``; spans of the further kinds appear only as ``live``. Null and empty
+    ``verdict`` is ``example``, ``live`` or ``unclear``; spans of the further kinds appear only if they look random and are no ``example``. Null and empty
     texts have no spans. Null repository or owner columns count as one unnamed repository or owner. Rows with equal
     or null ids are kept apart; an empty table gives no rows; extra columns are ignored.
     """
@@ -131,7 +131,7 @@ def scan_secrets(
     example = F.col("owners") >= example_owners
     live = F.col("live") & (F.col("owners") <= live_owners)
     verdict = F.when(example, F.lit("example")).when(live, F.lit("live")).otherwise(F.lit("unclear"))
-    judged = each.join(held, "h").withColumn("verdict", verdict).where(F.col("kind").isin(*KINDS[:3]) | (F.col("verdict") == "live"))
+    judged = each.join(held, "h").withColumn("verdict", verdict).where(F.col("kind").isin(*KINDS[:3]) | (F.col("live") & ~example))
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
     spans = judged.groupBy(F.col("rid").alias("r")).agg(
         F.array_sort(F.collect_list(F.struct("s", rank.alias("rank"), "e", "kind", "h", "live", "owners", "repos", "verdict"))).alias("found")
