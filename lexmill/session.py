@@ -16,6 +16,8 @@ TABLES = (
 
 
 _shipped: dict[int, bool] = {}
+#: Bytes of an Arrow batch that goes to a Python worker: rows differ much in length, so a number of rows bounds nothing.
+BATCH_BYTES = 4 << 20
 
 
 def local_session(cpus: int | None = None, app: str = "lexmill") -> SparkSession:
@@ -36,7 +38,8 @@ def local_session(cpus: int | None = None, app: str = "lexmill") -> SparkSession
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package to the executors' Python workers, once a session, unless PYTHONPATH already leads them to it."""
+    """Send the package to the executors' Python workers, once a session, unless PYTHONPATH already leads them to it, and bound their batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     root = Path(__file__).resolve().parent.parent
     if any(Path(p).resolve() == root for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p) or _shipped.get(id(spark.sparkContext)):
         return
