@@ -9,7 +9,7 @@ import pyarrow as pa
 
 U = np.uint64
 #: Bytes of text that are worked on at once (a longer single text is taken whole).
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _rng = np.random.default_rng(20_240_501)
 #: A random 64-bit value for every byte, with A-Z as a-z.
 _BYTE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
