@@ -167,7 +167,7 @@ def _grouped(now: DataFrame) -> DataFrame:
     rows = materialize(rows.join(centres.withColumnRenamed("of", "centre"), "key").select("key", "hub", "centre", "node", "n", "comp"), "members")
     together = _pairs_across(rows.select("centre", "node", "comp").distinct(), "centre").withColumnRenamed("pairs", "merged")
     alone = rows.select("key", "centre").distinct().join(_pairs_across(rows, "key"), "key").groupBy("centre").agg(F.sum("pairs").alias("alone"))
-    rows = rows.join(together.join(alone, "centre"), "centre")
+    rows = rows.join(broadcast_if_small(materialize(together.join(alone, "centre"), "costs")), "centre")
     merged = F.col("merged") <= F.col("alone")
     group, ref = F.when(merged, F.col("centre")).otherwise(F.col("key").cast("string").cast("binary")), F.when(merged, F.col("centre")).otherwise(F.col("hub"))
     return materialize(rows.select(group.alias("group"), ref.alias("ref"), "node", "n", "comp").distinct(), "groups")
@@ -185,7 +185,7 @@ def _across(now: DataFrame, side: Callable[[str], DataFrame], percent: int) -> D
     apart = rows.select(F.col("node").alias("a"), F.col("ref").alias("b")).distinct().join(side("a"), "a").join(side("b"), "b")
     apart = apart.select(F.col("a").alias("node"), F.col("b").alias("ref"), F.array_union(F.array_except("s_a", "s_b"), F.array_except("s_b", "s_a")).alias("d"))
     parts = rows.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / SPLIT).cast("int").alias("parts"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    rows = rows.join(parts.where("lo != hi").drop("lo", "hi"), "group").join(materialize(apart, "differences"), ["node", "ref"]).withColumn("m", F.size("d"))
+    rows = rows.join(broadcast_if_small(materialize(parts.where("lo != hi").drop("lo", "hi"), "parts")), "group").join(materialize(apart, "differences"), ["node", "ref"]).withColumn("m", F.size("d"))
     of = lambda x, part: rows.select("group", part.alias("part"), *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "comp", "d", "m")])
     total = F.col("n_a") + F.col("n_b")
     # |A and B| = (|A| + |B| - |A xor B|) / 2, and 100 |A and B| >= percent |A or B|, both doubled

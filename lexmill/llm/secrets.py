@@ -6,12 +6,14 @@ widely copied example; one that at most ``live_owners`` owners have and that loo
 base kinds are always reported; the further kinds are added where their value looks random and is no example.
 
 Aggregation runs on distinct (hash, repository, owner) with map-side combination, so a value in a third of all
-rows reaches the reducers once a task. Only spans are shuffled, never texts.
+rows reaches the reducers once a task. Only values that several owners or repositories have are joined back, the others have one.
+Only spans are shuffled, never texts; ``redact`` shuffles the texts that have spans.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from math import log2
 
@@ -20,6 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.plans.joins import broadcast_if_small
 from lexmill.plans.scratch import materialize
 from lexmill.session import ship
 
@@ -46,8 +49,8 @@ MORE = {
     "jwt": re.compile(r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     "random": re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{28,}(?![A-Za-z0-9+/_=-])"),
 }
-#: No span of the other kinds is shorter.
-LONG = 15
+#: Every span of the kinds other than ``assign`` and ``pem`` holds such a run.
+LONG = re.compile("[!-~]{15}")
 BITS = 3.0
 
 
@@ -67,8 +70,26 @@ def live_looking(kind: str, value: str) -> bool:
     """Random enough for a credential: high entropy, or for ``random`` also letters of both cases and digits."""
     if kind == "pem":
         return bool(value)
+    bits = entropy(value)
     mixed = any(c.isdigit() for c in value) and any(c.isupper() for c in value) and any(c.islower() for c in value)
-    return entropy(value) >= BITS and (kind != "random" or (mixed and entropy(value) >= 4.0))
+    return bits >= BITS and (kind != "random" or (mixed and bits >= 4.0))
+
+
+class _Taken:
+    """Ranges that earlier kinds hold, united and in order."""
+
+    def __init__(self, ranges: list[tuple[int, int]]) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for s, e in sorted(ranges):
+            if self.ends and s <= self.ends[-1]:
+                self.ends[-1] = max(e, self.ends[-1])
+            else:
+                self.starts.append(s), self.ends.append(e)
+
+    def touches(self, s: int, e: int) -> bool:
+        k = bisect_left(self.starts, e)  # ranges before k start below e; the last of them ends last
+        return k > 0 and self.ends[k - 1] > s
 
 
 def find(text: str) -> list[tuple[str, int, int, str]]:
@@ -77,14 +98,15 @@ def find(text: str) -> list[tuple[str, int, int, str]]:
     low = text.lower()
     if any(k in low for k in (*KEYWORDS, "apikey", "api_key")):
         found += [("assign", m.start(), m.end(), m[1]) for m in ASSIGN.finditer(text) if len(m[1]) >= 6]
-    pem = [("pem", m.start(), m.end(), pem_body(m[0])) for m in MORE["pem"].finditer(text)] if "-----BEGIN" in text else []
-    found += pem
-    if any(len(w) >= LONG for w in text.split()):
+    if "-----BEGIN" in text:
+        found += [("pem", m.start(), m.end(), pem_body(m[0])) for m in MORE["pem"].finditer(text)]
+    if LONG.search(text):
         found += [("access", m.start(), m.end(), m[0]) for m in ACCESS.finditer(text)]
         found += [("hex", m.start(), m.end(), m[0]) for m in HEX.finditer(text)]
         for kind, pattern in list(MORE.items())[1:]:
-            base = [(s, e) for _, s, e, _ in found]
-            found += [(kind, m.start(), m.end(), m[0]) for m in pattern.finditer(text) if not any(s < m.end() and m.start() < e for s, e in base)]
+            if more := [(kind, m.start(), m.end(), m[0]) for m in pattern.finditer(text)]:
+                taken = _Taken([(s, e) for _, s, e, _ in found])
+                found += [x for x in more if not taken.touches(x[1], x[2])]
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
@@ -120,40 +142,46 @@ def scan_secrets(
     """
     name = lambda cols: F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols])
     ship(docs.sparkSession)
-    kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("body"), name(repo_cols).alias("repo"), name(owner_cols).alias("owner"))
-    rows = rows.mapInArrow(_scan, f"doc_id {kind}, repo string, owner string, spans array<struct<kind:string,s:int,e:int,h:string,live:boolean>>")
+    spans = "array<struct<kind:string,s:int,e:int,h:string,live:boolean>>"
+    schema = rows.select("doc_id", "repo", "owner", F.lit(None).cast(spans).alias("spans")).schema
+    rows = rows.mapInArrow(_scan, schema)
     rows = materialize(rows.withColumn("rid", F.monotonically_increasing_id()), "spans")
     each = rows.where(F.size("spans") > 0).select("rid", "repo", "owner", F.explode("spans").alias("x")).select("rid", "repo", "owner", "x.*")
     # From distinct (hash, owner, repository) down to one row a hash, combining in each task first.
     held = each.select("h", "owner", "repo").distinct().groupBy("h", "owner").agg(F.count(F.lit(1)).alias("repos"))
     held = held.groupBy("h").agg(F.count(F.lit(1)).alias("owners"), F.sum("repos").alias("repos"))
+    shared = broadcast_if_small(materialize(held.where("repos > 1"), "shared"), 500_000)
+    own = F.lit(1).cast("long")
     example = F.col("owners") >= example_owners
     live = F.col("live") & (F.col("owners") <= live_owners)
     verdict = F.when(example, F.lit("example")).when(live, F.lit("live")).otherwise(F.lit("unclear"))
-    judged = each.join(held, "h").withColumn("verdict", verdict).where(F.col("kind").isin(*KINDS[:3]) | (F.col("live") & ~example))
+    each = each.join(shared, "h", "left").withColumns({"owners": F.coalesce("owners", own), "repos": F.coalesce("repos", own)})
+    judged = each.withColumn("verdict", verdict).where(F.col("kind").isin(*KINDS[:3]) | (F.col("live") & ~example))
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
     spans = judged.groupBy(F.col("rid").alias("r")).agg(
         F.array_sort(F.collect_list(F.struct("s", rank.alias("rank"), "e", "kind", "h", "live", "owners", "repos", "verdict"))).alias("found")
     )
-    out = rows.select("rid", "doc_id").join(spans, F.col("rid") == F.col("r"), "left")
-    return out.select("doc_id", F.coalesce("found", F.array().cast(spans.schema["found"].dataType)).alias("spans"))
+    none = F.array().cast(spans.schema["found"].dataType)
+    some = rows.where(F.size("spans") > 0).select("rid", "doc_id").join(spans, F.col("rid") == F.col("r"), "left")
+    return some.select("doc_id", F.coalesce("found", none).alias("spans")).unionByName(rows.where(F.size("spans") == 0).select("doc_id", none.alias("spans")))
 
 
-def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mask: str = "[SECRET]", **scan: object) -> DataFrame:
-    """``docs`` with every reported span but widely copied examples replaced by ``mask``; all columns stay.
+def redact(docs: DataFrame, *, text_col: str = "text", mask: str = "[SECRET]", **scan: object) -> DataFrame:
+    """``docs`` with every reported span but widely copied examples replaced by ``mask``; all columns and rows stay.
 
-    Texts whose id occurs twice get the spans of all rows of that id only if those rows' texts are equal; the join is on id and
-    text hash.
+    Null texts stay null and empty ones empty. Rows with equal or null ids are masked each by its own spans; an empty table
+    gives no rows; extra columns, whatever their names, are returned as they are.
     """
-    key = F.xxhash64(F.col(text_col))
-    keyed = docs.withColumn("__key", key)
-    found = scan_secrets(docs.withColumn("__id", F.struct(F.col(id_col).alias("id"), key.alias("key"))), id_col="__id", text_col=text_col, **scan)
+    row, body, names = "doc", "body", [f"c{k}" for k in range(len(docs.columns))]
+    plain = docs.toDF(*names)
+    at = dict(zip(docs.columns, names, strict=True))
+    scan = {k: tuple(at[c] for c in scan.get(k, v)) for k, v in (("repo_cols", ("source", "lang")), ("owner_cols", ("source",)))} | {k: v for k, v in scan.items() if not k.endswith("_cols")}
+    found = scan_secrets(plain.withColumn(row, F.struct(*names)), id_col=row, text_col=at[text_col], **scan)
     cuts = F.filter("spans", lambda x: x["verdict"] != "example")
-    found = found.where(F.size(cuts) > 0).select(F.col("doc_id.id").alias("__i"), F.col("doc_id.key").alias("__k"), F.transform(cuts, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))).alias("__cuts"))
-    found = found.dropDuplicates(["__i", "__k"])
-    joined = keyed.join(found, F.col(id_col).eqNullSafe(F.col("__i")) & (F.col("__key") == F.col("__k")), "left")
-    text = F.col(text_col)
+    joined = found.select("doc_id.*", cuts.alias("cuts")).withColumn(body, F.col(at[text_col]))
+    cuts = F.col("cuts")
+    text = F.col(body)
     # Left to right: kept so far and where the next piece starts; overlapping spans are masked once.
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
@@ -162,5 +190,6 @@ def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", m
         piece = F.concat(a["out"], F.substring(text, a["at"] + 1, x["s"] - a["at"]), F.lit(mask))
         return F.struct(F.when(fresh, piece).otherwise(a["out"]).alias("out"), F.greatest(a["at"], x["e"]).alias("at"))
 
-    masked = F.aggregate("__cuts", start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    return joined.withColumn(text_col, F.when(F.col("__cuts").isNotNull(), masked).otherwise(text)).select(*docs.columns)
+    masked = F.aggregate(cuts, start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    masked = F.when(F.size(cuts) > 0, masked).otherwise(text)
+    return joined.select(*[(masked if c == text_col else F.col(at[c])).alias(c) for c in docs.columns])
