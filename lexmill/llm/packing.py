@@ -4,9 +4,9 @@
    full pieces (the first takes the remainder). Only the pieces' sizes and checksums are written.
 2. The length histogram - at most ``capacity`` counts, whatever the corpus' size - defines the configuration program: cover
    every length's count with as few sequences as possible, each a multiset of lengths that fits. It is solved by
-   multiplicative weights: lengths that lag behind gain weight, a knapsack dynamic program prices configurations under
-   the weights, and near-optimal ones are used for a fraction of what they can cover. The fractions are rounded down; the same
-   pricing finishes the remaining counts in whole steps.
+   multiplicative weights: a knapsack dynamic program prices configurations under the weights (and so gives a bound from below),
+   configurations that fill a sequence are used in whole steps, and lengths that stay uncovered gain weight for the next
+   round. What the best round leaves is packed by best fit on counts; the plan never has more sequences than best fit alone.
 3. Every piece gets a rank among the pieces of its length: position inside its scan partition plus the partition's
    offset, so a length that a third of all pieces share is ranked by many tasks. Ranks map to sequences and
    offsets by the plan's ranges (some thousand rows, bounded by the histogram and the passes, not by the corpus).
@@ -18,6 +18,7 @@ import base64
 import re
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -109,34 +110,35 @@ def tokenize_pieces(docs: DataFrame, json_path: str, ranks_path: str | None, *,
     return rows.mapInArrow(_pieces(json_path, ranks_path, capacity, end_id), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def _price(capacity: int, lengths: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Unbounded knapsack: best value and last chosen length at every capacity (0: none). ``lengths`` ascend."""
-    best, last = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
+def _price(capacity: int, lengths: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Unbounded knapsack: the best value at every capacity. ``lengths`` ascend."""
+    best = np.zeros(capacity + 1)
     upto = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
     for c in range(1, capacity + 1):
         k = upto[c]
-        best[c], last[c] = best[c - 1], 0
-        if k:
-            v = best[c - lengths[:k]] + values[:k]
-            j = int(v.argmax())
-            if v[j] > best[c]:
-                best[c], last[c] = v[j], lengths[j]
-    return best, last
-
-
-def _fill(last: np.ndarray, room: int, left: np.ndarray, config: dict[int, int]) -> int:
-    """Add to ``config`` what the program chose for ``room``, no length more often than it is left; the room that stays."""
-    spare, c = room, room
-    while c > 0:
-        n = int(last[c])
-        if not n:
-            c -= 1
-            continue
-        if left[n] - config.get(n, 0) >= 1:
-            config[n] = config.get(n, 0) + 1
-            spare -= n
-        c -= n
-    return spare
+        best[c] = max(best[c - 1], (best[c - lengths[:k]] + values[:k]).max()) if k else best[c - 1]
+    return best
+
+
+def _fill(best: np.ndarray, values: np.ndarray, room: int, left: np.ndarray, config: dict[int, int]) -> int:
+    """Add to ``config`` the program's choices for ``room`` among lengths of which some are left; the room that stays.
+
+    Every choice is the program's own step, (value + best value of the rest) at its highest, the longest of equal ones.
+    """
+    have = left[: room + 1] >= 1
+    for n, a in config.items():
+        if n <= room:
+            have[n] = left[n] - a >= 1
+    while room > 0:
+        lengths = np.flatnonzero(have[1 : room + 1]) + 1
+        if not len(lengths):
+            break
+        v = values[lengths] + best[room - lengths]
+        n = int(lengths[len(v) - 1 - int((v[::-1] >= v.max() - 1e-9).argmax())])
+        config[n] = config.get(n, 0) + 1
+        have[n] = left[n] - config[n] >= 1
+        room -= n
+    return room
 
 
 def _best_fit(left: np.ndarray, capacity: int) -> dict[tuple[tuple[int, int], ...], int]:
@@ -167,49 +169,74 @@ def _best_fit(left: np.ndarray, capacity: int) -> dict[tuple[tuple[int, int], ..
     return out
 
 
-def plan(counts: dict[int, int], capacity: int, *, passes: int = 20, share: float = 0.25, rate: float = 0.5) -> list[tuple[dict[int, int], int]]:
-    """[(configuration: length -> times, number of sequences)] that covers every count exactly.
+@dataclass(frozen=True)
+class Plan:
+    """Configurations with their number of sequences; a proven least number of sequences, and how many the program gave before rounding's rest."""
+
+    configs: list[tuple[dict[int, int], int]]
+    bound: int
+    priced: int
+
+    @property
+    def sequences(self) -> int:
+        return sum(k for _, k in self.configs)
 
-    The linear program's solution is a fractional use of full configurations; its floor is taken. What remains - at most
-    one use of each configuration, and counts that no full configuration covers - is packed by best fit on counts.
+
+def solve(counts: dict[int, int], capacity: int, *, rounds: int = 8, rate: float = 0.01) -> Plan:
+    """Configurations that hold every length as often as it counts.
+
+    The covering program asks for as few uses of configurations as cover all counts. Its prices are weights, first the lengths
+    themselves. Each round one dynamic program gives the best value of any configuration: prices divided by it solve the
+    dual, so their total bounds the number of sequences from below. Configurations are read off the same program, from the
+    longest length down, and used in whole steps, as often as their lengths are left (the rounding); those that waste room are left
+    out, and what they would cover is packed by best fit on counts. Then the weights of lengths that the round left uncovered
+    grow by a factor, and the next round prices again. The round with the fewest sequences counts; a round that meets the bound
+    is the last.
     """
-    left = np.zeros(capacity + 1)
+    whole = np.zeros(capacity + 1)
     for n, k in counts.items():
-        left[n] = k
-    whole, weight = np.maximum(left, 1), np.ones(capacity + 1)
-    used: dict[tuple[tuple[int, int], ...], float] = {}
-    for _ in range(passes):
-        lengths = np.flatnonzero(left >= 1)
-        if not len(lengths):
+        whole[n] = k
+    full, whole[capacity] = int(whole[capacity]), 0
+    every = np.flatnonzero(whole)
+    size, weight = np.arange(capacity + 1) / capacity, np.ones(capacity + 1)
+    bound, found = 0, None
+    for _ in range(rounds):
+        values, left = size * weight, whole.copy()
+        best = _price(capacity, every, values[every])
+        if len(every):
+            bound = max(bound, int(np.ceil((whole * values).sum() / best[capacity] - 1e-6)))
+        used: dict[tuple[tuple[int, int], ...], int] = {}
+        for n in every[::-1]:
+            while left[n] >= 1:
+                config = {int(n): 1}
+                if _fill(best, values, capacity - int(n), left, config):
+                    break
+                step = int(min(left[k] // a for k, a in config.items()))
+                for k, a in config.items():
+                    left[k] -= a * step
+                key = tuple(sorted(config.items()))
+                used[key] = used.get(key, 0) + step
+        priced = sum(used.values())
+        for c, x in _best_fit(left.astype(np.int64), capacity).items():
+            used[c] = used.get(c, 0) + x
+        if found is None or sum(used.values()) < sum(found[0].values()):
+            found = used, priced
+        if sum(found[0].values()) <= bound:
             break
-        _, last = _price(capacity, lengths, lengths * weight[lengths] / capacity)
-        moved = 0.0
-        for n in lengths[::-1]:
-            config = {int(n): 1}
-            if left[n] < 1 or _fill(last, capacity - int(n), left, config):
-                continue  # not full: left to best fit
-            step = share * min(left[k] / a for k, a in config.items())
-            for k, a in config.items():
-                left[k] -= a * step
-            key = tuple(sorted(config.items()))
-            used[key] = used.get(key, 0.0) + step
-            moved += step
-        if moved < 1:
-            break
-        # Multiplicative weights: lengths that lag behind the mean coverage gain value. Small lengths are worth more than
-        # their size only then, so that they are kept for the room that long ones leave.
-        lag = left / whole
-        weight = np.clip(weight * np.exp(rate * (lag - lag[lengths].mean())), 0.5, 2.0)
-    out = {c: int(x) for c, x in used.items() if x >= 1}
-    rest = np.zeros(capacity + 1, np.int64)
+        weight[every] *= np.exp(rate * left[every] / whole[every])
+    configs, priced = found or ({}, 0)
+    out = [(dict(c), x) for c, x in configs.items()] + ([({capacity: 1}, full)] if full else [])
+    return Plan(out, bound + full, priced)
+
+
+def plan(counts: dict[int, int], capacity: int) -> Plan:
+    """``solve``'s plan, or that of best fit alone if it has fewer sequences."""
+    found = solve(counts, capacity)
+    whole = np.zeros(capacity + 1, np.int64)
     for n, k in counts.items():
-        rest[n] = k
-    for c, x in out.items():
-        for n, a in c:
-            rest[n] -= a * x
-    for c, x in _best_fit(rest, capacity).items():
-        out[c] = out.get(c, 0) + x
-    return [(dict(c), x) for c, x in out.items()]
+        whole[n] = k
+    plain = [(dict(c), x) for c, x in _best_fit(whole, capacity).items()]
+    return found if found.sequences <= sum(x for _, x in plain) else Plan(plain, found.bound, 0)
 
 
 def _ranges(configs: list[tuple[dict[int, int], int]]) -> np.ndarray:
@@ -244,7 +271,7 @@ def pack(
     pieces = tokenize_pieces(docs, json_path, ranks_path, capacity=capacity, end_id=end_id, id_col=id_col, text_col=text_col)
     pieces = materialize(pieces.withColumn("part", F.spark_partition_id()), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``capacity`` rows
-    ranges = _ranges(plan(counts, capacity))
+    ranges = _ranges(plan(counts, capacity).configs)
     held = pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     held = held.select(F.col("length").alias("l"), F.col("part").alias("p"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))

@@ -178,18 +178,35 @@ def test_packing_is_exact_and_tight(docs, empty):
     assert packing.pack(empty, json_path, ranks).count() == 0
 
 
-def test_plan_covers_counts_near_the_bound():
+@pytest.mark.parametrize("times", [1, 25])
+@pytest.mark.parametrize(("spread", "mean", "gap"), [(1.0, 5.0, 0.002), (0.3, 5.6, 0.01), (1.5, 4.0, 0.002)])  # the second has no short lengths to fill with
+def test_plan_covers_counts_by_the_program_and_beats_best_fit(spread, mean, gap, times):
+    import numpy as np
+
     r = random.Random(0)
-    counts = Counter(min(1 + int(r.lognormvariate(5, 1)), 1024) for _ in range(40_000))
+    counts = {n: k * times for n, k in Counter(min(1 + int(r.lognormvariate(mean, spread)), 1024) for _ in range(20_000)).items()}
     plan = packing.plan(counts, 1024)
     used = Counter()
-    for config, times in plan:
+    for config, k in plan.configs:
         assert sum(n * a for n, a in config.items()) <= 1024
         for n, a in config.items():
-            used[n] += a * times
+            used[n] += a * k
     assert used == counts
-    bound = -(-sum(n * k for n, k in counts.items()) // 1024)
-    assert sum(k for _, k in plan) <= 1.005 * bound + 1
+    left = np.zeros(1025, np.int64)
+    for n, k in counts.items():
+        left[n] = k
+    assert plan.bound >= -(-sum(n * k for n, k in counts.items()) // 1024)
+    assert plan.bound <= plan.sequences <= sum(packing._best_fit(left, 1024).values())
+    assert plan.sequences <= (1 + gap) * plan.bound + 1
+
+
+def test_plan_is_optimal_on_small_histograms_and_empty_ones():
+    assert packing.plan({}, 64).configs == [] and packing.plan({}, 64).sequences == 0
+    assert packing.plan({64: 7}, 64).sequences == 7
+    assert packing.plan({33: 10}, 64).sequences == 10
+    assert packing.plan({40: 6, 24: 6, 20: 3, 44: 3}, 64).sequences == 9
+    found = packing.plan({32: 10, 31: 5, 1: 5}, 64)
+    assert found.sequences == 8 and found.bound == 8
 
 
 def test_lm_scores(spark, docs, empty):
