@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from lexmill.llm.batches import U, chunks, mix, shingles, word_hashes
 from lexmill.operators.components import connected_components
 from lexmill.plans.joins import broadcast_if_small
-from lexmill.plans.scratch import materialize
+from lexmill.plans.scratch import materialize, passing
 from lexmill.session import ship
 
 _rng = np.random.default_rng(85)
@@ -116,27 +116,26 @@ def near_duplicates(
     rows = materialize(rows, "sketches")
     classes = rows.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     classes = materialize(classes, "classes")
+    ids = classes.select(F.col("node").alias("c_node"), F.col("rep").alias("component_id"))
+    with passing():
+        links = _links(body, classes, _lists(classes, matches), kind, shingle, percent, matches, rounds)
+        if links is not None:
+            parts = classes.select("node", "rep").join(connected_components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+            least = parts.groupBy("component").agg(F.min("rep").alias("component_id"))
+            ids = materialize(parts.join(least, "component").select(F.col("node").alias("c_node"), "component_id"), "components", keep=True)
+    out = rows.select("doc_id", "n", "node").join(ids, F.col("node") == F.col("c_node"), "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def _lists(classes: DataFrame, matches: int) -> DataFrame:
+    """(key, node, n, met): the prefix posts of every class that has ``matches`` shared posts."""
     key = F.shiftleft(F.col("k").cast("long"), 32).bitwiseOR(F.col("v").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
     posts = classes.select("node", "n", F.posexplode("sig").alias("k", "v")).select("node", "n", key.alias("key"))
     shared = posts.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     held = posts.join(shared, "key").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("p"), F.sum("df").alias("met"))  # at most one a coordinate
     prefix = F.transform(F.slice("p", F.lit(1), F.size("p") - (matches - 1)), lambda x: x["key"])
-    lists = materialize(held.where(F.size("p") >= matches).select(F.explode(prefix).alias("key"), "node", "n", "met"), "lists")
-    if lists.isEmpty():
-        links = None
-    else:
-        links = _links(body, classes, lists, kind, shingle, percent, matches, rounds)
-    ids = classes.select("node", "rep")
-    if links is not None:
-        parts = connected_components(links)
-        ids = ids.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        least = ids.groupBy("component").agg(F.min("rep").alias("component_id"))
-        ids = materialize(ids.join(least, "component").select(F.col("node").alias("c_node"), "component_id"), "components")
-    else:
-        ids = ids.select(F.col("node").alias("c_node"), F.col("rep").alias("component_id"))
-    out = rows.select("doc_id", "n", "node").join(ids, F.col("node") == F.col("c_node"), "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    return materialize(held.where(F.size("p") >= matches).select(F.explode(prefix).alias("key"), "node", "n", "met"), "lists")
 
 
 def _hub(turn: int) -> Column:
@@ -197,8 +196,10 @@ def _across(now: DataFrame, side: Callable[[str], DataFrame], percent: int) -> D
     return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
-def _links(body: DataFrame, classes: DataFrame, lists: DataFrame, kind: str, n: int, percent: int, matches: int, rounds: int) -> DataFrame:
-    """Confirmed links (a, b) between classes: enough of them to connect all that are linked."""
+def _links(body: DataFrame, classes: DataFrame, lists: DataFrame, kind: str, n: int, percent: int, matches: int, rounds: int) -> DataFrame | None:
+    """Confirmed links (a, b) between classes: enough of them to connect all that are linked; None without any candidate."""
+    if lists.isEmpty():
+        return None
     met = lists.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("key")
     lists = materialize(lists.join(met, "key"), "lists")
     concerned = materialize(lists.select("node").distinct().join(classes, "node").select("node", F.col("rep").alias("c_id"), "sig"), "concerned")
@@ -245,4 +246,4 @@ def _links(body: DataFrame, classes: DataFrame, lists: DataFrame, kind: str, n:
         links = new if links is None else links.unionByName(new)
         turn += 1
         productive = 10 * new.count() >= pairs.count()  # else what is left is near, but not linked: test it once and for all
-    return links if links is not None else lists.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    return links
