@@ -79,23 +79,13 @@ def prefix_subtree(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""WITH RECURSIVE t AS (SELECT DISTINCT {_ID} AS id FROM lineitem WHERE l_orderkey < 500), a AS (
+    f"""WITH RECURSIVE t AS (SELECT DISTINCT {_ID} AS id FROM lineitem), a AS (
     SELECT id, id AS ancestor FROM t UNION ALL
     SELECT id, array_to_string(string_split(ancestor, '/')[1:len(string_split(ancestor, '/')) - 1], '/') FROM a WHERE len(string_split(ancestor, '/')) > 5)
     SELECT id, ancestor, len(string_split(ancestor, '/')) - 5 AS depth FROM a"""
 )
 def recursive_ancestors(spark: SparkSession, sf: str) -> DataFrame:
-    return _recursive_ancestors(spark, sf, "cast(section as long) < 500")
-
-
-@query(None)
-def recursive_ancestors_all(spark: SparkSession, sf: str) -> DataFrame:
-    """``recursive_ancestors`` over the whole table; its SQL is of section < 500."""
-    return _recursive_ancestors(spark, sf, "true")
-
-
-def _recursive_ancestors(spark: SparkSession, sf: str, which: str) -> DataFrame:
-    return lookup.ancestors(sections(spark, sf).where(which).select("id").distinct(), "id")
+    return lookup.ancestors(sections(spark, sf).select("id").distinct(), "id")
 
 
 def _edges(spark: SparkSession, sf: str) -> DataFrame:
@@ -130,21 +120,11 @@ def incoming_outgoing_left_join(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT a, b FROM (SELECT id AS a, lead(id) OVER (ORDER BY id) AS b FROM (SELECT DISTINCT {_ID} AS id FROM lineitem WHERE l_orderkey < 2000))
+    f"""SELECT a, b FROM (SELECT id AS a, lead(id) OVER (ORDER BY id) AS b FROM (SELECT DISTINCT {_ID} AS id FROM lineitem))
     WHERE b IS NOT NULL AND array_to_string(string_split(a, '/')[1:5], '/') <> array_to_string(string_split(b, '/')[1:5], '/')"""
 )
 def anti_internal_edges(spark: SparkSession, sf: str) -> DataFrame:
-    return _anti_internal_edges(spark, sf, "cast(section as long) < 2000")
-
-
-@query(None)
-def anti_internal_edges_all(spark: SparkSession, sf: str) -> DataFrame:
-    """``anti_internal_edges`` over the whole table; its SQL is of section < 2000."""
-    return _anti_internal_edges(spark, sf, "true")
-
-
-def _anti_internal_edges(spark: SparkSession, sf: str, which: str) -> DataFrame:
-    rows = sections(spark, sf).where(which).select("id").distinct()
+    rows = sections(spark, sf).select("id").distinct()
     return graph.without_internal(lookup.successors(rows, "id"), "a", "b")
 
 
@@ -237,48 +217,28 @@ def fuzzy_nearest_top3(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """WITH q AS (SELECT CAST(p_partkey AS VARCHAR) AS query FROM part WHERE p_partkey < 300), v AS (
+    """WITH q AS (SELECT CAST(p_partkey AS VARCHAR) AS query FROM part), v AS (
     SELECT query, query || s AS name FROM q, (VALUES ('A'), ('B'), ('C'), ('D'), ('T')) t(s)
     UNION SELECT query, substr(query, 1, i - 1) || substr(query, i + 1, 1) || substr(query, i, 1) || substr(query, i + 2) FROM q, generate_series(1, 20) g(i) WHERE i < length(query))
     SELECT query, name FROM v JOIN q n ON n.query = v.name WHERE v.query <> v.name""".replace("SELECT query, name FROM v JOIN q n", "SELECT v.query, v.name FROM v JOIN q n")
 )
 def variant_generator_join(spark: SparkSession, sf: str) -> DataFrame:
-    return _variant_generator_join(spark, sf, "p_partkey < 300")
-
-
-@query(None)
-def variant_generator_join_all(spark: SparkSession, sf: str) -> DataFrame:
-    """``variant_generator_join`` over the whole table; its SQL is of p_partkey < 300."""
-    return _variant_generator_join(spark, sf, "true")
-
-
-def _variant_generator_join(spark: SparkSession, sf: str, which: str) -> DataFrame:
-    q = table(spark, sf, "part").where(which).select(F.col("p_partkey").cast("string").alias("query"))
+    q = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("query"))
     made = q.select("query", F.explode(fuzzy.variants(F.col("query"))).alias("name"))
     return made.join(q.select(F.col("query").alias("name")), "name", "left_semi").select("query", "name")
 
 
 @query(
-    """WITH t AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark WHERE item_id < 5), w AS (
+    """WITH t AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark), w AS (
     SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS term FROM documents)
     SELECT term, count(*) AS n_docs FROM w JOIN t USING (term) WHERE length(term) >= 6 GROUP BY term"""
 )
 def containment_join_terms(spark: SparkSession, sf: str) -> DataFrame:
-    return _term_counts(spark, sf, "item_id < 5")
-
-
-def _term_counts(spark: SparkSession, sf: str, which: str) -> DataFrame:
-    terms = table(spark, sf, "benchmark").where(which).select(F.explode(search.tokens(F.col("text"))).alias("term")).distinct().where(F.length("term") >= 6)
+    terms = table(spark, sf, "benchmark").select(F.explode(search.tokens(F.col("text"))).alias("term")).distinct().where(F.length("term") >= 6)
     words = table(spark, sf, "documents").select("doc_id", F.explode(F.array_distinct(search.tokens(F.col("text")))).alias("term"))
     return words.join(terms, "term").groupBy("term").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
-@query(None)
-def containment_join_terms_all(spark: SparkSession, sf: str) -> DataFrame:
-    """``containment_join_terms`` for the terms of every item; its SQL is of five."""
-    return _term_counts(spark, sf, "true")
-
-
 @query("WITH k(kind, word) AS (VALUES ('metal', 'BRASS'), ('metal', 'STEEL'), ('size', 'SMALL'), ('all', '')) SELECT DISTINCT p_partkey, kind FROM part JOIN k ON contains(p_type, word)")
 def keyword_cross_join(spark: SparkSession, sf: str) -> DataFrame:
     # three fixed kinds, so keywords are expressions on the row instead of a join
@@ -389,50 +349,24 @@ def near_window_match(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    r"""WITH b AS (SELECT item_id, regexp_replace(lower(text), '\s+', ' ', 'g') AS needle FROM benchmark WHERE item_id < 20)
+    r"""WITH b AS (SELECT item_id, regexp_replace(lower(text), '\s+', ' ', 'g') AS needle FROM benchmark)
     SELECT item_id, count(doc_id) AS n_docs FROM b LEFT JOIN documents ON contains(regexp_replace(lower(text), '\s+', ' ', 'g'), needle) GROUP BY item_id"""
 )
 def phrase_containment(spark: SparkSession, sf: str) -> DataFrame:
-    # twenty fixed phrases: one pass with a flag for each, no pair of phrase and document is formed
-    flat = lambda c: F.regexp_replace(F.lower(c), r"\s+", " ")
-    phrases = table(spark, sf, "benchmark").where("item_id < 20").select("item_id", flat(F.col("text")).alias("n")).orderBy("item_id").collect()
-    counts = table(spark, sf, "documents").select(flat(F.col("text")).alias("t")).agg(
-        F.array(*[F.struct(F.lit(r["item_id"]).alias("item_id"), F.count_if(F.contains("t", F.lit(r["n"]))).alias("n_docs")) for r in phrases]).alias("r")
-    )
-    return counts.select(F.explode("r").alias("r")).select("r.item_id", "r.n_docs")
+    return search.phrase_counts(table(spark, sf, "benchmark"), "item_id", "text", table(spark, sf, "documents"), "doc_id", "text")
 
 
 @query(
-    """WITH p AS (SELECT item_id, array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+')[1:n], ' ') AS prefix, n FROM benchmark, generate_series(1, 8) g(n) WHERE item_id < 10),
+    """WITH w AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM benchmark), p AS (SELECT item_id, array_to_string(w[1:n], ' ') AS prefix, n FROM (SELECT item_id, w, unnest(range(1, len(w) + 1)) AS n FROM w)),
     d AS (SELECT ' ' || array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ') || ' ' AS t FROM documents)
     SELECT item_id, max(n) AS longest FROM p WHERE EXISTS (SELECT 1 FROM d WHERE contains(t, ' ' || prefix || ' ')) GROUP BY item_id"""
 )
 def longest_prefix_match(spark: SparkSession, sf: str) -> DataFrame:
-    items = table(spark, sf, "benchmark").where("item_id < 10").select("item_id", search.tokens(F.col("text")).alias("t"))
-    t = table(spark, sf, "documents").select(search.tokens(F.col("text")).alias("t"))
-    # prefixes join the documents' runs of the same first word by equality
-    prefixes = items.select("item_id", F.explode(F.sequence(F.lit(1), F.lit(8))).alias("n"), "t").select("item_id", "n", F.array_join(F.slice("t", F.lit(1), F.col("n")), " ").alias("g"))
-    firsts = [r["f"] for r in items.select(F.get("t", F.lit(0)).alias("f")).distinct().collect()]
-    t = t.select(F.filter(F.transform("t", lambda x, i: F.when(x.isin(firsts), F.slice("t", i + 1, 8))), lambda x: x.isNotNull()).alias("runs"))
-    runs = t.select(F.explode("runs").alias("t")).distinct()
-    runs = runs.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("t")), lambda n: F.array_join(F.slice("t", F.lit(1), n), " "))).alias("g")).distinct()
-    return prefixes.join(runs, "g").groupBy("item_id").agg(F.max("n").alias("longest"))
-
-
-@query(None)
-def longest_prefix_match_all(spark: SparkSession, sf: str) -> DataFrame:
-    """``longest_prefix_match`` for every item and every length; its SQL is of ten items and eight words."""
     return search.longest_prefixes(table(spark, sf, "benchmark"), "item_id", "text", table(spark, sf, "documents"), "text")
 
 
-@query(None)
-def phrase_containment_all(spark: SparkSession, sf: str) -> DataFrame:
-    """``phrase_containment`` for every item; its SQL is of twenty."""
-    return search.phrase_counts(table(spark, sf, "benchmark"), "item_id", "text", table(spark, sf, "documents"), "doc_id", "text")
-
-
 @query(
-    """WITH h AS (SELECT o_custkey % 50 AS e, CAST(o_orderdate AS DATE) AS d, o_custkey AS h, max(CAST(o_totalprice % 60 AS DECIMAL(9,4))) AS p FROM orders WHERE o_custkey < 400 GROUP BY ALL),
+    """WITH h AS (SELECT o_custkey % 1000 AS e, CAST(o_orderdate AS DATE) AS d, o_custkey AS h, max(CAST(o_totalprice % 60 AS DECIMAL(9,4))) AS p FROM orders GROUP BY ALL),
     dates AS (SELECT DISTINCT e, d AS t FROM h),
     x AS (SELECT dates.e, t, h.h, arg_max(p, d) AS now, max(p) AS peak,
       least(min(p) FILTER (WHERE d >= CAST(t - INTERVAL 3 YEAR AS DATE)), arg_max(p, d) FILTER (WHERE d < CAST(t - INTERVAL 3 YEAR AS DATE))) AS low
@@ -441,18 +375,8 @@ def phrase_containment_all(spark: SparkSession, sf: str) -> DataFrame:
       sum(CASE WHEN peak >= 5 THEN greatest(now - low, 0) ELSE 0 END) > 50 AS changed FROM x GROUP BY e, t"""
 )
 def owner_shift_3y(spark: SparkSession, sf: str) -> DataFrame:
-    return _owner_shift_3y(spark, sf, "o_custkey < 400")
-
-
-@query(None)
-def owner_shift_3y_all(spark: SparkSession, sf: str) -> DataFrame:
-    """``owner_shift_3y`` over the whole table; its SQL is of o_custkey < 400."""
-    return _owner_shift_3y(spark, sf, "true")
-
-
-def _owner_shift_3y(spark: SparkSession, sf: str, which: str) -> DataFrame:
-    register = table(spark, sf, "orders").where(which).select(
-        (F.col("o_custkey") % 50).alias("company"), F.col("o_orderdate").cast("date").alias("day"), F.col("o_custkey").alias("holder"), (F.col("o_totalprice") % 60).cast("decimal(9,4)").alias("percent")
+    register = table(spark, sf, "orders").select(
+        (F.col("o_custkey") % 1000).alias("company"), F.col("o_orderdate").cast("date").alias("day"), F.col("o_custkey").alias("holder"), (F.col("o_totalprice") % 60).cast("decimal(9,4)").alias("percent")
     )
     out = models.owner_shift(register, "company", "day", "holder", "percent")
     return out.select("company", F.col("when").cast("string").alias("when"), F.col("total_increase").cast("double").alias("total_increase"), "changed")
@@ -616,16 +540,16 @@ def events_by_hour(spark: SparkSession, sf: str) -> DataFrame:
 
 def _memos(spark: SparkSession, sf: str) -> DataFrame:
     """A memo per order: one statute citation, one ruling, one regulation."""
-    o = table(spark, sf, "orders")
+    o, section = table(spark, sf, "orders"), F.col("o_custkey") * 7 % 9000 + 1
     text = F.concat(
-        F.lit("Under § "), F.col("o_custkey") % 300, F.lit("("), F.char(97 + F.col("o_orderkey") % 6), F.lit("), see Rev. Rul. 2019-"), 1 + F.col("o_orderkey") % 30,
-        F.lit(" and Treas. Reg. § 1."), F.col("o_custkey") % 300, F.lit("-1."),
+        F.lit("Under § "), section, F.lit("("), F.char(97 + F.col("o_orderkey") % 6), F.lit("), see Rev. Rul. 2019-"), 1 + F.col("o_orderkey") % 30,
+        F.lit(" and Treas. Reg. § 1."), section, F.lit("-1."),
     )
     return o.select(F.col("o_orderkey").alias("doc_id"), text.alias("text"))
 
 
 def _provisions(spark: SparkSession, sf: str) -> DataFrame:
-    p = table(spark, sf, "part").where("p_partkey <= 200").select(F.col("p_partkey").cast("string").alias("section"), "p_name", "p_partkey")
+    p = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("section"), "p_name", "p_partkey")
     status = F.when(F.col("p_partkey") % 10 == 0, "repealed").otherwise("active")
     paths = F.explode(F.array(F.array().cast("array<string>"), *[F.array(F.lit(c)) for c in "abcd"]))
     return p.select("section", "p_name", status.alias("status"), paths.alias("path")).select(ids.id_col(F.col("section"), F.col("path")).alias("id"), F.col("p_name").alias("heading"), "status")
@@ -635,8 +559,8 @@ def _rulings(spark: SparkSession) -> DataFrame:
     return inline(spark, "id string, status string", *[(f"rev-rul-2019-{n}", "superseded" if n % 4 == 0 else "active") for n in range(1, 20)])
 
 
-_VERIFIED = """WITH o AS (SELECT o_orderkey AS doc_id, o_custkey % 300 AS s, chr(CAST(97 + o_orderkey % 6 AS INTEGER)) AS c, 1 + o_orderkey % 30 AS r FROM orders), x AS (
-  SELECT doc_id, '§ ' || s || '(' || c || ')' AS display, CASE WHEN s > 200 THEN 'not_found' WHEN c > 'd' THEN 'pinpoint_not_found' WHEN s % 10 = 0 THEN 'repealed' ELSE 'verified' END AS status FROM o
+_VERIFIED = """WITH o AS (SELECT o_orderkey AS doc_id, o_custkey * 7 % 9000 + 1 AS s, p_partkey AS p, chr(CAST(97 + o_orderkey % 6 AS INTEGER)) AS c, 1 + o_orderkey % 30 AS r FROM orders LEFT JOIN part ON p_partkey = o_custkey * 7 % 9000 + 1), x AS (
+  SELECT doc_id, '§ ' || s || '(' || c || ')' AS display, CASE WHEN p IS NULL THEN 'not_found' WHEN c > 'd' THEN 'pinpoint_not_found' WHEN s % 10 = 0 THEN 'repealed' ELSE 'verified' END AS status FROM o
   UNION ALL SELECT doc_id, 'Rev. Rul. 2019-' || r, CASE WHEN r > 19 THEN 'not_found' WHEN r % 4 = 0 THEN 'superseded' ELSE 'verified' END FROM o
   UNION ALL SELECT doc_id, 'Treas. Reg. § 1.' || s || '-1', 'source_unavailable' FROM o), y AS (
   SELECT *, CASE WHEN status = 'verified' THEN 'ok' WHEN status = 'source_unavailable' THEN 'info' WHEN status = 'superseded' THEN 'warning' ELSE 'error' END AS severity FROM x)
@@ -664,42 +588,22 @@ def extract_citations_e2e(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """WITH t AS (SELECT DISTINCT p_partkey AS id FROM part WHERE p_partkey <= 30), v(k, scope) AS (VALUES (1, 'title'), (2, 'chapter'), (7, 'section'))
+    """WITH t AS (SELECT DISTINCT p_partkey AS id FROM part), v(k, scope) AS (VALUES (1, 'title'), (2, 'chapter'), (7, 'section'))
     SELECT '/us/usc/t26/s' || id || '/a/1' AS id, scope FROM t LEFT JOIN v ON k = id"""
 )
 def scope_inheritance(spark: SparkSession, sf: str) -> DataFrame:
-    return _scope_inheritance(spark, sf, "p_partkey <= 30")
-
-
-@query(None)
-def scope_inheritance_all(spark: SparkSession, sf: str) -> DataFrame:
-    """``scope_inheritance`` over the whole table; its SQL is of p_partkey <= 30."""
-    return _scope_inheritance(spark, sf, "true")
-
-
-def _scope_inheritance(spark: SparkSession, sf: str, which: str) -> DataFrame:
-    nodes = table(spark, sf, "part").where(which).select(F.concat(F.lit("/us/usc/t26/s"), "p_partkey", F.lit("/a/1")).alias("id"))
+    nodes = table(spark, sf, "part").select(F.concat(F.lit("/us/usc/t26/s"), "p_partkey", F.lit("/a/1")).alias("id"))
     stated = inline(spark, "sid string, scope string", ("/us/usc/t26/s1", "title"), ("/us/usc/t26/s2", "part"), ("/us/usc/t26/s2/a", "chapter"), ("/us/usc/t26/s7/a/1", "section"))
     return lookup.nearest_ancestor_value(nodes, "id", stated, "sid", "scope")
 
 
 @query(
     """SELECT o_orderkey AS doc_id, CASE o_orderkey % 4 WHEN 0 THEN 'quote_exact' WHEN 1 THEN 'wrong_pinpoint' WHEN 2 THEN 'misattributed' ELSE 'quote_not_found' END AS status
-    FROM orders WHERE o_orderkey < 2000"""
+    FROM orders"""
 )
 def quotes_e2e(spark: SparkSession, sf: str) -> DataFrame:
-    return _quotes_e2e(spark, sf, "o_orderkey < 2000")
-
-
-@query(None)
-def quotes_e2e_all(spark: SparkSession, sf: str) -> DataFrame:
-    """``quotes_e2e`` over the whole table; its SQL is of o_orderkey < 2000."""
-    return _quotes_e2e(spark, sf, "true")
-
-
-def _quotes_e2e(spark: SparkSession, sf: str, which: str) -> DataFrame:
     said = F.array(*map(F.lit, ("all the ordinary and necessary expenses paid", "salaries shall not exceed amounts prescribed", "all income from whatever source derived", "purple elephants dance under seven moons")))
-    docs = table(spark, sf, "orders").where(which).select(
+    docs = table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("It says “"), F.get(said, (F.col("o_orderkey") % 4).cast("int")), F.lit("” in § 162(a).")).alias("text")
     )
     provisions = inline(
@@ -707,3 +611,5 @@ def _quotes_e2e(spark: SparkSession, sf: str, which: str) -> DataFrame:
         ("/us/usc/t26/s162/b", "Reasonable salaries shall not exceed amounts prescribed by the rules of this title."), ("/us/usc/t26/s61", "Gross income means all income from whatever source derived, of any kind."),
     )
     return quotes.check_quotes(docs, provisions).select("doc_id", "status")
+
+

