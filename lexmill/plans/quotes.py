@@ -63,9 +63,11 @@ def check_quotes(docs: DataFrame, provisions: DataFrame, **columns: str) -> Data
     quote_exact and quote_close are matches in the cited provision, wrong_pinpoint elsewhere in its section, misattributed anywhere
     else; of several matches the best, then the shortest text, then the deepest counts.
     """
-    pairs = materialize(extract_pairs(docs, **columns), "quotes")
+    found = materialize(extract_pairs(docs, **columns), "quotes")
+    # A quotation that many documents make of one provision is checked once.
+    pairs = materialize(found.select("quote", "cited").distinct().withColumn("ask", F.monotonically_increasing_id()), "asked")
     p = provisions.select(F.col("id").alias("p_id"), F.col("text").alias("p_text")).where("p_text is not null")
-    key = ["doc_id", "q"]
+    key = ["ask"]
     best = Window.partitionBy(*key).orderBy(F.desc("score"), F.length("p_text"), F.desc(F.size(F.split("p_id", "/"))), "p_id")
     top = lambda rows: rows.withColumn("score", _score("quote", "p_text")).withColumn("r", F.row_number().over(best)).where("r = 1").select(*key, "p_id", "score")
     cited = materialize(top(pairs.join(p, F.col("cited") == F.col("p_id"))), "cited")
@@ -87,4 +89,5 @@ def check_quotes(docs: DataFrame, provisions: DataFrame, **columns: str) -> Data
         F.when((F.col("step") == "cited") & (F.col("score") >= EXACT), "quote_exact").when(F.col("step") == "cited", "quote_close")
         .when(F.col("step") == "section", "wrong_pinpoint").when(F.col("step") == "corpus", "misattributed").otherwise("quote_not_found")
     )
-    return pairs.join(steps, key, "left").withColumn("status", status).drop("step")
+    asked = pairs.join(steps, key, "left").withColumn("status", status).drop("step", *key).withColumnsRenamed({"quote": "a_quote", "cited": "a_cited"})
+    return found.join(asked, (F.col("quote") == F.col("a_quote")) & F.col("cited").eqNullSafe(F.col("a_cited"))).drop("a_quote", "a_cited")
