@@ -16,7 +16,8 @@ windows have the same anchor at the same place, and only the surroundings of anc
    rest - each refinement's numbers being used by the next, until a bucket is one ``length``-byte string; its least id decides.
 4. Blocks unite the covered ranges.
 
-Equal anchors, contexts and texts of one block travel once, so a passage in a third of all documents is one entry a block and
+Hashes only bring candidates together: contexts are compared byte by byte, texts by 128 bits. Equal anchors, contexts and texts
+of one block travel once, so a passage in a third of all documents is one entry a block and
 context. Groups are hash ranges, not keys.
 """
 
@@ -44,7 +45,7 @@ GROUP = 40_000
 NO_ID = np.iinfo(np.int64).max
 
 _BLOCKS = "block binary, ids binary, valid binary, sizes binary, places binary, body binary"
-_SLICES = "p int, block binary, keys binary, digests binary, least binary"
+_SLICES = "p int, block binary, keys binary, digests binary, halves binary, least binary"
 _CONTEXTS = "p int, block binary, body binary, lo binary, hi binary, least binary"
 _BACK = "block binary, kind int, p int, data binary, more binary"
 
@@ -130,9 +131,24 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, length: int) -> np.ndarray:
     return np.unique(np.concatenate(at)) if at else np.zeros(0, np.int64)
 
 
+#: 128 bits, compared whole: a text goes only if both halves are those of a smaller id's text.
+_DIGEST = np.dtype([("a", np.uint64), ("b", np.uint64)])
+
+
 def _digests(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     view = memoryview(raw)
-    return np.array([int.from_bytes(hashlib.blake2b(view[s:e], digest_size=8).digest(), "little") for s, e in zip(offsets[:-1], offsets[1:], strict=True)], U)
+    return np.frombuffer(b"".join(hashlib.blake2b(view[s:e], digest_size=16).digest() for s, e in zip(offsets[:-1], offsets[1:], strict=True)), _DIGEST)
+
+
+def _unique(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(where each distinct combination of 64-bit values comes first, in their order; the number of each row's combination)."""
+    n = len(columns[0])
+    order = np.lexsort(columns[::-1])
+    fresh = np.ones(n, bool)
+    fresh[1:] = np.logical_or.reduce([c[order][1:] != c[order][:-1] for c in columns])
+    number = np.empty(n, np.int64)
+    number[order] = np.cumsum(fresh) - 1
+    return order[fresh], number
 
 
 def _bounds(keys: np.ndarray, parts: int, bits: int) -> np.ndarray:
@@ -152,8 +168,9 @@ def _least(inverse: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
 
 def _texts(ids: np.ndarray, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(distinct digests ascending, least id of each, each text's digest's number)."""
-    digest, inverse = np.unique(_digests(raw, offsets), return_inverse=True)
-    return digest, _least(inverse, ids, len(digest)), inverse
+    every = _digests(raw, offsets)
+    first, inverse = _unique(every["a"], every["b"])
+    return every[first], _least(inverse, ids, len(first)), inverse
 
 
 def _send_anchors(parts: int, length: int):  # noqa: ANN202
@@ -163,13 +180,14 @@ def _send_anchors(parts: int, length: int):  # noqa: ANN202
                 ids, _, offsets, raw = _read(row)
                 keys = np.unique(_keys(raw, _places(row)))
                 digest, least, _ = _texts(ids, raw, offsets)
-                k, d = _bounds(keys, parts, 48), _bounds(digest, parts, 64)
+                k, d = _bounds(keys, parts, 48), _bounds(digest["a"], parts, 64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(range(parts), pa.int32()), pa.array([row["block"]] * parts, pa.binary()), pa.array([deltas(keys[s:e]) for s, e in zip(k[:-1], k[1:], strict=True)], pa.binary()),
-                        pa.array([deltas(digest[s:e]) for s, e in zip(d[:-1], d[1:], strict=True)], pa.binary()), pa.array([squeeze(least[s:e]) for s, e in zip(d[:-1], d[1:], strict=True)], pa.binary()),
+                        pa.array([deltas(digest["a"][s:e]) for s, e in zip(d[:-1], d[1:], strict=True)], pa.binary()), pa.array([squeeze(digest["b"][s:e]) for s, e in zip(d[:-1], d[1:], strict=True)], pa.binary()),
+                        pa.array([squeeze(least[s:e]) for s, e in zip(d[:-1], d[1:], strict=True)], pa.binary()),
                     ],
-                    ["p", "block", "keys", "digests", "least"],
+                    ["p", "block", "keys", "digests", "halves", "least"],
                 )
 
     return scan
@@ -194,8 +212,8 @@ def _join_anchors(table: pa.Table) -> pa.Table:
         at = np.minimum(np.searchsorted(shared, k), max(len(shared) - 1, 0))
         bits.append(np.packbits(shared[at] == k).tobytes() if len(shared) and len(k) else np.packbits(np.zeros(len(k), bool)).tobytes())
     digest = [undelta(x) for x in table.column("digests").to_pylist()]
-    every, inverse = np.unique(np.concatenate(digest), return_inverse=True)
-    least = _least(inverse, np.concatenate([unsqueeze(x, np.int64) for x in table.column("least").to_pylist()]), len(every))
+    first, inverse = _unique(np.concatenate(digest), np.concatenate([unsqueeze(x, np.uint64) for x in table.column("halves").to_pylist()]))
+    least = _least(inverse, np.concatenate([unsqueeze(x, np.int64) for x in table.column("least").to_pylist()]), len(first))
     cut = np.split(least[inverse], np.cumsum([len(d) for d in digest])[:-1])
     return _answers(table.column("block").to_pylist(), 0, p, bits, [squeeze(x) for x in cut])
 
@@ -232,6 +250,11 @@ class _Block:
         _, self.first, self.context = np.unique(h, return_index=True, return_inverse=True)
         self.lo, self.hi = lo, hi
         self.start = start
+        same = self.first[self.context]
+        if len(h) and not all((self._bytes(np.arange(s, min(s + GROUP, len(h)))) == self._bytes(same[s : s + GROUP])).all() for s in range(0, len(h), GROUP)):
+            whole = self._bytes(np.arange(len(h)))  # equal hashes of unequal bytes
+            whole = np.ascontiguousarray(np.c_[whole, lo.astype(np.uint8), hi.astype(np.uint8)])
+            _, self.first, self.context = np.unique(whole.view(f"V{whole.shape[1]}").ravel(), return_index=True, return_inverse=True)
         anchor = self._gram(self.at[self.first])
         self.part = (anchor % U(parts)).astype(np.int64)
         self.order = np.argsort(self.part, kind="stable")
@@ -274,14 +297,17 @@ class _Block:
         with np.errstate(over="ignore"):
             return self._span(at, at + Q)
 
-    def bytes_of(self, contexts: np.ndarray) -> np.ndarray:
-        i = self.first[contexts]
-        padded = np.r_[np.zeros(self.width, np.uint8), self.raw, np.zeros(self.width, np.uint8)]
-        out = padded[(self.start[i] + self.width)[:, None] + np.arange(self.width)]
+    def _bytes(self, i: np.ndarray) -> np.ndarray:
+        """The context of each place, with zeros outside its document."""
         place = np.arange(self.width)
+        at = self.start[i][:, None] + place
+        out = self.raw[np.clip(at, 0, len(self.raw) - 1)]
         out[(place < self.lo[i][:, None]) | (place >= self.hi[i][:, None])] = 0
         return out
 
+    def bytes_of(self, contexts: np.ndarray) -> np.ndarray:
+        return self._bytes(self.first[contexts])
+
 
 def _send_contexts(parts: int, length: int):  # noqa: ANN202
     schema = pa.schema([("p", pa.int32()), *[(x, pa.binary()) for x in ("block", "body", "lo", "hi", "least")]])
@@ -352,6 +378,10 @@ def _join_contexts(length: int):  # noqa: ANN202
                 anchor += v
         h = mix(mix(h) + lo.astype(U) * U(0x9E3779B1) + hi.astype(U) * U(0x85EBCA77C2B2AE63))
         _, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+        same = first[inverse]
+        if not all((c[s : s + GROUP] == c[same[s : s + GROUP]]).all() for c in (body, lo, hi) for s in range(0, len(h), GROUP)):  # else their bytes tell them apart
+            whole = np.ascontiguousarray(np.c_[body, lo.astype(np.uint8), hi.astype(np.uint8)])
+            _, first, inverse = np.unique(whole.view(f"V{whole.shape[1]}").ravel(), return_index=True, return_inverse=True)
         own = _least(inverse, np.concatenate(least), len(first))
         masks = np.zeros(len(first), U)
         # anchors with several contexts, in groups of whole anchors
