@@ -64,10 +64,19 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 def materialize_bucketed(df: DataFrame, column: str, buckets: int, label: str = "table") -> DataFrame:
     """Write ``df`` once as a table of the warehouse, bucketed by ``column``: later joins and co-groups on it don't shuffle it."""
+    return append_bucketed(df, column, buckets, f"lexmill_{label}_{uuid.uuid4().hex}")
+
+
+def append_bucketed(df: DataFrame, column: str, buckets: int, name: str) -> DataFrame:
+    """Add ``df`` to the bucketed table ``name``, which begins with the first rows, and return all of it.
+
+    A table that grows keeps its bucketing, which a union of bucketed tables loses. A lost executor's rows are written
+    again before they are committed, so none comes twice.
+    """
     spark = df.sparkSession
-    name = f"lexmill_{label}_{uuid.uuid4().hex}"
-    df.write.format("parquet").bucketBy(buckets, column).saveAsTable(name)
-    _tables.append((spark, name))
+    df.write.mode("append").format("parquet").bucketBy(buckets, column).saveAsTable(name)
+    if (spark, name) not in _tables:
+        _tables.append((spark, name))
     return spark.table(name)
 
 
