@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm.batches import U, chunks, deltas, mix, squeeze, undelta, unsqueeze, word_hashes
-from lexmill.plans.scratch import materialize, materialize_bucketed
+from lexmill.plans.scratch import append_bucketed, materialize_bucketed
 from lexmill.session import ship
 
 #: Text bytes of a block.
@@ -146,7 +146,7 @@ def _reduce(min_count: int):  # noqa: ANN202
         first, inverse, cuts = _by_key(table)
         kinds = [kind] * len(blocks)
         if kind % 2:
-            mass = np.concatenate([unsqueeze(x, np.float64).reshape(2, -1) for x in table.column("counts").to_pylist()], axis=1)
+            mass = np.concatenate([unsqueeze(x, np.float32).reshape(2, -1) for x in table.column("counts").to_pylist()], axis=1)
             arcs, below = (np.bincount(inverse, m, len(first)) for m in mass)
             alpha = np.where(arcs > 0, np.log10(np.maximum(1 - arcs, 1e-12) / np.maximum(1 - below, 1e-12)), 0.0).astype(np.float32)
             return _answer(blocks, kinds, p, [squeeze(alpha[i]) for i in np.split(inverse, cuts)])
@@ -242,7 +242,7 @@ def _walk(model: Model, order: int, step: int, row: dict, back: list[dict], part
         asked = asked[np.argsort(keys[asked])]
         if k == step:
             own &= ~np.isnan(arc)
-            mass = [np.bincount(of[example][own], 10.0 ** x[own], len(keys))[asked] for x in (arc, below)]
+            mass = [np.bincount(of[example][own], 10.0 ** x[own], len(keys))[asked].astype(np.float32) for x in (arc, below)]
             up.append(_send(2 * k + 1, row["block"], keys[asked], np.stack(mass), parts))
         else:
             alpha = np.zeros(len(keys) + 1, np.float32)  # the last is for no history
@@ -313,7 +313,13 @@ def score_texts(
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("body"), F.coalesce(train, F.lit(False)).alias("train"))
     blocks = materialize_bucketed(rows.mapInArrow(_blocks, _BLOCK_SCHEMA), "block", parts, "blocks")
     by_block = blocks.groupBy("block")
-    answer = lambda up: materialize(up.groupBy("kind", "p").applyInArrow(_reduce(min_count), _BACK), "answers")
+    name = f"lexmill_answers_{uuid.uuid4().hex}"
+
+    def answer(up: DataFrame) -> DataFrame:
+        """All answers so far: each is shuffled to its block once and written there, so that no later step shuffles it again."""
+        new = up.groupBy("kind", "p").applyInArrow(_reduce(min_count), _BACK)
+        return append_bucketed(new.repartition(parts, "block"), "block", parts, name)
+
     back = answer(blocks.mapInArrow(_unigrams(parts), _UP))
     tokens = distinct = 0
     for r in back.where(F.col("kind") == NUMBERS).select("data").toLocalIterator():
@@ -323,9 +329,9 @@ def score_texts(
     tokens, distinct = tokens + train_docs, distinct + (train_docs > 0)
     model = Model(np.zeros(0, U), np.zeros(0), train_docs, tokens, distinct, discount, min_count)
     model.least = max(min_count, tokens * history_share)
-    back = back.where("block is not null")
     for step in range(1, order + 1 if order > 1 else 1):
-        back = back.unionByName(answer(by_block.cogroup(back.groupBy("block")).applyInArrow(_ask(model, order, step, parts), _UP)))
+        back = answer(by_block.cogroup(back.where("block is not null").groupBy("block")).applyInArrow(_ask(model, order, step, parts), _UP))
+    back = back.where("block is not null")
     scored = by_block.cogroup(back.groupBy("block")).applyInArrow(
         _score(model, order, parts, id_type), f"doc_id {kind.simpleString()}, n_tokens long, n_known long, base_score double, score double"
     )
