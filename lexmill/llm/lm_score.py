@@ -238,7 +238,8 @@ def _walk(model: Model, order: int, step: int, row: dict, back: list[dict], part
         below = logs[e[example]]
         arc = model.weights(totals, total[of[example]], below)
         asked = np.unique(history)  # also those that only words without an arc follow here
-        asked = asked[(asked >= 0) & (total[asked] >= model.least)]
+        asked = asked[asked >= 0]
+        asked = asked[total[asked] >= model.least]
         asked = asked[np.argsort(keys[asked])]
         if k == step:
             own &= ~np.isnan(arc)
