@@ -35,6 +35,19 @@ def owner_shift(register: DataFrame, entity: str, day: str, holder: str, percent
     return out.select(F.col("e").alias(entity), F.col("t").alias("when"), "total_increase", (F.col("total_increase") > CHANGE).alias("changed"))
 
 
+def shift_summary(shifts: DataFrame, entity: str) -> DataFrame:
+    """(entity, first_change, peak_when, peak): from ``owner_shift``, the first date of a change (null: none) and the greatest rise, of equal ones the earliest."""
+    first = F.min(F.when(F.col("changed"), F.col("when"))).alias("first_change")
+    top = F.max(F.struct("total_increase", (-F.unix_date("when")).alias("day"), "when"))
+    rows = shifts.groupBy(entity).agg(first, top.alias("top"))
+    return rows.select(entity, "first_change", F.col("top.when").alias("peak_when"), F.col("top.total_increase").alias("peak"))
+
+
+def total_absorbed(schedule: DataFrame, id_col: str) -> DataFrame:
+    """(id, total): what a limitation schedule's years absorb together."""
+    return schedule.groupBy(id_col).agg(F.sum("absorbed").alias("total"))
+
+
 def limitations(scenarios: DataFrame, rates: DataFrame) -> DataFrame:
     """Scenarios (id, change_date, value, rbig, continuity, short_days) with annual and first: the yearly ceiling and a short first year's.
 

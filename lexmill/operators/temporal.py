@@ -43,3 +43,20 @@ def point_in_range(points: DataFrame, at: Column, ranges: DataFrame, lo: Column,
     r = r.withColumn("__cell", F.explode(F.sequence(F.floor(F.col("__lo") / width).cast("long"), F.floor(F.col("__hi") / width).cast("long"))))
     p = points.withColumn("__at", at).withColumn("__c", F.floor(F.col("__at") / width).cast("long"))
     return p.join(r, (F.col("__c") == F.col("__cell")) & (F.col("__at") >= F.col("__lo")) & (F.col("__at") < F.col("__hi"))).drop("__at", "__c", "__cell", "__lo", "__hi")
+
+
+def status_for(applies_after: Column, tax_year: Column) -> Column:
+    """applies if the year begins after the date, else not_yet; without a date unknown."""
+    first = F.make_date(tax_year, F.lit(1), F.lit(1))
+    return F.when(applies_after.isNull(), "unknown").when(first > applies_after, "applies").otherwise("not_yet")
+
+
+def later_amendments(notes: DataFrame, sections: DataFrame) -> DataFrame:
+    """(section_id, tax_year, heading, applies_after): amendments that don't reach the year yet, one row a note.
+
+    ``sections``: section_id, tax_year. An equi-join on the section; an amendment of 1 January counts as later.
+    """
+    n = notes.where(F.col("topic").isin("effectiveDateOfAmendment", "prospectiveAmendment") & F.col("applies_after").isNotNull())
+    n = n.select("section_id", "heading", "applies_after")
+    rows = sections.select("section_id", "tax_year").distinct().join(n, "section_id")
+    return rows.where(F.col("applies_after") >= F.make_date("tax_year", F.lit(1), F.lit(1))).select("section_id", "tax_year", "heading", "applies_after")

@@ -18,6 +18,11 @@ def compare_versions(before: DataFrame, after: DataFrame, key: str, heading: str
     return rows.select(F.coalesce("__bk", "__ak").alias(key), change.alias("change"), F.col("bt").alias("old"), F.col("at").alias("new")).where("change is not null")
 
 
+def change_counts(changes: DataFrame) -> DataFrame:
+    """A count for each kind of change, 0 where none."""
+    return zero_filled_counts(changes, "change", ["added", "removed", "changed", "renamed"])
+
+
 def missing_from(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Keys of ``a`` that ``b`` lacks."""
     return a.select(key).distinct().join(b.select(key).distinct(), key, "left_anti")

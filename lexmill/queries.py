@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import cite, ids
-from lexmill.operators import fuzzy, graph, lookup, models, search, temporal, versions
+from lexmill.operators import authority, fuzzy, graph, lookup, models, search, temporal, versions
 from lexmill.plans import quotes, verify
 from lexmill.session import table
 
@@ -470,8 +470,7 @@ def coverage_three_valued(spark: SparkSession, sf: str) -> DataFrame:
 def effective_year_check(spark: SparkSession, sf: str) -> DataFrame:
     after = F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderdate").cast("date"))
     first = F.make_date(F.lit(1996), F.lit(1), F.lit(1))
-    status = F.when(after.isNull(), "unknown").when(first > after, "applies").otherwise("not_yet")
-    return table(spark, sf, "orders").select("o_orderkey", status.alias("status"), F.coalesce(after >= first, F.lit(False)).alias("pending"))
+    return table(spark, sf, "orders").select("o_orderkey", temporal.status_for(after, F.lit(1996)).alias("status"), F.coalesce(after >= first, F.lit(False)).alias("pending"))
 
 
 _AUTHORITY = "CASE WHEN k IN ('statute', 'regulation', 'case') THEN 'authority' WHEN k = 'ruling' AND y IS NULL THEN 'authority with caveat' WHEN k = 'ruling' AND y < 1977 THEN 'not authority' WHEN k = 'ruling' THEN 'authority' ELSE 'not authority' END"
@@ -613,3 +612,38 @@ def quotes_e2e(spark: SparkSession, sf: str) -> DataFrame:
     return quotes.check_quotes(docs, provisions).select("doc_id", "status")
 
 
+_CITED = "SELECT l_orderkey, l_linenumber, ['irc', 'reg', 'case', 'secondary', 'irs_guidance'][1 + (l_orderkey + l_linenumber) % 5] AS source, ['Rev. Rul.', 'Notice', 'T.D.', 'PLR', 'GCM', 'AOD', 'ILM'][1 + l_partkey % 7] AS guidance_type, CASE l_suppkey % 4 WHEN 0 THEN year(CAST(l_shipdate AS DATE)) || '-' || l_partkey WHEN 1 THEN 70 + l_suppkey % 30 || '12001' WHEN 2 THEN year(CAST(l_shipdate AS DATE)) || '01001' ELSE '' || l_partkey % 1000 END AS num FROM lineitem"
+_KINDS = "CASE source WHEN 'irc' THEN 'statute' WHEN 'reg' THEN 'regulation' WHEN 'irs_guidance' THEN CASE guidance_type WHEN 'Rev. Rul.' THEN 'published_ruling' WHEN 'Notice' THEN 'irb_pronouncement' WHEN 'T.D.' THEN 'regulation' WHEN 'PLR' THEN 'private_ruling' WHEN 'ILM' THEN 'unclassified' ELSE 'internal_memorandum' END ELSE source END"
+
+
+def _cited(spark: SparkSession, sf: str) -> DataFrame:
+    pick = lambda names, at: F.get(F.array(*map(F.lit, names)), at.cast("int"))
+    year, rest = F.year(F.col("l_shipdate").cast("date")).cast("string"), F.col("l_suppkey") % 4
+    number = (
+        F.when(rest == 0, F.concat_ws("-", year, "l_partkey")).when(rest == 1, F.concat((70 + F.col("l_suppkey") % 30).cast("string"), F.lit("12001")))
+        .when(rest == 2, F.concat(year, F.lit("01001"))).otherwise((F.col("l_partkey") % 1000).cast("string"))
+    )
+    return table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", pick(("irc", "reg", "case", "secondary", "irs_guidance"), (F.col("l_orderkey") + F.col("l_linenumber")) % 5).alias("source"),
+        pick(("Rev. Rul.", "Notice", "T.D.", "PLR", "GCM", "AOD", "ILM"), F.col("l_partkey") % 7).alias("type"), number.alias("num"),
+    )
+
+
+def _as_guidance(spark: SparkSession, sf: str) -> DataFrame:
+    guidance = F.when(F.col("source") == "irs_guidance", F.col("type"))
+    return authority.classify(_cited(spark, sf).withColumn("type", guidance), "source", "type", "num")
+
+
+@query(
+    f"""WITH c AS (SELECT *, {_KINDS} AS k, CASE WHEN num LIKE '%-%' OR length(num) >= 9 THEN CAST(num[1:4] AS INTEGER) WHEN length(num) >= 7 THEN 1900 + CAST(num[1:2] AS INTEGER) END AS y FROM ({_CITED}) t),
+    s AS (SELECT *, CASE k WHEN 'private_ruling' THEN 1976 WHEN 'internal_memorandum' THEN 1981 END AS since FROM c)
+    SELECT l_orderkey, l_linenumber, k AS authority_kind, k NOT IN ('secondary', 'unclassified') AND NOT coalesce(y < since, false) AS is_authority,
+    since IS NOT NULL AND y IS NULL AS cutoff_unchecked FROM s"""
+)
+def authority_of_citations(spark: SparkSession, sf: str) -> DataFrame:
+    return _as_guidance(spark, sf).select("l_orderkey", "l_linenumber", "authority_kind", "is_authority", "cutoff_unchecked")
+
+
+@query(f"SELECT {_KINDS} AS authority_kind, count(*) AS n FROM ({_CITED}) t GROUP BY 1")
+def authority_kind_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return authority.kind_counts(_as_guidance(spark, sf))
