@@ -17,6 +17,8 @@ _BYTE_LOWER = _BYTE.copy()
 _BYTE_LOWER[65:91] = _BYTE[97:123]
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+#: What stands between words of ASCII letters, digits and all that isn't ASCII.
+NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _R = U(0x9E3779B97F4A7C15)
 _R_INV = U(pow(int(_R), -1, 1 << 64))
 _powers: dict[int, np.ndarray] = {}
@@ -60,11 +62,11 @@ def chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
         first = end
 
 
-def word_hashes(raw: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit hash of every word in order, number of words before each row and in all)."""
+def word_hashes(raw: np.ndarray, offsets: np.ndarray, lower: bool = True, gap: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash of every word in order, number of words before each row and in all); ``gap``: which bytes are no part of a word."""
     if not len(raw):
         return np.zeros(0, U), np.zeros(len(offsets), np.int64)
-    inside = ~_SPACE[raw]
+    inside = ~gap[raw]
     edge = np.zeros(len(raw) + 1, bool)
     edge[offsets] = True
     first, last = inside.copy(), inside.copy()

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import decontaminate, lm_score, near_dups, packing, perspectives, quality_ranker, quality_rules, secrets, sharding, substring_dedup
+from lexmill.llm import decontaminate, lm_score, mixing, near_dups, packing, periodic_runs, perspectives, quality_ranker, quality_rules, ranked_search, secrets
+from lexmill.llm import sharding, substring_dedup, text
 from lexmill.session import table
 
 
@@ -77,6 +78,32 @@ def op10_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_fair_queueing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), percent=150, most=2)
+    return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """The documents of op12: where the id's crc32 ends in 0, the words from one on repeat with a period; null ids stay as they are."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    a = lambda w: g % F.size(w)
+    p = lambda w: 1 + F.floor((F.size(w) - a(w)) / (3 + g % 8))
+    source = lambda w, i: F.when(i < a(w), i).otherwise(a(w) + (i - a(w)) % p(w)).cast("int")
+    planted = lambda w: F.array_join(F.transform(w, lambda x, i: F.get(w, source(w, i))), " ")  # noqa: E731, ARG005
+    # an array of one, so that the text is split once
+    changed = F.transform(F.array(text.words(F.col("text"))), lambda w: F.when(F.size(w) > 0, planted(w)).otherwise(""))
+    return docs.withColumn("text", F.when(h % 10 == 0, F.get(changed, F.lit(0))).otherwise(F.col("text")))
+
+
+def op12_harmonic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.periodic_runs(with_planted_runs(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op13_shard_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_quality_ranker": op2_quality_ranker,
@@ -88,11 +115,40 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_backoff_automaton": op8_backoff_automaton,
     "op9_bucket_refinement": op9_bucket_refinement,
     "op10_secret_ownership": op10_secret_ownership,
+    "op11_fair_queueing": op11_fair_queueing,
+    "op12_harmonic_runs": op12_harmonic_runs,
+    "op13_shard_wand": op13_shard_wand,
 }
 
 _WORDS6 = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLES: dict[str, str] = {
+    "op11_fair_queueing": mixing.ORACLE,
+    "op12_harmonic_runs": r"""
+WITH b AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS o,
+    xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+      lambda c, x: list_reduce([xor(c, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: xor(y >> 1, 3988292384 * (y & 1)))), 4294967295) AS h
+  FROM documents),
+a AS (SELECT rid, doc_id, o, h, CASE WHEN h % 10 = 0 AND len(o) > 0 THEN (h // 10) % len(o) END AS a, 3 + (h // 10) % 8 AS parts FROM b),
+d AS (
+  SELECT rid, doc_id, CASE WHEN a IS NULL THEN o
+    ELSE list_transform(range(len(o)), lambda i: CASE WHEN i < a THEN o[i + 1] ELSE o[a + (i - a) % (1 + (len(o) - a) // parts) + 1] END) END AS w FROM a),
+t AS (SELECT rid, unnest(w) AS word, unnest(range(len(w))) AS i, len(w) AS n FROM d),
+e AS (SELECT x.rid, x.i, y.i - x.i AS p FROM t x JOIN t y ON x.rid = y.rid AND x.word = y.word AND y.i > x.i AND 2 * (y.i - x.i) <= x.n),
+g AS (SELECT rid, p, i, i - row_number() OVER (PARTITION BY rid, p ORDER BY i) AS k FROM e),
+s AS (SELECT rid, p, min(i) AS s, count(*) + p AS m FROM g GROUP BY rid, p, k HAVING count(*) + p >= greatest(12, 2 * p)),
+r AS (SELECT rid, s, m, min(p) AS p FROM s GROUP BY rid, s, m),
+f AS (
+  SELECT rid, count(*) AS n_runs, max_by({'s': s, 'm': m, 'p': p}, [m, -s, -p]) AS b, string_agg(s || ',' || m || ',' || p || chr(10), '' ORDER BY s, p) AS txt
+  FROM r GROUP BY rid),
+z AS (SELECT DISTINCT rid, unnest(range(s + p, s + m)) AS i FROM r),
+k AS (SELECT t.rid, string_agg(word, ' ' ORDER BY i) AS txt FROM t ANTI JOIN z USING (rid, i) GROUP BY t.rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, b.s AS start, b.m AS length, b.p AS period,
+  1000 * b.m // b.p AS exponent_milli, sha256(coalesce(f.txt, '')) AS runs_sha256, sha256(coalesce(k.txt, '')) AS collapsed_sha256
+FROM d LEFT JOIN f USING (rid) LEFT JOIN k USING (rid)
+""",
+    "op13_shard_wand": ranked_search.ORACLE,
     "op3_perspectives": perspectives.ORACLE,
     "op6_decontamination": f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS6} AS w FROM documents),
