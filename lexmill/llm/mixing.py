@@ -60,12 +60,12 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], percent: int, most: int)
     cap = most * F.col("source_size")
     fills = Window.orderBy("full", "idx")
     r = s.withColumn("cap", cap).withColumn("full", cap * (unit / F.col("weight")).cast("long"))
-    r = r.withColumn("left", percent * F.lit(every) - 100 * (F.sum("cap").over(fills.rowsBetween(Window.unboundedPreceding, 0)) - F.col("cap")))
+    r = r.withColumn("left", percent * F.lit(every).cast("long") - 100 * (F.sum("cap").over(fills.rowsBetween(Window.unboundedPreceding, 0)) - F.col("cap")))
     r = r.withColumn("rest", F.sum("weight").over(fills.rowsBetween(0, Window.unboundedFollowing)))
     level = r.where(100 * F.col("cap") * F.col("rest") > F.col("weight") * F.col("left")).orderBy("full", "idx").select("left", "rest").first()
     target = cap.cast("double")
     if level is not None:
-        target = F.least(target, (F.col("weight") * level["left"]).cast("double") / (100.0 * level["rest"]))
+        target = F.least(target, (F.col("weight") * F.lit(level["left"]).cast("long")).cast("double") / (100.0 * level["rest"]))
     return s.withColumn("target", target), percent * every // 100
 
 
