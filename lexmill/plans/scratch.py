@@ -31,6 +31,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def folder(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, deleted with the other intermediate tables."""
+    path = f"{shared_dir(spark)}/lexmill-{label}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def materialize(df: DataFrame, label: str = "table", keep: bool = False) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and return the written table; ``keep``: it outlives ``passing``."""
     spark = df.sparkSession
