@@ -234,8 +234,7 @@ def _links(body: DataFrame, classes: DataFrame, lists: DataFrame, kind: str, n:
             break
         last = across <= 2 * now.count() or turn >= rounds or not productive
         if last:
-            rest = _across(now, side, percent)
-            rest = materialize(rest.join(sigs("a"), "a").join(sigs("b"), "b").where(agree).select("a", "b"), "links")
+            rest = materialize(_across(now, side, percent), "links")
             links = rest if links is None else links.unionByName(rest)
             break
         hub = now.groupBy("key").agg(F.max_by(F.struct("node", "n", "comp"), _hub(turn)).alias("h"))
