@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,12 +23,16 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """The written rows with a number of their own."""
-    return materialize(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "rows")
+    """The rows with a name of their own: their file, by its path's hash, and their place in it. Rows that aren't read from files are written first."""
+    place = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+    try:
+        return docs.select(*COLUMNS, place.alias("row"))
+    except AnalysisException:
+        return materialize(docs.select(*COLUMNS), "rows").select(*COLUMNS, place.alias("row"))
 
 
 def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
-    """The rows whose number is not in ``gone``; texts are shuffled only if there are too many numbers to be sent to them."""
+    """The rows whose name is not in ``gone``; texts are shuffled only if there are too many names to be sent to them."""
     gone = broadcast_if_small(materialize(gone.select(F.col("row").alias("gone")), "gone"))
     return rows.join(gone, F.col("row") == F.col("gone"), "left_anti").select(*COLUMNS)
 
