@@ -46,11 +46,12 @@ DOCS = -1
 #: Fixed value: tokens of a snippet.
 SNIPPET = 28
 
-_POSTINGS = "token string, block long, n int, most int, least int, docs array<int>, tfs array<int>, lens array<int>, places array<array<int>>, ids array<{}>, facets array<string>"
+#: ``ends``: how many of ``places`` belong to the documents up to each.
+_POSTINGS = "token string, block long, n int, most int, least int, docs array<int>, ends array<int>, lens array<int>, places array<int>, ids array<{}>, facets array<string>"
 
 
 def _invert(kind: pa.DataType, segment: int):  # noqa: ANN202
-    names = ["token", "block", "n", "most", "least", "docs", "tfs", "lens", "places", "ids", "facets"]
+    names = ["token", "block", "n", "most", "least", "docs", "ends", "lens", "places", "ids", "facets"]
 
     def rows(held: list[pa.RecordBatch], number: int) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(held).combine_chunks()
@@ -61,7 +62,7 @@ def _invert(kind: pa.DataType, segment: int):  # noqa: ANN202
             [
                 pa.array([None], pa.string()), pa.array([number], pa.int64()), pa.array([n], pa.int32()), pa.array([0], pa.int32()), pa.array([0], pa.int32()),
                 pa.array([None], pa.list_(pa.int32())), pa.array([None], pa.list_(pa.int32())), pa.array([lens.tolist()], pa.list_(pa.int32())),
-                pa.array([None], pa.list_(pa.list_(pa.int32()))), pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), ids.cast(kind)),
+                pa.array([None], pa.list_(pa.int32())), pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), ids.cast(kind)),
                 pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), facets),
             ],
             names,
@@ -82,13 +83,15 @@ def _invert(kind: pa.DataType, segment: int):  # noqa: ANN202
         head = np.flatnonzero(np.r_[True, post_code[1:] != post_code[:-1]])  # of each token
         bounds = pa.array(np.r_[head, len(first)].astype(np.int32))
         cut = lambda values: pa.ListArray.from_arrays(bounds, pa.array(values))
-        places = pa.ListArray.from_arrays(pa.array(np.r_[first, len(code)].astype(np.int32)), pa.array(place))
+        begin = first[head]  # where each token's places begin
+        ends = (np.r_[first[1:], len(code)] - np.repeat(begin, np.diff(np.r_[head, len(first)]))).astype(np.int32)
+        places = pa.ListArray.from_arrays(pa.array(np.r_[begin, len(code)].astype(np.int32)), pa.array(place))
         m = len(head)
         out = pa.RecordBatch.from_arrays(
             [
                 coded.dictionary.take(pa.array(post_code[head])), pa.array(np.full(m, number)), pa.array(np.diff(np.r_[head, len(first)]).astype(np.int32)),
-                pa.array(np.maximum.reduceat(tf, head)), pa.array(np.minimum.reduceat(post_len, head)), cut(post_doc), cut(tf), cut(post_len),
-                pa.ListArray.from_arrays(bounds, places), pa.nulls(m, pa.list_(kind)), pa.nulls(m, pa.list_(pa.string())),
+                pa.array(np.maximum.reduceat(tf, head)), pa.array(np.minimum.reduceat(post_len, head)), cut(post_doc), cut(ends), cut(post_len),
+                places, pa.nulls(m, pa.list_(kind)), pa.nulls(m, pa.list_(pa.string())),
             ],
             names,
         )
@@ -184,10 +187,15 @@ class Index:
         if dead is not None:
             of = dead.groupBy("block").agg(F.collect_set("doc").alias("dead"))  # at most BLOCK_DOCS a block
             rows = rows.join(broadcast_if_small(of, 20_000), "block", "left")
-            rows = rows.withColumn("keep", F.filter(F.transform("docs", lambda d, i: F.when(~F.array_contains("dead", d), i)), lambda i: i.isNotNull()))
-            pick = lambda c: F.transform("keep", lambda i: F.get(F.col(c), i))
+            of_dead = F.filter(F.transform("docs", lambda d, i: F.when(F.array_contains("dead", d), i)), lambda i: i.isNotNull())
+            rows = rows.withColumn("lost", of_dead).withColumn("keep", F.array_except(F.sequence(F.lit(0), F.greatest(F.size("docs") - 1, F.lit(0))), "lost"))
             same = F.col("dead").isNull() | (F.col("bucket") == DOCS)
-            rows = rows.withColumns({c: F.when(same, F.col(c)).otherwise(pick(c)) for c in ("docs", "tfs", "lens", "places")})
+            missing = lambda i: F.aggregate(F.filter("lost", lambda x: x < i), F.lit(0), lambda a, x: a + _times("ends", x))
+            kept = {
+                "docs": F.transform("keep", lambda i: F.get("docs", i)), "lens": F.transform("keep", lambda i: F.get("lens", i)),
+                "ends": F.transform("keep", lambda i: F.get("ends", i) - missing(i)), "places": F.flatten(F.transform("keep", lambda i: _places_of("places", "ends", i))),
+            }
+            rows = rows.withColumns({c: F.when(same, F.col(c)).otherwise(x) for c, x in kept.items()}).drop("lost")
             # a document's number stays, its entry becomes empty
             alive = lambda c: F.transform(c, lambda x, i: F.when(~F.array_contains("dead", i), x))
             rows = rows.withColumn("live", F.when((F.col("bucket") == DOCS) & F.col("dead").isNotNull(), alive("lens")).otherwise(F.col("lens")))
@@ -298,10 +306,12 @@ class Index:
 
         def scored(chosen: DataFrame) -> DataFrame:
             """(qid, block, doc, score) of all documents of the chosen (qid, block)."""
-            need = broadcast_if_small(asked.join(chosen, "qid").select("qid", "term", "block", "weight", "need"), 500_000)
-            posts = self._of(terms, "docs", "tfs", "lens").join(need, ["term", "block"])
-            each = posts.select("qid", "term", "block", "weight", "need", F.explode(F.arrays_zip("docs", "tfs", "lens")).alias("p"))
-            each = each.select("qid", "term", "block", "weight", "need", F.col("p.docs").alias("doc"), F.col("p.tfs").alias("tf"), F.col("p.lens").alias("len"))
+            # posting rows meet by block, so that all that follows up to a block's best documents happens where they are
+            here = chosen.groupBy("block").agg(F.collect_set("qid").alias("qids"))  # at most the queries
+            posts = self._of(terms, "docs", "ends", "lens").join(here.hint("merge"), "block").join(broadcast_if_small(asked), "term")
+            posts = posts.where(F.array_contains("qids", F.col("qid")))
+            post = F.transform("docs", lambda d, i: F.struct(d.alias("doc"), _times("ends", i).alias("tf"), F.get("lens", i).alias("len")))
+            each = posts.select("qid", "term", "block", "weight", "need", F.explode(post).alias("p")).select("qid", "term", "block", "weight", "need", "p.*")
             if self.analyzer != analyzer.PLAIN:  # several tokens of one term
                 each = each.groupBy("qid", "term", "block", "weight", "need", "doc", "len").agg(F.sum("tf").alias("tf"))
             one = F.round(part(F.col("tf"), F.col("len")) * UNIT).cast("long")
@@ -348,9 +358,9 @@ class Index:
         need = Window.partitionBy("qid")
         terms = asked.join(df, "term", "left").withColumn("need", F.count(F.lit(1)).over(need)).withColumn("known", F.count("df").over(need)).where("known = need")
         terms = materialize(terms.withColumn("r", F.row_number().over(need.orderBy("df", "t"))).select("qid", "t", "term", "need", "r"), "terms")
-        post = F.explode(F.arrays_zip("docs", "places")).alias("p")
-        rows = self._of(terms, "docs", "places").join(broadcast_if_small(terms), "term").select("qid", "t", "block", "need", "r", post)
-        rows = rows.select("qid", "t", "block", "need", "r", F.col("p.docs").alias("doc"), F.col("p.places").alias("places"))
+        post = F.transform("docs", lambda d, i: F.struct(d.alias("doc"), _places_of("places", "ends", i).alias("places")))
+        rows = self._of(terms, "docs", "ends", "places").join(broadcast_if_small(terms), "term").select("qid", "t", "block", "need", "r", F.explode(post).alias("p"))
+        rows = rows.select("qid", "t", "block", "need", "r", "p.doc", "p.places")
         rare = rows.where("r = 1").select("qid", "block", "doc")
         dead = self._dead()
         if dead is not None:
@@ -407,15 +417,30 @@ class Index:
         return rows.select(*hits.columns, F.trim(F.regexp_replace(text, r"\s+", " ")).alias("snippet"))
 
 
+def _times(ends: str, i: Column) -> Column:
+    """How often the i-th document of a posting row holds the term."""
+    return F.get(ends, i) - F.when(i > 0, F.get(ends, i - 1)).otherwise(0)
+
+
+def _places_of(places: str, ends: str, i: Column) -> Column:
+    return F.slice(places, F.when(i > 0, F.get(ends, i - 1)).otherwise(0) + 1, _times(ends, i))
+
+
 def _merged(posts: DataFrame) -> DataFrame:
     """One row a (term, block): the tokens of a term one after the other. A document that holds several has several entries; the head's bound holds for their sum."""
-    lists = {c: F.flatten(F.collect_list(c)) for c in ("docs", "tfs", "lens", "places")}
+    lists = ("docs", "ends", "lens", "places")
+    held = F.filter(F.collect_list(F.struct(*lists)), lambda x: x["docs"].isNotNull())
     out = posts.groupBy("slice", "bucket", "term", "block").agg(
-        F.sum("n").alias("entries"), F.sum("most").cast("int").alias("most"), F.min("least").alias("least"), *[x.alias(c) for c, x in lists.items()],
-        F.first("ids", ignorenulls=True).alias("ids"), F.first("facets", ignorenulls=True).alias("facets"),
+        F.sum("n").alias("entries"), F.sum("most").cast("int").alias("most"), F.min("least").alias("least"), held.alias("held"), F.first("ids", ignorenulls=True).alias("ids"),
+        F.first("facets", ignorenulls=True).alias("facets"), F.first("lens", ignorenulls=True).alias("own"),
     )
-    n = F.when(F.col("bucket") == DOCS, F.col("entries").cast("int")).otherwise(F.size(F.array_distinct("docs")))
-    return out.withColumn("n", n).drop("entries")
+    empty = F.struct(*[F.array().cast("array<int>").alias(c) for c in lists])
+    shifted = lambda a, x: F.concat(a["ends"], F.transform(x["ends"], lambda e: e + F.size(a["places"])))
+    join = lambda a, x: F.struct(*[(shifted(a, x) if c == "ends" else F.concat(a[c], x[c])).alias(c) for c in lists])
+    out = out.withColumn("all", F.when(F.col("bucket") != DOCS, F.when(F.size("held") == 1, F.get("held", F.lit(0))).otherwise(F.aggregate("held", empty, join))))
+    n = F.when(F.col("bucket") == DOCS, F.col("entries").cast("int")).otherwise(F.size(F.array_distinct("all.docs")))
+    columns = {c: F.col(f"all.{c}") for c in lists} | {"n": n, "lens": F.when(F.col("bucket") == DOCS, F.col("own")).otherwise(F.col("all.lens"))}
+    return out.withColumns(columns).drop("entries", "held", "all", "own")
 
 
 def least_window(at: Column, need: Column) -> Column:
