@@ -11,15 +11,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexmill import index_queries
+from lexmill import history_queries, index_queries
 from lexmill.functions import cite, ids
 from lexmill.operators import authority, fuzzy, graph, lookup, models, search, temporal, versions
 from lexmill.plans import quotes, verify
 from lexmill.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = dict(index_queries.QUERIES)
-ORACLES: dict[str, str] = dict(index_queries.ORACLES)
+QUERIES: dict[str, Query] = index_queries.QUERIES | history_queries.QUERIES
+ORACLES: dict[str, str] = index_queries.ORACLES | history_queries.ORACLES
 
 
 def query(sql: str | None) -> Callable[[Query], Query]:
