@@ -41,8 +41,21 @@ def normalize_mapped(text: str) -> Normalized:
     return Normalized("".join(out), tuple(at))
 
 
+class _Folds(dict):
+    """What each character becomes, found once."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        self[code] = "" if c in INVISIBLE else " " if c.isspace() else unicodedata.normalize("NFKC", FOLD.get(c, c)).casefold()
+        return self[code]
+
+
+_folds = _Folds()
+
+
 def normalize(text: str) -> str:
-    return normalize_mapped(text).text
+    """``normalize_mapped`` without the offsets."""
+    return re.sub(r"\s+", " ", text.translate(_folds)).strip(" ")
 
 
 def loose(text: str) -> str:

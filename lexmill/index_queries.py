@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import analyzer
 from lexmill.operators import containment, index
-from lexmill.plans import search
+from lexmill.plans import quotes, search
 from lexmill.plans.scratch import folder
 from lexmill.session import table
 
@@ -71,8 +71,16 @@ def terms_in_documents(spark: SparkSession, sf: str) -> DataFrame:
     return containment.term_summary(table(spark, sf, "documents"), terms)
 
 
+def altered_quotations(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document that holds a benchmark item, of which each eighth word is quoted without its first letter."""
+    said = F.regexp_replace("text", r"((?:\S+\s+){7})\S(\S+)", "$1$2")
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").cast("long").alias("ask"), said.alias("quote"))
+    found = quotes.altered_quotes(asked, table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"))
+    return found.select(F.col("ask").alias("item_id"), F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (index_topk, index_near, index_search, stem_dictionary, item_snippets, terms_in_documents)
+    f.__name__: f for f in (index_topk, index_near, index_search, stem_dictionary, item_snippets, terms_in_documents, altered_quotations)
 }
 
 _LIVE = """d AS (

@@ -30,9 +30,12 @@ _WORD = np.array([b >= 128 or chr(b).isalnum() or chr(b) == "_" for b in range(2
 
 
 class Trie:
-    """Edges as sorted keys node * 256 + byte; ``term`` has the number of the term that ends in a node, or -1."""
+    """Edges as sorted keys node * 256 + byte; ``term`` has the number of the term that ends in a node, or -1.
 
-    def __init__(self, terms: list[bytes]) -> None:
+    Terms are distinct and have three bytes or more; those of less than ``whole`` characters count only as whole words.
+    """
+
+    def __init__(self, terms: list[bytes], whole: int = WHOLE) -> None:
         # in order, the terms with one beginning stand together: level by level, a node is a run of terms
         order = sorted(range(len(terms)), key=terms.__getitem__)
         body = np.frombuffer(b"".join(terms[i] for i in order), np.uint8)
@@ -60,15 +63,15 @@ class Trie:
         self.term = np.full(count, -1, np.int32)
         for n, t in ends:
             self.term[n] = t
-        self.whole = np.array([len(t.decode()) < WHOLE for t in terms])
+        self.whole = np.array([len(t.decode()) < whole for t in terms])
         if not hasattr(self, "roots"):
             self.roots = self.root_nodes = np.zeros(0, np.int64)
 
-    def places(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(text, term) of every place of a term in the texts that lie between the offsets of ``raw``."""
+    def places(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, term, byte) of every place of a term in the texts that lie between the offsets of ``raw``."""
         none = np.zeros(0, np.int64)
         if len(raw) < SHORTEST or not len(self.roots):
-            return none, none
+            return none, none, none
         if not hasattr(self, "begins"):
             self.begins = np.zeros(1 << 24, bool)
             self.begins[self.roots] = True
@@ -91,7 +94,7 @@ class Trie:
                 left = (s == begin[hit]) | ~_WORD[raw[s - 1]]
                 right = (e == limit[hit]) | ~_WORD[raw[np.minimum(e, len(raw) - 1)]]
                 ok = ~self.whole[t] | (left & right)
-                found.append((text[hit][ok], t[ok]))
+                found.append((text[hit][ok], t[ok].astype(np.int64), s[ok]))
             on = at + depth < limit
             at, text, limit, begin, node = at[on], text[on], limit[on], begin[on], node[on]
             key = (node.astype(np.int64) << 8) | raw[at + depth]
@@ -99,12 +102,10 @@ class Trie:
             on = self.keys[to] == key
             at, text, limit, begin, node = at[on], text[on], limit[on], begin[on], self.child[to[on]]
             depth += 1
-        if not found:
-            return none, none
-        return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found]).astype(np.int64)
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (none, none, none)
 
 
-def _chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def byte_chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) in pieces of about CHUNK bytes."""
     column = column.cast(pa.large_binary())
     _, off, data = column.buffers()
@@ -122,8 +123,8 @@ def _scan(trie, numbers: np.ndarray):  # noqa: ANN001, ANN202
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = trie.value
         for b in batches:
-            for first, _, raw, offsets in _chunks(b.column("body")):
-                text, term = t.places(raw, offsets)
+            for first, _, raw, offsets in byte_chunks(b.column("body")):
+                text, term, _ = t.places(raw, offsets)
                 if len(text):
                     key, n = np.unique((text << 32) | term, return_counts=True)
                     ids = b.column("id").take(pa.array(first + (key >> 32)))

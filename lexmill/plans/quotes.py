@@ -1,7 +1,7 @@
 """Quotation checks for whole tables of documents.
 
 Quotations, their citations and the association are found in one pass over each text. Scoring is by joins: the cited provision, then the
-other provisions of its section, then provisions that share the quotation's rarest words. Each step scores only what is still open.
+other provisions of its section, then every provision that the quotation's seeds don't rule out. Each step scores only what is still open.
 """
 
 from __future__ import annotations
@@ -17,13 +17,11 @@ from pyspark.sql.types import DoubleType
 from lexmill.functions.cite import extract_citations
 from lexmill.functions.ids import section_of
 from lexmill.functions.quote import CLOSE, ELSEWHERE, EXACT, associate, extract_quotes, score_quote
-from lexmill.operators.search import tokens
+from lexmill.operators.altered import candidates
+from lexmill.plans.joins import broadcast_if_small
 from lexmill.plans.scratch import materialize
 from lexmill.session import ship
 
-#: Provisions that are scored for one quotation when it is looked for everywhere, and the rare words that they must share.
-CANDIDATES, RARE = 25, 4
-
 
 @F.pandas_udf(DoubleType())
 def _score(quote: pd.Series, text: pd.Series) -> pd.Series:
@@ -76,12 +74,8 @@ def check_quotes(docs: DataFrame, provisions: DataFrame, **columns: str) -> Data
     near = left.where("cited is not null").withColumn("s", section_of(F.col("cited"))).join(p.withColumn("ps", section_of(F.col("p_id"))), F.col("s") == F.col("ps"))
     section = materialize(top(near.where("p_id != cited")).where(F.col("score") >= ELSEWHERE), "section")
     left = left.join(section.select(*key), key, "left_anti")
-    words = left.select(*key, "quote", F.explode(F.array_distinct(tokens(F.col("quote")))).alias("term"))
-    posts = p.select("p_id", F.explode(F.array_distinct(tokens(F.col("p_text")))).alias("term"))
-    df = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    rare = words.join(df, "term").withColumn("r", F.row_number().over(Window.partitionBy(*key).orderBy("df", F.desc(F.length("term")), "term"))).where(F.col("r") <= RARE)
-    shared = rare.select(*key, "term").join(posts, "term").groupBy(*key, "p_id").agg(F.count(F.lit(1)).alias("n"))
-    shared = shared.withColumn("r", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("n"), "p_id"))).where(F.col("r") <= CANDIDATES).select(*key, "p_id")
+    shared = materialize(candidates(left.select("ask", "quote"), p.select(F.col("p_id").alias("id"), F.col("p_text").alias("text")), ELSEWHERE), "candidates")
+    shared = shared.select("ask", F.col("id").alias("p_id")).distinct()
     corpus = top(left.join(shared, key).join(p, "p_id")).where(F.col("score") >= ELSEWHERE)
     steps = cited.select(*key, "p_id", "score", F.lit("cited").alias("step")).where(F.col("score") >= CLOSE)
     steps = steps.unionByName(section.withColumn("step", F.lit("section"))).unionByName(corpus.withColumn("step", F.lit("corpus")))
@@ -91,3 +85,15 @@ def check_quotes(docs: DataFrame, provisions: DataFrame, **columns: str) -> Data
     )
     asked = pairs.join(steps, key, "left").withColumn("status", status).drop("step", *key).withColumnsRenamed({"quote": "a_quote", "cited": "a_cited"})
     return found.join(asked, (F.col("quote") == F.col("a_quote")) & F.col("cited").eqNullSafe(F.col("a_cited"))).drop("a_quote", "a_cited")
+
+
+def altered_quotes(quotes: DataFrame, texts: DataFrame, share: float = ELSEWHERE) -> DataFrame:
+    """(ask, id, score): every text that holds a quotation by ``share`` or more, as scoring each text for each quotation would find.
+
+    ``quotes``: ask, quote; ``texts``: id, text, of which ids may repeat: each row that matches counts.
+    """
+    t = materialize(texts.select("id", "text").withColumn("row", F.monotonically_increasing_id()), "texts")
+    pairs = candidates(quotes, t.select(F.col("row").alias("id"), "text"), share).withColumnRenamed("id", "row")
+    pairs = broadcast_if_small(materialize(pairs, "candidates"))
+    scored = t.join(pairs, "row").join(broadcast_if_small(quotes.select("ask", "quote"), 100_000), "ask").withColumn("score", _score("quote", "text"))
+    return scored.where(F.col("score") >= share).select("ask", "id", "score")

@@ -25,8 +25,9 @@ def plain(text, term):
 def test_places_of_a_trie(terms, texts):
     trie = containment.Trie([t.encode() for t in terms])
     raw = "".join(texts).encode()
-    text, term = trie.places(np.frombuffer(raw, np.uint8), np.r_[0, np.cumsum([len(t.encode()) for t in texts])].astype(np.int64))
+    text, term, at = trie.places(np.frombuffer(raw, np.uint8), np.r_[0, np.cumsum([len(t.encode()) for t in texts])].astype(np.int64))
     got = Counter(zip(text.tolist(), term.tolist(), strict=True))
+    assert all(raw[s:].startswith(terms[t].encode()) for s, t in zip(at.tolist(), term.tolist(), strict=True))
     assert got == Counter({(i, k): n for i, x in enumerate(texts) for k, t in enumerate(terms) if (n := plain(x, t))})
 
 
