@@ -20,7 +20,7 @@ STOP = {"the", "a", "an", "such", "any", "this", "that", "it", "which", "no", "e
 MARKED = re.compile(r"[Tt]he\s+terms?\s+[“\"']([^”\"']{2,80})[”\"'](?:\s+and\s+[“\"']([^”\"']{2,80})[”\"'])?\s+(means?|includes?|has\s+the\s+(?:same\s+)?meaning)|[“\"]([^”\"]{2,80})[”\"]\s+(means?)\b")
 PLAIN = re.compile(r"[Tt]he\s+term\s+([a-z][a-z -]{2,60}?)\s+(means?)\b")
 BY_REFERENCE = re.compile(r"(?:given|provided|defined)\s+(?:such\s+term\s+|to\s+such\s+term\s+)?(?:by|in)\s+(section\s+[\w.()-]+)")
-RELATIVE = re.compile(r"\bthis\s+(section|subsection|paragraph|subparagraph|clause)\b|\b(subsection|paragraph|subparagraph|clause)\s+\(([0-9A-Za-z]{1,5})\)")
+RELATIVE = re.compile(r"\bthis\s+(section|subsection|paragraph|subparagraph|clause)\b|\b(subsection|paragraph|subparagraph|clause)\s+\(([0-9A-Za-z]{1,6})\)", re.I)
 DEPTH = {"section": 0, "subsection": 1, "paragraph": 2, "subparagraph": 3, "clause": 4}
 SCHEMA = "array<struct<term:string,term_norm:string,scope:string,by_reference:string,text:string>>"
 
@@ -65,7 +65,7 @@ def relative_targets(source: str, section: str, path: list[str], text: str) -> l
     ancestors = [path[:n] for n in range(len(path) + 1)]
 
     def target(m: re.Match) -> str | None:
-        steps = max(DEPTH[m[1] or m[2]] - (source == "reg"), 0)
+        steps = max(DEPTH[(m[1] or m[2]).lower()] - (source == "reg"), 0)
         last = [] if m[1] else [m[3]]
         kept = steps - len(last)
         return canonical_id(source, section, [*ancestors[kept], *last]) if 0 <= kept < len(ancestors) else None

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions.cite import extract_citations
@@ -76,8 +76,9 @@ def reading_list(seeds: DataFrame, provisions: DataFrame, edges: DataFrame, dept
     found = closure(hops, seeds, depth).where("depth > 0")
     head, _ = truncate_words(F.regexp_replace("text", r"\s+", " "), 220)
     rows = found.join(provisions.select(F.col("id").alias("node"), "heading", head.alias("excerpt")), "node")
-    ranked = rows.groupBy("seed").agg(F.slice(F.array_sort(F.collect_list(F.struct("depth", "node", "heading", "excerpt"))), 1, limit).alias("r"))
-    return ranked.select("seed", F.explode("r").alias("r")).select("seed", "r.*")
+    # each task keeps its nearest of a seed before rows are shuffled; none is collected
+    nearest = F.row_number().over(Window.partitionBy("seed").orderBy("depth", "node"))
+    return rows.withColumn("r", nearest).where(F.col("r") <= limit).select("seed", "depth", "node", "heading", "excerpt")
 
 
 def dictionary(provisions: DataFrame) -> DataFrame:

@@ -31,8 +31,10 @@ def resolve(citations: DataFrame, provisions: DataFrame, guidance: DataFrame | N
     ``provisions``: id, heading, status. ``guidance``: id, status (superseded or active). A section that is missing is not_found
     (for regulations without a reachable source: source_unavailable); a missing pinpoint under an existing section is pinpoint_not_found.
     """
-    p = provisions.select(F.col("id").alias("p_id"), F.col("heading"), F.col("status").alias("p_status"))
-    s = provisions.select(F.col("id").alias("s_id"))
+    # a provision that is listed twice counts once, the listing with a heading first
+    once = lookup.keep_first(provisions.select("id", "heading", "status"), ["id"], [F.col("heading").isNull(), F.col("heading"), F.col("status")])
+    p = once.select(F.col("id").alias("p_id"), F.col("heading"), F.col("status").alias("p_status"))
+    s = provisions.select(F.col("id").alias("s_id")).distinct()
     rows = citations.withColumn("s_key", section_of(F.col("canonical_id"))).join(p, F.col("canonical_id") == F.col("p_id"), "left")
     rows = rows.join(s, F.col("s_key") == F.col("s_id"), "left")
     missed = rows.where("canonical_id is not null and p_id is null and s_id is not null").select(F.col("canonical_id").alias("d_id"))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import _parse_datatype_string
 
-from lexmill.functions.cite import GUIDANCE, KINDS
+from lexmill.functions.readers import NUMBERED, guidance
 from lexmill.functions.ids import DASHES, REG_LEVELS, canonical_id, is_roman, roman_to_int, split_id
 from lexmill.session import ship
 
@@ -302,9 +302,9 @@ def relations(text: str) -> list[tuple[str, str]]:
     """(guidance id, verb): guidance named within 70 characters of a verb stem, once each."""
     out = {}
     for m in re.finditer("|".join(ACTS), text, re.I):
-        for g in GUIDANCE.finditer(text, max(m.start() - 70, 0), min(m.end() + 70, len(text))):
-            if g["kind"]:
-                out[guidance_slug(KINDS[re.sub("[^a-z]", "", g["kind"].lower())], g["number"].translate(DASHES)), VERBS[m[0].lower()]] = None
+        for g in guidance(text[max(m.start() - 70, 0) : m.end() + 70]):
+            if g.fields["guidance_type"] in NUMBERED.values():
+                out[guidance_slug(g.fields["guidance_type"], g.fields["guidance_number"]), VERBS[m[0].lower()]] = None
     return list(out)
 
 
@@ -312,11 +312,11 @@ def bulletin_records(data: bytes) -> Iterator[Record]:
     """Guidance documents of a bulletin, first of each id, and what they act on."""
     seen: set[str] = set()
     for a in _outline(data).articles:
-        m = GUIDANCE.search(_flat(a["title"]))
+        named = next(guidance(_flat(a["title"])), None)
         text = _flat(a["text"])
-        if not m or not m["kind"] or not text:
+        if not named or named.fields["guidance_type"] not in NUMBERED.values() or not text:
             continue
-        kind, number = KINDS[re.sub("[^a-z]", "", m["kind"].lower())], m["number"].translate(DASHES)
+        kind, number = named.fields["guidance_type"], named.fields["guidance_number"]
         key = guidance_slug(kind, number)
         if key in seen:
             continue

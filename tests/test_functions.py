@@ -131,3 +131,37 @@ def test_bulletin_and_rates():
     assert [(r["kind"], r["id"], r["to_id"], r["topic"]) for r in rows] == [("guidance", "rev-rul-2024-3", None, "Rev. Rul."), ("relation", "rev-rul-2024-3", "rev-rul-2020-1", "supersedes")]
     table = b'<p class="title">Rev. Rul. 2024-3 TABLE 3 Rates for January 2024</p><table><tr><td>Long-term tax-exempt rate for ownership changes</td><td>3.81%</td></tr><tr><td>Adjusted federal long-term rate</td><td>3.67%</td></tr></table>'
     assert [(str(m), a, b) for m, a, b in markup.rate_rows(table)] == [("2024-01-01", 3.81, 3.67)]
+
+
+def _read(reader, text):
+    return [(text[x.start : x.end], x.display) for x in reader(text)]
+
+
+def test_readers_of_cases():
+    from lexmill.functions.readers import cases
+
+    got = list(cases("Compare Alder Mills v. Brook of the Vale, 12 F. Supp. 3d 400, 405-07 (D. Me. 1991); 3 U.S.T.C. 9 and Versus Oak v. Elm, 9 B.T.A. 1, 54 S. Ct. 8"))
+    assert [(x.fields["case_name"], x.fields["reporter_cite"], x.fields["pin_page"], x.fields["case_year"]) for x in got] == [
+        ("Alder Mills v. Brook of the Vale", "12 F. Supp. 3d 400", 405, 1991), (None, "3 U.S.T.C. 9", None, None), ("Oak v. Elm", "9 B.T.A. 1", None, None), (None, "54 S. Ct. 8", None, None),
+    ]
+    memo = list(cases("In re Ash, T.C. Memo. 2011-7"))
+    assert [(x.fields["case_year"], x.display) for x in memo] == [(2011, "T.C. Memo. 2011-7")]
+    assert not list(cases("12 Angry Men, 3 F. and 4 others")) and not list(cases(""))
+
+
+def test_readers_of_guidance_and_commentary():
+    from lexmill.functions.readers import commentary, guidance, of_instrument, of_public_law
+
+    assert _read(guidance, "Rev.Rul. 2004–7, Ann. 2001-3, Ann 2001-3, xNotice 2004-7, ILM 20051, T. D. 9100, PLR 99123 and 2004-12 I. R. B. 600") == [
+        ("Rev.Rul. 2004–7", "Rev. Rul. 2004-7"), ("Ann. 2001-3", "Ann. 2001-3"), ("ILM 20051", "ILM 20051"), ("T. D. 9100", "T.D. 9100"), ("2004-12 I. R. B. 600", "2004-12 I.R.B. 600"),
+    ]
+    assert [x for x, _ in _read(commentary, "44 Maple L. Rev. 7; McKee and Nelson, in ¶ 3.02; a Treatise; Portfolio No. 12; 1 a L. Rev. 2; Saltzman. § 4")] == [
+        "44 Maple L. Rev. 7", "McKee and Nelson, in ¶ 3.02", "Treatise", "Portfolio No. 12",
+    ]
+    assert of_public_law("as in Pub. L. No. 99-514, ") and of_public_law("P.L. 94") and not of_public_law("the plain 12 ") and not of_public_law("")
+    assert of_instrument(" of the Harbor and Canals Act, which") and of_instrument(" of this Lease") and not of_instrument(" of the Code") and not of_instrument(" of the old Act")
+
+
+def test_relative_references_in_any_case():
+    found = definitions.relative_targets("irc", "9", ["b", "2"], "This Subsection, Paragraph (xxvii) and paragraph (xxxviii)")
+    assert found == [("/us/usc/t26/s9/b", "This Subsection"), ("/us/usc/t26/s9/b/xxvii", "Paragraph (xxvii)")]
