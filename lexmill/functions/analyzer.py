@@ -21,6 +21,8 @@ from lexmill.plans.scratch import materialize
 PLAIN, STEMMED = "plain", "stemmed"
 #: Tokens of each analyzer. The marks that follow a letter belong to its token.
 TOKEN = {PLAIN: "[a-z0-9]+", STEMMED: r"[\p{L}\p{N}\p{Co}][\p{L}\p{N}\p{Co}\p{Mn}]*"}
+#: How every suffix ends that a rule looks for: other words stay as they are.
+TOUCHED = "(s|ed|ng|y|e|ll|al|li|ti|ci|gi|er|or|on|sm|ul|nt|ic|ou)$"
 #: Longer words, in UTF-8 bytes, and shorter ones are not stemmed.
 LONGEST, SHORTEST = 64, 3
 
@@ -192,7 +194,8 @@ def stem(word: Column) -> Column:
             state = _let(state, _on_word(step))
         return state["word"]
 
-    return _let(word, lambda t: F.when((F.length(t) >= SHORTEST) & (F.octet_length(t) <= LONGEST) & F.rlike(t, F.lit("[a-z]$")), walk(t)).otherwise(t))
+    touched = lambda t: (F.length(t) >= SHORTEST) & (F.octet_length(t) <= LONGEST) & F.rlike(t, F.lit(TOUCHED))
+    return _let(word, lambda t: F.when(touched(t), walk(t)).otherwise(t))
 
 
 def dictionary(docs: DataFrame, id_col: str, text_col: str, analyzer: str = STEMMED) -> DataFrame:

@@ -159,8 +159,6 @@ class Index:
         posts = posts.withColumn("slice", F.pmod(F.xxhash64("block"), F.lit(slices)).cast("int"))
         posts = posts.withColumn("bucket", F.when(F.col("term").isNull(), DOCS).otherwise(self._bucket(F.col("term")))).drop("token")
         posts = posts.repartition(slices * self.buckets, "slice", "bucket")
-        if self.analyzer != analyzer.PLAIN:
-            posts = _merged(posts)  # several tokens of one term
         posts.sortWithinPartitions("slice", "bucket", "term", "block").write.partitionBy("slice", "bucket").parquet(self._segment(number))
         of = self._read(number).where(F.col("bucket") == DOCS).select(F.size("lens").cast("long").alias("d"), F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x).alias("t"))
         n = of.agg(F.sum("d").alias("d"), F.sum("t").alias("t")).first()
@@ -264,11 +262,15 @@ class Index:
 
     def frequencies(self, terms: DataFrame) -> DataFrame:
         """(term, df): in how many living documents each of the terms stands; terms of none are left out."""
-        df = self._of(terms, "n").groupBy("term").agg(F.sum("n").alias("df"))
+        if self.analyzer == analyzer.PLAIN:
+            df = self._of(terms, "n").groupBy("term").agg(F.sum("n").alias("df"))
+        else:  # several tokens of one term may stand in one document
+            rows = self._of(terms, "n", "docs").groupBy("term", "block").agg(F.count(F.lit(1)).alias("rows"), F.first("n").alias("n"), F.flatten(F.collect_list("docs")).alias("docs"))
+            df = rows.groupBy("term").agg(F.sum(F.when(F.col("rows") == 1, F.col("n")).otherwise(F.size(F.array_distinct("docs")))).alias("df"))
         dead = self._dead()
         if dead is not None:
             blocks = broadcast_if_small(dead.select("block").distinct())
-            held = self._of(terms, "docs").join(blocks, "block", "left_semi").select("term", "block", F.explode(F.array_distinct("docs")).alias("doc"))
+            held = self._of(terms, "docs").join(blocks, "block", "left_semi").select("term", "block", F.explode("docs").alias("doc")).distinct()
             lost = held.join(broadcast_if_small(dead.select("block", "doc")), ["block", "doc"], "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("lost"))
             df = df.join(lost, "term", "left").select("term", (F.col("df") - F.coalesce("lost", F.lit(0))).alias("df"))
         return df.where("df > 0")
@@ -296,32 +298,34 @@ class Index:
         df = materialize(self.frequencies(terms), "df")
         idf = F.greatest(F.log((F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
         asked = terms.join(broadcast_if_small(df), "term", "left").withColumn("need", F.count(F.lit(1)).over(Window.partitionBy("qid")))
-        asked = materialize(asked.where("df is not null").select("qid", "term", "need", (F.col("times") * idf).alias("weight")), "weights")
+        numbers = materialize(terms.select("qid").distinct().withColumn("q", F.monotonically_increasing_id()), "numbers")
+        asked = asked.where("df is not null").select("qid", "term", "need", (F.col("times") * idf).alias("weight"))
+        asked = materialize(asked.join(broadcast_if_small(numbers), "qid"), "weights")
         mean = n_tokens / n_docs or 1.0
         part = lambda tf, length: F.col("weight") * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * length / F.lit(mean)))
         heads = self._of(terms, "most", "least").join(broadcast_if_small(asked), "term")
-        bound = F.sum((F.ceil(part(F.col("most"), F.col("least")) * UNIT) + 1).cast("long"))
-        blocks = heads.groupBy("qid", "block").agg(bound.alias("bound"), F.count(F.lit(1)).alias("met"), F.first("need").alias("need"))
+        bound = F.sum((F.ceil(part(F.col("most"), F.col("least")) * UNIT) + 1).cast("long"))  # of several tokens of a term, too: parts add up to more than the part of their sum
+        blocks = heads.groupBy("qid", "block").agg(bound.alias("bound"), F.count_distinct("term").alias("met"), F.first("need").alias("need"))
         blocks = materialize(blocks.where("met = need").drop("met", "need") if every else blocks.drop("met", "need"), "bounds")
+        of_term = asked.groupBy("term").agg(F.collect_list(F.struct("q", "weight", "need")).alias("asks"))  # at most the queries
+        of_term = broadcast_if_small(materialize(of_term, "asks"), 200_000)
 
         def scored(chosen: DataFrame) -> DataFrame:
             """(qid, block, doc, score) of all documents of the chosen (qid, block)."""
-            # posting rows meet by block, so that all that follows up to a block's best documents happens where they are
-            here = chosen.groupBy("block").agg(F.collect_set("qid").alias("qids"))  # at most the queries
-            posts = self._of(terms, "docs", "ends", "lens").join(here.hint("merge"), "block").join(broadcast_if_small(asked), "term")
-            posts = posts.where(F.array_contains("qids", F.col("qid")))
-            post = F.transform("docs", lambda d, i: F.struct(d.alias("doc"), _times("ends", i).alias("tf"), F.get("lens", i).alias("len")))
-            each = posts.select("qid", "term", "block", "weight", "need", F.explode(post).alias("p")).select("qid", "term", "block", "weight", "need", "p.*")
-            if self.analyzer != analyzer.PLAIN:  # several tokens of one term
-                each = each.groupBy("qid", "term", "block", "weight", "need", "doc", "len").agg(F.sum("tf").alias("tf"))
-            one = F.round(part(F.col("tf"), F.col("len")) * UNIT).cast("long")
-            found = each.groupBy("qid", "block", "doc").agg(F.sum(one).alias("score"), F.count(F.lit(1)).alias("met"), F.first("need").alias("need"))
-            found = (found.where("met = need") if every else found).select("qid", "block", "doc", "score")
-            dead = self._dead()
+            # posting rows meet by block, are scored there, and only a block's best documents leave it
+            here = chosen.join(broadcast_if_small(numbers), "qid").groupBy("block").agg(F.collect_set("q").alias("qs"))
+            dead, out = self._dead(), None
             if dead is not None:
-                found = found.join(broadcast_if_small(dead.select("block", "doc")), ["block", "doc"], "left_anti")
+                out = dead.select("block", "doc")
             if facet is not None:
-                found = found.join(self.documents().where(F.col("facet") == facet).select("block", "doc"), ["block", "doc"], "left_semi")
+                other = self.documents().where(~F.col("facet").eqNullSafe(F.lit(facet))).select("block", "doc")
+                out = other if out is None else out.unionByName(other)
+            here = here.withColumn("out", F.array().cast("array<int>")) if out is None else here.join(
+                out.groupBy("block").agg(F.collect_set("doc").alias("out")), "block", "left").withColumn("out", F.coalesce("out", F.array().cast("array<int>")))  # of one block
+            posts = self._of(terms, "docs", "ends", "lens").join(of_term, "term")
+            score = _score_block(k if allowed is None else None, every, mean)
+            found = posts.groupBy("block").cogroup(here.groupBy("block")).applyInArrow(score, "q long, block long, doc int, score long")
+            found = found.join(broadcast_if_small(numbers), "q").drop("q")
             if allowed is not None:
                 found = found.join(allowed, ["qid", "block", "doc"], "left_semi")
             best = Window.partitionBy("qid").orderBy(F.desc("score"))
@@ -417,6 +421,57 @@ class Index:
         return rows.select(*hits.columns, F.trim(F.regexp_replace(text, r"\s+", " ")).alias("snippet"))
 
 
+def _score_block(k: int | None, every: bool, mean: float):  # noqa: ANN202
+    """Scores of one block's documents for the queries that chose it: the ``k`` best of each with those that equal the last, or all."""
+    schema = pa.schema([("q", pa.int64()), ("block", pa.int64()), ("doc", pa.int32()), ("score", pa.int64())])
+
+    def run(posts: pa.Table, here: pa.Table) -> pa.Table:
+        if not posts.num_rows or not here.num_rows:
+            return schema.empty_table()
+        wanted, out = set(here.column("qs")[0].as_py()), np.array(here.column("out")[0].as_py(), np.int64)
+        rows: dict[str, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+        asks: dict[int, list[tuple[str, float, int]]] = {}
+        size = 0
+        for term, docs, ends, lens, ask in zip(*[posts.column(c) for c in ("term", "docs", "ends", "lens", "asks")], strict=True):
+            name = term.as_py()
+            d, e, n = (np.asarray(x.values) for x in (docs, ends, lens))
+            if name not in rows:
+                for a in ask.as_py():
+                    if a["q"] in wanted:
+                        asks.setdefault(a["q"], []).append((name, a["weight"], a["need"]))
+            rows.setdefault(name, []).append((d, np.diff(e, prepend=0), n))
+            size = max(size, int(d.max()) + 1)
+        tokens: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for name, parts in rows.items():
+            d, tf, n = parts[0]
+            if len(parts) > 1:  # several tokens of one term
+                every_d = np.concatenate([x[0] for x in parts])
+                d, first, place = np.unique(every_d, return_index=True, return_inverse=True)
+                tf = np.bincount(place, np.concatenate([x[1] for x in parts])).astype(np.int64)
+                n = np.concatenate([x[2] for x in parts])[first]
+            tokens[name] = d, tf.astype(np.float64), n.astype(np.float64)
+        gone = np.zeros(size, bool)
+        gone[out[out < size]] = True
+        block, found = posts.column("block")[0].as_py(), []
+        for q, terms in asks.items():
+            total, met = np.zeros(size, np.int64), np.zeros(size, np.int32)
+            for name, weight, _ in terms:
+                d, tf, n = tokens[name]
+                total[d] += np.floor(weight * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * n / mean)) * UNIT + 0.5).astype(np.int64)
+                met[d] += 1
+            docs = np.flatnonzero((met == terms[0][2] if every else met > 0) & ~gone)
+            if k is not None and len(docs) > k:
+                least = np.partition(total[docs], len(docs) - k)[len(docs) - k]
+                docs = docs[total[docs] >= least]
+            found.append((np.full(len(docs), q), docs, total[docs]))
+        if not found:
+            return schema.empty_table()
+        q, docs, scores = (np.concatenate(x) for x in zip(*found, strict=True))
+        return pa.table([pa.array(q, pa.int64()), pa.array(np.full(len(q), block), pa.int64()), pa.array(docs, pa.int32()), pa.array(scores, pa.int64())], schema=schema)
+
+    return run
+
+
 def _times(ends: str, i: Column) -> Column:
     """How often the i-th document of a posting row holds the term."""
     return F.get(ends, i) - F.when(i > 0, F.get(ends, i - 1)).otherwise(0)
@@ -426,23 +481,6 @@ def _places_of(places: str, ends: str, i: Column) -> Column:
     return F.slice(places, F.when(i > 0, F.get(ends, i - 1)).otherwise(0) + 1, _times(ends, i))
 
 
-def _merged(posts: DataFrame) -> DataFrame:
-    """One row a (term, block): the tokens of a term one after the other. A document that holds several has several entries; the head's bound holds for their sum."""
-    lists = ("docs", "ends", "lens", "places")
-    held = F.filter(F.collect_list(F.struct(*lists)), lambda x: x["docs"].isNotNull())
-    out = posts.groupBy("slice", "bucket", "term", "block").agg(
-        F.sum("n").alias("entries"), F.sum("most").cast("int").alias("most"), F.min("least").alias("least"), held.alias("held"), F.first("ids", ignorenulls=True).alias("ids"),
-        F.first("facets", ignorenulls=True).alias("facets"), F.first("lens", ignorenulls=True).alias("own"),
-    )
-    empty = F.struct(*[F.array().cast("array<int>").alias(c) for c in lists])
-    shifted = lambda a, x: F.concat(a["ends"], F.transform(x["ends"], lambda e: e + F.size(a["places"])))
-    join = lambda a, x: F.struct(*[(shifted(a, x) if c == "ends" else F.concat(a[c], x[c])).alias(c) for c in lists])
-    out = out.withColumn("all", F.when(F.col("bucket") != DOCS, F.when(F.size("held") == 1, F.get("held", F.lit(0))).otherwise(F.aggregate("held", empty, join))))
-    n = F.when(F.col("bucket") == DOCS, F.col("entries").cast("int")).otherwise(F.size(F.array_distinct("all.docs")))
-    columns = {c: F.col(f"all.{c}") for c in lists} | {"n": n, "lens": F.when(F.col("bucket") == DOCS, F.col("own")).otherwise(F.col("all.lens"))}
-    return out.withColumns(columns).drop("entries", "held", "all", "own")
-
-
 def least_window(at: Column, need: Column) -> Column:
     """Of sorted places of several terms - an array of (t, places) - the length of the shortest stretch that holds all; linear in the places."""
     events = F.array_sort(F.flatten(F.transform(at, lambda x: F.transform(x["places"], lambda p: F.struct(p.alias("p"), x["t"].alias("t"))))))

@@ -40,7 +40,7 @@ def asked(spark):
 
 @pytest.fixture(params=[analyzer.PLAIN, analyzer.STEMMED])
 def built(spark, request, monkeypatch):
-    monkeypatch.setattr(index, "BLOCK_DOCS", 16)  # many blocks
+    monkeypatch.setattr(index, "BLOCK_DOCS", 70)  # several blocks
     new = index.create(spark, tempfile.mkdtemp(prefix="index-") + "/i", kind=request.param, buckets=4)
     return new.add(frame(spark, ROWS), facet_col="source")
 
