@@ -80,21 +80,28 @@ def _text(e: ET.Element, skip: Callable[[str], bool]) -> str:
     return " ".join(out) if any(_tag(c) in LEVEL_TAGS for c in e) else "".join(out)
 
 
+def section_ids(identifier: str) -> list[str]:
+    """The identifiers of a section of its own; none for one that is nested in another law, or quoted."""
+    ids = [i.translate(DASHES) for i in identifier.split()]
+    return ids if all(i.startswith("/us/usc/t26/s") and i.count("/") == 4 for i in ids) else []
+
+
+def section_records(section: ET.Element) -> Iterator[tuple[str, list[Record]]]:
+    """(identifier, records) of a section: provisions with their tree, explicit references and notes; one of two ids gives one tree each."""
+    for i in section_ids(section.get("identifier", "")):
+        yield i, [*_provision(section, i, None, 0, "active"), *_notes(section, i)]
+
+
 def statute_records(data: bytes) -> Iterator[Record]:
-    """Sections of a statute: provisions with their tree, explicit references and notes; a section of two ids gives one tree each."""
+    """Records of all sections of a statute, the first of each identifier."""
     seen: set[str] = set()
     root = ET.fromstring(data)
     for section in [root] if _tag(root) == "section" else root.iter():
-        if _tag(section) != "section":
-            continue
-        ids = [i.translate(DASHES) for i in section.get("identifier", "").split()]
-        if not ids or any(not i.startswith("/us/usc/t26/s") or i.count("/") != 4 for i in ids):
-            continue  # nested in another law, or quoted
-        for i in ids:
-            if i not in seen:
-                seen.add(i)
-                yield from _provision(section, i, None, 0, "active")
-                yield from _notes(section, i)
+        if _tag(section) == "section":
+            for i, rows in section_records(section):
+                if i not in seen:
+                    seen.add(i)
+                    yield from rows
 
 
 def _provision(e: ET.Element, identifier: str, parent: str | None, ordinal: int, inherited: str) -> list[Record]:
