@@ -482,7 +482,10 @@ def _places_of(places: str, ends: str, i: Column) -> Column:
 
 
 def least_window(at: Column, need: Column) -> Column:
-    """Of sorted places of several terms - an array of (t, places) - the length of the shortest stretch that holds all; linear in the places."""
+    """Of sorted places of several terms - an array of (t, places) - how far the first and last of the shortest stretch that holds all lie apart.
+
+    A sweep over the places in order, which keeps each term's last one; linear in the places.
+    """
     events = F.array_sort(F.flatten(F.transform(at, lambda x: F.transform(x["places"], lambda p: F.struct(p.alias("p"), x["t"].alias("t"))))))
     none = F.lit(-1)
     start = F.struct(F.array_repeat(none, need.cast("int")).alias("last"), F.lit(2**31 - 1).alias("best"))

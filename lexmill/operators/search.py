@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.operators.index import least_window
 from lexmill.plans.joins import broadcast_if_small
 from lexmill.plans.scratch import materialize
 
@@ -66,13 +67,12 @@ def rare_tokens(queries: DataFrame, q_id: str, q_text: str, docs: DataFrame, id_
 
 
 def near(docs: DataFrame, id_col: str, text_col: str, a: str, b: str, distance: int) -> DataFrame:
-    """Ids of documents where ``a`` and ``b`` stand within ``distance`` tokens, with the least distance; one pass, no self-join."""
+    """Ids of documents where ``a`` and ``b`` stand within ``distance`` tokens, with the least distance; one pass over their places in order."""
     t = tokens(F.col(text_col))
     places = lambda arr, w: F.filter(F.transform(arr, lambda x, i: F.when(x == w, i)), lambda i: i.isNotNull())
     rows = docs.select(F.col(id_col).alias("id"), t.alias("t")).where(F.array_contains("t", a) & F.array_contains("t", b))
-    rows = rows.select("id", places(F.col("t"), a).alias("pa"), places(F.col("t"), b).alias("pb"))
-    least = F.array_min(F.transform("pa", lambda x: F.array_min(F.transform(F.col("pb"), lambda y: F.abs(x - y)))))
-    return rows.select("id", least.alias("gap")).where(F.col("gap") <= distance)
+    at = F.array(*[F.struct(F.lit(k).alias("t"), places(F.col("t"), w).alias("places")) for k, w in enumerate((a, b))])
+    return rows.select("id", least_window(at, F.lit(2)).alias("gap")).where(F.col("gap") <= distance)
 
 
 def longest_prefixes(queries: DataFrame, q_id: str, q_text: str, docs: DataFrame, text_col: str) -> DataFrame:

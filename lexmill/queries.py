@@ -614,10 +614,11 @@ def quotes_e2e(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _CITED = "SELECT l_orderkey, l_linenumber, ['irc', 'reg', 'case', 'secondary', 'irs_guidance'][1 + (l_orderkey + l_linenumber) % 5] AS source, ['Rev. Rul.', 'Notice', 'T.D.', 'PLR', 'GCM', 'AOD', 'ILM'][1 + l_partkey % 7] AS guidance_type, CASE l_suppkey % 4 WHEN 0 THEN year(CAST(l_shipdate AS DATE)) || '-' || l_partkey WHEN 1 THEN 70 + l_suppkey % 30 || '12001' WHEN 2 THEN year(CAST(l_shipdate AS DATE)) || '01001' ELSE '' || l_partkey % 1000 END AS num FROM lineitem"
+_CITED_ALL = _CITED.replace("SELECT ", "SELECT l_partkey, l_suppkey, l_returnflag, ", 1)
 _KINDS = "CASE source WHEN 'irc' THEN 'statute' WHEN 'reg' THEN 'regulation' WHEN 'irs_guidance' THEN CASE guidance_type WHEN 'Rev. Rul.' THEN 'published_ruling' WHEN 'Notice' THEN 'irb_pronouncement' WHEN 'T.D.' THEN 'regulation' WHEN 'PLR' THEN 'private_ruling' WHEN 'ILM' THEN 'unclassified' ELSE 'internal_memorandum' END ELSE source END"
 
 
-def _cited(spark: SparkSession, sf: str) -> DataFrame:
+def _cited(spark: SparkSession, sf: str, *more: str) -> DataFrame:
     pick = lambda names, at: F.get(F.array(*map(F.lit, names)), at.cast("int"))
     year, rest = F.year(F.col("l_shipdate").cast("date")).cast("string"), F.col("l_suppkey") % 4
     number = (
@@ -626,7 +627,7 @@ def _cited(spark: SparkSession, sf: str) -> DataFrame:
     )
     return table(spark, sf, "lineitem").select(
         "l_orderkey", "l_linenumber", pick(("irc", "reg", "case", "secondary", "irs_guidance"), (F.col("l_orderkey") + F.col("l_linenumber")) % 5).alias("source"),
-        pick(("Rev. Rul.", "Notice", "T.D.", "PLR", "GCM", "AOD", "ILM"), F.col("l_partkey") % 7).alias("type"), number.alias("num"),
+        pick(("Rev. Rul.", "Notice", "T.D.", "PLR", "GCM", "AOD", "ILM"), F.col("l_partkey") % 7).alias("type"), number.alias("num"), *more,
     )
 
 
@@ -648,3 +649,37 @@ def authority_of_citations(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"SELECT {_KINDS} AS authority_kind, count(*) AS n FROM ({_CITED}) t GROUP BY 1")
 def authority_kind_counts(spark: SparkSession, sf: str) -> DataFrame:
     return authority.kind_counts(_as_guidance(spark, sf))
+
+
+def _of_documents(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Citations of an order's lines, several of one identifier, and what was found of them."""
+    pick = F.when(F.col("l_partkey") % 3 != 0, F.concat(F.lit("/id/"), F.col("l_partkey") % 40))
+    start = F.col("l_linenumber").cast("long") * 10**12 + F.col("l_partkey") * 10**6 + F.col("l_suppkey")
+    rows = _cited(spark, sf, "l_partkey", "l_suppkey", "l_returnflag").select(
+        F.col("l_orderkey").alias("doc_id"), start.alias("start"), pick.alias("canonical_id"), F.concat_ws(" ", "source", "num").alias("display"), "source",
+        F.when(F.col("source") == "irs_guidance", F.col("type")).alias("guidance_type"), F.col("num").alias("guidance_number"),
+        F.when(F.col("l_returnflag") == "A", "proposed").otherwise("final").alias("reg_kind"), "l_returnflag", "l_partkey",
+    )
+    found = F.when(F.col("l_partkey") % 11 == 0, "not_found").when(F.col("l_returnflag") == "R", "repealed").when(F.col("l_returnflag") == "N", "source_unavailable").otherwise("verified")
+    return rows, rows.select("doc_id", "start", F.coalesce("canonical_id", "display").alias("key"), found.alias("status"))
+
+
+@query(
+    f"""WITH c AS (
+      SELECT l_orderkey AS doc_id, l_linenumber * CAST(1000000000000 AS BIGINT) + l_partkey * 1000000 + l_suppkey AS start, coalesce(CASE WHEN l_partkey % 3 <> 0 THEN '/id/' || l_partkey % 40 END, source || ' ' || num) AS key, source || ' ' || num AS display,
+        source, {_KINDS} AS k, CASE WHEN num LIKE '%-%' OR length(num) >= 9 THEN CAST(num[1:4] AS INTEGER) WHEN length(num) >= 7 THEN 1900 + CAST(num[1:2] AS INTEGER) END AS y,
+        CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END AS prop,
+        CASE WHEN l_partkey % 11 = 0 THEN 'not_found' WHEN l_returnflag = 'R' THEN 'repealed' WHEN l_returnflag = 'N' THEN 'source_unavailable' ELSE 'verified' END AS status
+      FROM ({_CITED_ALL}) t),
+    u AS (SELECT doc_id, key, min_by({{'display': display, 'k': k, 'y': y, 'prop': prop, 'source': source}}, start) AS x, max_by(status, start) AS status FROM c GROUP BY doc_id, key),
+    s AS (SELECT doc_id, x.display AS display, x.k AS k, x.y AS y, x.prop AS prop, status, CASE x.k WHEN 'private_ruling' THEN 1976 WHEN 'internal_memorandum' THEN 1981 END AS since FROM u),
+    v AS (SELECT *, k NOT IN ('secondary', 'unclassified') AND NOT coalesce(y < since, false) AS counts FROM s)
+    SELECT doc_id, count(*) FILTER (counts AND status NOT IN ('not_found', 'repealed')) AS n_authority, count(*) FILTER (NOT (counts AND status NOT IN ('not_found', 'repealed'))) AS n_not_authority,
+      CAST(sum(CASE WHEN since IS NOT NULL AND y IS NULL THEN 1 ELSE 0 END + CASE WHEN k IN ('case', 'unclassified', 'secondary') OR (k = 'private_ruling' AND counts) THEN 1 ELSE 0 END
+        + CASE WHEN k = 'regulation' THEN prop ELSE 0 END + CASE WHEN status = 'source_unavailable' THEN 1 ELSE 0 END) AS BIGINT) AS n_caveats,
+      coalesce(string_agg(DISTINCT CASE WHEN status = 'not_found' THEN display END, '|' ORDER BY CASE WHEN status = 'not_found' THEN display END), '') AS unresolved
+    FROM v GROUP BY doc_id"""
+)
+def authority_of_documents(spark: SparkSession, sf: str) -> DataFrame:
+    citations, statuses = _of_documents(spark, sf)
+    return authority.report(authority.analyse(citations, statuses)).withColumn("unresolved", F.array_join("unresolved", "|"))

@@ -73,3 +73,24 @@ def test_summaries(spark):
     assert [tuple(r) for r in models.total_absorbed(y, "id").collect()] == [("a", 12)]
     c = spark.createDataFrame([("x", "added"), ("y", "added"), ("z", "renamed")], "k string, change string")
     assert {r["change"]: r["n"] for r in versions.change_counts(c).collect()} == {"added": 2, "removed": 0, "changed": 0, "renamed": 1}
+
+
+def test_documents_authorities_once_and_by_status(spark):
+    rows = [
+        (1, 5, "/s1", "§ 1", "irc", None, None, None), (1, 2, "/s1", "§ 1 first", "irc", None, None, None), (1, 9, None, "PLR 7512001", "irs_guidance", "PLR", "7512001", None),
+        (1, 8, None, "GCM 39000", "irs_guidance", "GCM", "39000", None), (1, 7, "/r1", "Prop. Reg. 1", "reg", None, None, "proposed"), (1, 6, None, "Mertens § 4", "secondary", None, None, None),
+        (2, 1, "/s1", "§ 1", "irc", None, None, None), (2, 2, "/s2", "§ 2", "irc", None, None, None), (2, 3, "/s3", "§ 3", "irc", None, None, None), (None, 1, "/s2", "§ 2", "irc", None, None, None),
+    ]
+    schema = "doc_id long, start int, canonical_id string, display string, source string, guidance_type string, guidance_number string, reg_kind string"
+    found = [(2, 1, "/s1", "verified"), (2, 2, "/s2", "verified"), (2, 9, "/s2", "repealed"), (2, 3, "/s3", "not_found"), (1, 2, "/s1", "not_yet_effective"), (None, 1, "/s2", "pinpoint_not_found"), (5, 1, "/s1", "repealed")]
+    statuses = spark.createDataFrame(found, "doc_id long, start int, key string, status string")
+    out = {(r["doc_id"], r["key"]): r for r in authority.analyse(spark.createDataFrame(rows, schema), statuses).collect()}
+    assert len(out) == 9 and out[1, "/s1"]["display"] == "§ 1 first"
+    assert out[1, "/s1"]["is_authority"] and out[1, "/s1"]["caveats"] == [authority.STATUS_CAVEATS["not_yet_effective"]]
+    assert not out[1, "PLR 7512001"]["is_authority"] and out[1, "PLR 7512001"]["reason"] == authority.TOO_OLD
+    assert out[1, "GCM 39000"]["caveats"] == [authority.UNCHECKED] and out[1, "/r1"]["caveats"] == [authority.REG_CAVEATS["proposed"]]
+    assert not out[1, "Mertens § 4"]["is_authority"] and out[2, "/s1"]["is_authority"] and out[2, "/s1"]["caveats"] == []
+    assert out[2, "/s2"]["reason"] == authority.ENDED and out[2, "/s3"]["reason"] == authority.ABSENT and out[2, "/s3"]["unresolved"] and out[None, "/s2"]["unresolved"]
+    totals = {r["doc_id"]: (r["n_authority"], r["n_not_authority"], r["unresolved"]) for r in authority.report(authority.analyse(spark.createDataFrame(rows, schema), statuses)).collect()}
+    assert totals == {1: (3, 2, []), 2: (1, 2, ["§ 3"]), None: (0, 1, ["§ 2"])}
+    assert authority.analyse(spark.createDataFrame(rows[:0], schema)).count() == 0
