@@ -114,3 +114,13 @@ def prefixes_of(identifier: Column) -> Column:
     parts = F.split(identifier, "/")
     depths = F.sequence(F.lit(5), F.greatest(F.size(parts), F.lit(5)))
     return F.transform(depths, lambda n: F.struct(F.array_join(F.slice(parts, F.lit(1), n), "/").alias("id"), (n - 5).alias("depth")))
+
+
+def range_items(a: Column, b: Column, most: int) -> Column:
+    """Every step of a range of numbers, or of letters of one case, both ends included; null unless it rises, by less than ``most``."""
+    number, letter = r"^[0-9]{1,9}$", "^(?:[a-z][a-z]|[A-Z][A-Z])$"
+    both = F.when(a.rlike(number) & b.rlike(number), F.lit("number")).when(F.concat(a, b).rlike(letter) & (F.length(a) == 1), F.lit("letter"))
+    lo = F.when(both == "number", a.try_cast("int")).when(both == "letter", F.ascii(a))
+    hi = F.when(both == "number", b.try_cast("int")).when(both == "letter", F.ascii(b))
+    steps = F.when((hi > lo) & (hi - lo < most), F.sequence(lo, hi))
+    return F.transform(steps, lambda n: F.when(both == "letter", F.char(n)).otherwise(n.cast("string")))

@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill import history_queries, index_queries
-from lexmill.functions import cite, ids
-from lexmill.operators import authority, fuzzy, graph, lookup, models, search, temporal, versions
+from lexmill.functions import cite, definitions, ids
+from lexmill.operators import authority, fuzzy, graph, lookup, models, search, spans, temporal, versions
 from lexmill.plans import quotes, verify
 from lexmill.session import table
 
@@ -383,49 +383,62 @@ def owner_shift_3y(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("company", F.col("when").cast("string").alias("when"), F.col("total_increase").cast("double").alias("total_increase"), "changed")
 
 
-_SCENARIOS = [("a", 100, 250, [80, 50, 300]), ("b", 50, 1000, [10, 0, 200, 40]), ("c", 0, 10, [5, 5]), ("d", 40, 30, [100])]
-
-
 @query(
-    "WITH RECURSIVE s(id, annual, nol, incomes) AS (VALUES " + ", ".join(f"('{i}', CAST({a} AS DECIMAL(20,2)), CAST({n} AS DECIMAL(20,2)), {x})" for i, a, n, x in _SCENARIOS) + """), y AS (
+    """WITH RECURSIVE s AS (
+      SELECT o_custkey AS id, CAST(1000 + any_value(c_custkey) % 900 AS DECIMAL(20,2)) AS annual, CAST(count(*) * 1500 AS DECIMAL(20,2)) AS nol, list(CAST(floor(o_totalprice / 100) AS INTEGER) ORDER BY o_orderkey) AS incomes
+      FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY o_custkey), y AS (
     SELECT id, annual, incomes, 0 AS year, annual AS available, greatest(least(annual, incomes[1], nol), 0) AS absorbed, nol FROM s
     UNION ALL SELECT id, annual, incomes, year + 1, annual + available - absorbed, greatest(least(annual + available - absorbed, incomes[year + 2], nol - absorbed), 0), nol - absorbed
     FROM y WHERE year + 1 < len(incomes))
     SELECT id, CAST(year AS BIGINT) AS year, CAST(available AS DOUBLE) AS available, CAST(absorbed AS DOUBLE) AS absorbed,
       CAST(available - absorbed AS DOUBLE) AS carry, CAST(nol - absorbed AS DOUBLE) AS remaining FROM y"""
 )
-def limitation_schedule_fold(spark: SparkSession, sf: str) -> DataFrame:  # noqa: ARG001
-    rows = inline(spark, "id string, annual int, nol int, incomes array<int>", *_SCENARIOS)
-    rows = rows.select("id", F.col("annual").cast("decimal(20,2)").alias("annual"), F.col("nol").cast("decimal(20,2)").alias("nol"), F.col("incomes").cast("array<decimal(20,2)>").alias("incomes"))
+def limitation_schedule_fold(spark: SparkSession, sf: str) -> DataFrame:
+    """A customer as a company: its orders' totals are the years' incomes."""
+    years = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("c_custkey") == F.col("o_custkey"))
+    income = F.floor(F.col("o_totalprice") / 100).cast("decimal(20,2)")
+    held = F.array_sort(F.collect_list(F.struct("o_orderkey", income.alias("x"))))  # of one company
+    rows = years.groupBy(F.col("o_custkey").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.transform(held, lambda x: x["x"]).alias("incomes"))
+    money = lambda c: c.cast("decimal(20,2)")
+    rows = rows.select("id", money(1000 + F.col("id") % 900).alias("annual"), money(F.col("n") * 1500).alias("nol"), "incomes")
     out = models.limitation_schedule(rows, "id", "annual", "nol", "incomes")
     return out.select("id", "year", *[F.col(c).cast("double").alias(c) for c in ("available", "absorbed", "carry", "remaining")])
 
 
-@query("WITH d(day) AS (VALUES (DATE '2024-02-29'), (DATE '2023-02-28'), (DATE '2026-12-31')) SELECT CAST(day AS VARCHAR) AS day, CAST(CAST(day - INTERVAL 3 YEAR AS DATE) AS VARCHAR) AS start FROM d")
-def window_start_29feb(spark: SparkSession, sf: str) -> DataFrame:  # noqa: ARG001
-    days = inline(spark, "day string", ("2024-02-29",), ("2023-02-28",), ("2026-12-31",)).select(F.col("day").cast("date").alias("day"))
-    return days.select(F.col("day").cast("string").alias("day"), models.window_start(F.col("day")).cast("string").alias("start"))
+@query("SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day, CAST(CAST(CAST(o_orderdate AS DATE) - INTERVAL 3 YEAR AS DATE) AS VARCHAR) AS start FROM orders")
+def window_start_29feb(spark: SparkSession, sf: str) -> DataFrame:
+    day = F.col("o_orderdate").cast("date")
+    return table(spark, sf, "orders").select("o_orderkey", day.cast("string").alias("day"), models.window_start(day).cast("string").alias("start"))
 
 
 @query(
-    """WITH r(a, b) AS (VALUES ('1401', '1403'), ('704', '707'), ('1', '100'))
-    SELECT a, b, CAST(n AS VARCHAR) AS item FROM r, generate_series(1, 2000) g(n) WHERE n BETWEEN CAST(a AS INTEGER) AND CAST(b AS INTEGER) AND CAST(b AS INTEGER) - CAST(a AS INTEGER) < 26
-    UNION ALL SELECT 'c', 'f', chr(CAST(n AS INTEGER)) FROM generate_series(99, 102) g(n)"""
+    """WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey AS a, l_partkey + CAST(l_quantity AS INTEGER) AS b, 97 + l_linenumber AS c, 97 + l_linenumber + l_suppkey % 6 AS d FROM lineitem)
+    SELECT l_orderkey, l_linenumber, 'number' AS kind, CAST(unnest(range(a, b + 1)) AS VARCHAR) AS item FROM l WHERE b > a AND b - a < 26
+    UNION ALL SELECT l_orderkey, l_linenumber, 'letter', chr(CAST(unnest(range(c, d + 1)) AS INTEGER)) FROM l WHERE d > c"""
 )
-def range_expand_numeric_letter(spark: SparkSession, sf: str) -> DataFrame:  # noqa: ARG001
-    r = inline(spark, "a string, b string", ("1401", "1403"), ("704", "707"), ("1", "100"), ("c", "f"))
-    lo, hi = F.col("a").try_cast("int"), F.col("b").try_cast("int")
-    numbers = F.when((hi - lo > 0) & (hi - lo < cite.MAX_RANGE), F.transform(F.sequence(lo, hi), lambda n: n.cast("string")))
-    letters = F.when(lo.isNull(), F.transform(F.sequence(F.ascii("a"), F.ascii("b")), lambda n: F.char(n)))
-    return r.select("a", "b", F.explode(F.coalesce(numbers, letters)).alias("item"))
+def range_expand_numeric_letter(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_suppkey")
+    letter = 97 + F.col("l_linenumber")
+    numbers = ids.range_items(F.col("l_partkey").cast("string"), (F.col("l_partkey") + F.col("l_quantity").cast("int")).cast("string"), cite.MAX_RANGE)
+    letters = ids.range_items(F.char(letter), F.char(letter + F.col("l_suppkey") % 6), cite.MAX_RANGE)
+    each = lambda kind, items: rows.select("l_orderkey", "l_linenumber", F.lit(kind).alias("kind"), F.explode(items).alias("item"))
+    return each("number", numbers).unionByName(each("letter", letters))
 
 
-@query("SELECT * FROM (VALUES ('a', 0, 10), ('a', 20, 30), ('b', 3, 9)) t(doc, s, e)")
-def overlap_resolution(spark: SparkSession, sf: str) -> DataFrame:  # noqa: ARG001
-    rows = inline(spark, "doc string, s int, e int, p int", ("a", 0, 10, 2), ("a", 4, 8, 3), ("a", 20, 30, 1), ("a", 20, 25, 3), ("b", 3, 9, 2), ("b", 3, 9, 1))
-    other = rows.select(*[F.col(c).alias(f"{c}2") for c in rows.columns])
-    worse = (F.col("e") - F.col("s") < F.col("e2") - F.col("s2")) | ((F.col("e") - F.col("s") == F.col("e2") - F.col("s2")) & (F.col("p") < F.col("p2")))
-    return rows.join(other, (F.col("doc") == F.col("doc2")) & (F.col("s") < F.col("e2")) & (F.col("s2") < F.col("e")) & worse, "left_anti").select("doc", "s", "e")
+@query(
+    """WITH RECURSIVE l AS (SELECT DISTINCT l_orderkey AS doc, l_partkey % 60 AS s, l_partkey % 60 + 1 + l_suppkey % 15 AS e, l_linenumber AS p FROM lineitem),
+    o AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY s, s - e, -p) AS k, count(*) OVER (PARTITION BY doc) AS n FROM l),
+    r AS (
+      SELECT doc, k, n, s, e, p, true AS fresh FROM o WHERE k = 1
+      UNION ALL SELECT o.doc, o.k, o.n, CASE WHEN t THEN o.s ELSE r.s END, CASE WHEN t THEN o.e ELSE r.e END, CASE WHEN t THEN o.p ELSE r.p END, r.e <= o.s
+      FROM r JOIN o ON o.doc = r.doc AND o.k = r.k + 1, LATERAL (SELECT r.e <= o.s OR (o.s - o.e, -o.p) < (r.s - r.e, -r.p) AS t))
+    SELECT r.doc, r.s, r.e, CAST(r.p AS BIGINT) AS p FROM r LEFT JOIN r AS nxt ON nxt.doc = r.doc AND nxt.k = r.k + 1 WHERE r.k = r.n OR nxt.fresh"""
+)
+def overlap_resolution(spark: SparkSession, sf: str) -> DataFrame:
+    """An order's lines as spans."""
+    start = F.col("l_partkey") % 60
+    rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc"), start.alias("s"), (start + 1 + F.col("l_suppkey") % 15).alias("e"), F.col("l_linenumber").alias("p"))
+    return spans.resolve_overlaps(rows, "doc", "s", "e", "p")
 
 
 @query(f"SELECT {_ID} AS id, regexp_full_match(chr(CAST(97 + l_linenumber % 26 AS INTEGER)), '[a-z]{{1,2}}') AS ok1, regexp_full_match(CAST(l_partkey AS VARCHAR), '\\d+[A-Z]?') AS ok2 FROM lineitem")
@@ -491,17 +504,24 @@ def authority_classify(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select("p_partkey", verdict.alias("verdict"))
 
 
+_SCOPES = ("this section", "this subsection", "this paragraph", None)
+
+
 @query(
-    """WITH d(scope, path) AS (VALUES ('section', ['a', '1']), ('subsection', ['a', '1']), ('paragraph', ['a', '1']), ('title', ['b'])), u(p) AS (VALUES (['a']), (['a', '1', 'A']), (['b', '2']))
-    SELECT scope, array_to_string(p, '/') AS used_at, CASE scope WHEN 'title' THEN true WHEN 'section' THEN true WHEN 'subsection' THEN p[1:1] = path[1:1] ELSE p[1:2] = path[1:2] END AS governs FROM d, u"""
+    """WITH l AS (SELECT DISTINCT l_orderkey, chr(CAST(97 + l_linenumber % 3 AS INTEGER)) AS a, l_partkey AS b, l_linenumber % 4 AS k FROM lineitem)
+    SELECT d.l_orderkey, d.a || '/' || d.b AS defined_at, u.a || '/' || u.b AS used_at, d.k AS scope_kind,
+      CASE d.k WHEN 1 THEN d.a = u.a WHEN 2 THEN d.a = u.a AND d.b = u.b ELSE true END AS governs
+    FROM l d JOIN l u ON d.l_orderkey = u.l_orderkey"""
 )
-def scope_reaches(spark: SparkSession, sf: str) -> DataFrame:  # noqa: ARG001
-    d = inline(spark, "scope string, path array<string>", ("section", ["a", "1"]), ("subsection", ["a", "1"]), ("paragraph", ["a", "1"]), ("title", ["b"]))
-    used = F.array(*[F.array(*map(F.lit, p)) for p in (["a"], ["a", "1", "A"], ["b", "2"])])
-    rows = d.select("scope", "path", F.explode(used).alias("p"))
-    depth = F.when(F.col("scope") == "subsection", 1).when(F.col("scope") == "paragraph", 2).otherwise(0)
-    governs = (depth == 0) | (F.slice("p", F.lit(1), depth) == F.slice("path", F.lit(1), depth))
-    return rows.select("scope", F.array_join("p", "/").alias("used_at"), governs.alias("governs"))
+def scope_reaches(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether a definition at one line of an order reaches each of the order's lines."""
+    rows = table(spark, sf, "lineitem").select("l_orderkey", F.char(97 + F.col("l_linenumber") % 3).alias("a"), F.col("l_partkey").alias("b"), (F.col("l_linenumber") % 4).alias("k")).distinct()
+    at = F.concat_ws("/", "a", "b")
+    d = rows.select("l_orderkey", at.alias("defined_at"), F.col("k").alias("scope_kind"), F.get(F.array(*map(F.lit, _SCOPES)), F.col("k").cast("int")).alias("scope"))
+    both = d.join(rows.select("l_orderkey", at.alias("used_at")), "l_orderkey")
+    place = lambda c: F.concat(F.lit(ids.PREFIX["irc"]), F.col("l_orderkey"), F.lit("/"), F.col(c))
+    governs = definitions.governs(F.col("scope"), place("defined_at"), place("used_at"))
+    return both.select("l_orderkey", "defined_at", "used_at", "scope_kind", governs.alias("governs"))
 
 
 @query(r"SELECT page_id, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title, len(regexp_extract_all(html, '<p[ >]')) AS n_paragraphs FROM pages")
