@@ -20,8 +20,8 @@ INOPERATIVE = {"repealed": "repealed", "omitted": "repealed", "transferred": "re
 
 def severity(status: Column) -> Column:
     return (
-        F.when(status.isin("verified"), "ok").when(status.isin("unverifiable", "source_unavailable"), "info")
-        .when(status.isin("reserved", "superseded"), "warning").otherwise("error")
+        F.when(status.isin("verified"), "ok").when(status == "unverifiable", "info")
+        .when(status.isin("repealed", "reserved", "superseded", "source_unavailable"), "warning").otherwise("error")
     )
 
 

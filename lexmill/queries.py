@@ -583,7 +583,7 @@ _VERIFIED = """WITH o AS (SELECT o_orderkey AS doc_id, o_custkey * 7 % 9000 + 1
   SELECT doc_id, '§ ' || s || '(' || c || ')' AS display, CASE WHEN p IS NULL THEN 'not_found' WHEN c > 'd' THEN 'pinpoint_not_found' WHEN s % 10 = 0 THEN 'repealed' ELSE 'verified' END AS status FROM o
   UNION ALL SELECT doc_id, 'Rev. Rul. 2019-' || r, CASE WHEN r > 19 THEN 'not_found' WHEN r % 4 = 0 THEN 'superseded' ELSE 'verified' END FROM o
   UNION ALL SELECT doc_id, 'Treas. Reg. § 1.' || s || '-1', 'source_unavailable' FROM o), y AS (
-  SELECT *, CASE WHEN status = 'verified' THEN 'ok' WHEN status = 'source_unavailable' THEN 'info' WHEN status = 'superseded' THEN 'warning' ELSE 'error' END AS severity FROM x)
+  SELECT *, CASE WHEN status = 'verified' THEN 'ok' WHEN status IN ('source_unavailable', 'superseded', 'repealed') THEN 'warning' ELSE 'error' END AS severity FROM x)
 """
 
 
