@@ -178,8 +178,9 @@ def extract_citations(text: str | None) -> list[Citation]:
 
 
 def parse_citation(text: str) -> Citation:
-    """The one citation in ``text``; ValueError for none or several."""
-    found = {c["canonical_id"] or c["display"]: c for c in extract_citations(text if not re.fullmatch(r"\d.*", text) else f"§ {text}")}
+    """The one citation in ``text``, which may be a bare number; ValueError for none or several."""
+    cited = extract_citations(text) or (extract_citations(f"§ {text}") if re.match(r"\d", text) else [])
+    found = {c["canonical_id"] or c["display"]: c for c in cited}
     if len(found) != 1:
         raise ValueError(f"{len(found)} citations in {text!r}")
     return next(iter(found.values()))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.operators import lookup, marks
+from lexmill.plans import lookup as lookup_plan
 from lexmill.plans.history import History
 from lexmill.plans.scratch import folder
 from lexmill.session import table
@@ -64,7 +65,21 @@ def mark_runs(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("l_orderkey", F.col("place").cast("long").alias("place"), "kind", F.col("first").alias("first_mark"), F.col("last").alias("last_mark"), F.col("n").cast("long").alias("n"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (table_as_of, release_changes, mark_summaries, mark_runs)}
+def lookup_citations(spark: SparkSession, sf: str) -> DataFrame:
+    """Every order's first line as it would be cited, looked up among the lines and the orders that have a customer's number of three digits or more."""
+    line = F.concat(F.lit("/us/usc/t26/s"), "l_orderkey", F.lit("/"), F.char(97 + F.col("l_linenumber") % 26))
+    lines = table(spark, sf, "lineitem").select(line.alias("id"), F.concat(F.lit("line of part "), "l_partkey").alias("text")).groupBy("id").agg(F.min("text").alias("text"))
+    orders = table(spark, sf, "orders").where("o_custkey >= 100").select(
+        F.concat(F.lit("/us/usc/t26/s"), "o_orderkey").alias("id"), F.col("o_orderpriority").alias("heading"), F.concat(F.lit("order of customer "), "o_custkey").alias("text")
+    )
+    provisions = lines.select("id", F.lit(None).cast("string").alias("heading"), "text").unionByName(orders)
+    provisions = provisions.select("id", "heading", F.lit("active").alias("status"), "text", F.col("text").alias("full_text"))
+    asked = table(spark, sf, "orders").select(F.col("o_orderkey").alias("ask"), F.concat(F.lit("26 U.S.C. § "), "o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, "(b)").otherwise("")).alias("citation"))
+    out = lookup_plan.lookup(asked, provisions, max_chars=14)
+    return out.select("ask", "canonical_id", "display", "heading", "text", "truncated", "n_children", F.col("problem").isNull().alias("found"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (table_as_of, release_changes, mark_summaries, mark_runs, lookup_citations)}
 
 _DAYS = ", ".join(f"('{a}', DATE '{max(d for _, d in RELEASES if d <= a)}')" for a in ASKED)
 _LINES = """SELECT *, CASE WHEN l_orderkey % 4 = 0 THEN chr(CAST(96 + v AS INTEGER)) ELSE CAST(v AS VARCHAR) END AS token FROM (
@@ -90,4 +105,12 @@ ORACLES: dict[str, str] = {
     "mark_runs": f"""WITH l AS ({_LINES}), g AS (SELECT *, o - row_number() OVER (PARTITION BY l_orderkey, v - o ORDER BY o) AS k FROM l)
     SELECT l_orderkey, min(o) AS place, CASE WHEN l_orderkey % 4 = 0 THEN 'letter' ELSE 'digit' END AS kind, '(' || min_by(token, o) || ')' AS first_mark, '(' || max_by(token, o) || ')' AS last_mark,
       count(*) AS n FROM g GROUP BY l_orderkey, v - o, k""",
+    "lookup_citations": """WITH p AS (
+      SELECT '/us/usc/t26/s' || l_orderkey || '/' || chr(CAST(97 + l_linenumber % 26 AS INTEGER)) AS id, NULL AS heading, min('line of part ' || l_partkey) AS text, '/us/usc/t26/s' || l_orderkey AS parent FROM lineitem GROUP BY 1, 4
+      UNION ALL SELECT '/us/usc/t26/s' || o_orderkey, o_orderpriority, 'order of customer ' || o_custkey, NULL FROM orders WHERE o_custkey >= 100),
+    n AS (SELECT parent, count(*) AS k FROM p GROUP BY parent),
+    a AS (SELECT o_orderkey AS ask, '/us/usc/t26/s' || o_orderkey || CASE WHEN o_orderkey % 2 = 0 THEN '/b' ELSE '' END AS canonical_id, '§ ' || o_orderkey || CASE WHEN o_orderkey % 2 = 0 THEN '(b)' ELSE '' END AS display FROM orders)
+    SELECT ask, canonical_id, display, heading, CASE WHEN length(text) > 14 THEN regexp_replace(text[1:15], '\\s+\\S*$', '') ELSE text END AS text, coalesce(length(text) > 14, false) AS truncated,
+      coalesce(k, 0) AS n_children, p.id IS NOT NULL AS found
+    FROM a LEFT JOIN p ON p.id = canonical_id LEFT JOIN n ON n.parent = canonical_id""",
 }
