@@ -34,7 +34,7 @@ from lexmill.session import ship
 #: Documents and tokens of a block; whichever is reached first ends it.
 BLOCK_DOCS, BLOCK_TOKENS = 4096, 2_000_000
 #: Documents of a slice of the files.
-SLICE_DOCS = 1 << 18
+SLICE_DOCS = 1 << 16
 #: The saturation and length parameters, and the least weight of a term.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 #: Scores are whole numbers of this part, so sums don't depend on their order.
