@@ -23,6 +23,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -310,8 +311,10 @@ class Index:
         of_term = asked.groupBy("term").agg(F.collect_list(F.struct("q", "weight", "need")).alias("asks"))  # at most the queries
         of_term = broadcast_if_small(materialize(of_term, "asks"), 200_000)
 
+        final = Window.partitionBy("qid").orderBy(F.desc("score"), "id", "block", "doc")
+
         def scored(chosen: DataFrame) -> DataFrame:
-            """(qid, block, doc, score) of all documents of the chosen (qid, block)."""
+            """(qid, block, doc, id, score): the ``k`` best documents of the chosen (qid, block)."""
             # posting rows meet by block, are scored there, and only a block's best documents leave it
             here = chosen.join(broadcast_if_small(numbers), "qid").groupBy("block").agg(F.collect_set("q").alias("qs"))
             dead, out = self._dead(), None
@@ -322,33 +325,24 @@ class Index:
                 out = other if out is None else out.unionByName(other)
             here = here.withColumn("out", F.array().cast("array<int>")) if out is None else here.join(
                 out.groupBy("block").agg(F.collect_set("doc").alias("out")), "block", "left").withColumn("out", F.coalesce("out", F.array().cast("array<int>")))  # of one block
+            here = here.join(self._postings().where(F.col("bucket") == DOCS).select("block", "ids"), "block")
             posts = self._of(terms, "docs", "ends", "lens").join(of_term, "term")
             score = _score_block(k if allowed is None else None, every, mean)
-            found = posts.groupBy("block").cogroup(here.groupBy("block")).applyInArrow(score, "q long, block long, doc int, score long")
+            found = posts.groupBy("block").cogroup(here.groupBy("block")).applyInArrow(score, f"q long, block long, doc int, id {self.id_type}, score long")
             found = found.join(broadcast_if_small(numbers), "q").drop("q")
             if allowed is not None:
                 found = found.join(allowed, ["qid", "block", "doc"], "left_semi")
-            best = Window.partitionBy("qid").orderBy(F.desc("score"))
-            return materialize(found.withColumn("r", F.rank().over(best)).where(F.col("r") <= k).select("qid", "block", "doc", "score"), "scored")
+            return materialize(found.withColumn("r", F.row_number().over(final)).where(F.col("r") <= k).drop("r"), "scored")
 
         promising = Window.partitionBy("qid").orderBy(F.desc("bound"), "block")
         first = blocks.withColumn("r", F.row_number().over(promising)).where(F.col("r") <= FIRST).select("qid", "block")
         first = materialize(first, "first")
         early = scored(first)
-        by_score = Window.partitionBy("qid").orderBy(F.desc("score"), "block", "doc")
-        least = early.withColumn("r", F.row_number().over(by_score)).where(F.col("r") == k).select("qid", F.col("score").alias("least"))
+        least = early.withColumn("r", F.row_number().over(final)).where(F.col("r") == k).select("qid", F.col("score").alias("least"))
         rest = blocks.join(broadcast_if_small(first), ["qid", "block"], "left_anti").join(broadcast_if_small(least), "qid", "left")
         late = scored(materialize(rest.where("least is null or bound >= least").select("qid", "block"), "rest"))
-        found = early.unionByName(late).withColumn("r", F.rank().over(Window.partitionBy("qid").orderBy(F.desc("score")))).where(F.col("r") <= k).drop("r")
-        named = self._named(found)
-        final = Window.partitionBy("qid").orderBy(F.desc("score"), "id", "block", "doc")
-        named = named.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k)
-        return named.select("qid", "rank", "id", (F.col("score") / F.lit(float(UNIT))).alias("score"))
-
-    def _named(self, found: DataFrame) -> DataFrame:
-        """With the ``id`` of each (block, doc)."""
-        docs = self._postings().where(F.col("bucket") == DOCS).select("block", "ids")
-        return docs.join(broadcast_if_small(found), "block").withColumn("id", F.get("ids", F.col("doc"))).drop("ids")
+        found = early.unionByName(late).withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k)
+        return found.select("qid", "rank", "id", (F.col("score") / F.lit(float(UNIT))).alias("score"))
 
     # -- places -------------------------------------------------------------------------------------------------------------------
 
@@ -422,12 +416,13 @@ class Index:
 
 
 def _score_block(k: int | None, every: bool, mean: float):  # noqa: ANN202
-    """Scores of one block's documents for the queries that chose it: the ``k`` best of each with those that equal the last, or all."""
-    schema = pa.schema([("q", pa.int64()), ("block", pa.int64()), ("doc", pa.int32()), ("score", pa.int64())])
+    """Scores of one block's documents for the queries that chose it: the ``k`` best of each, equal ones by id, or all."""
 
     def run(posts: pa.Table, here: pa.Table) -> pa.Table:
+        schema = pa.schema([("q", pa.int64()), ("block", pa.int64()), ("doc", pa.int32()), ("id", here.schema.field("ids").type.value_type), ("score", pa.int64())])
         if not posts.num_rows or not here.num_rows:
             return schema.empty_table()
+        ids = here.column("ids")[0].values
         wanted, out = set(here.column("qs")[0].as_py()), np.array(here.column("out")[0].as_py(), np.int64)
         rows: dict[str, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
         asks: dict[int, list[tuple[str, float, int]]] = {}
@@ -463,11 +458,15 @@ def _score_block(k: int | None, every: bool, mean: float):  # noqa: ANN202
             if k is not None and len(docs) > k:
                 least = np.partition(total[docs], len(docs) - k)[len(docs) - k]
                 docs = docs[total[docs] >= least]
+            if k is not None and len(docs) > k:
+                tied = pa.table({"s": total[docs], "id": ids.take(pa.array(docs)), "d": docs})
+                order = pc.sort_indices(tied, sort_keys=[("s", "descending"), ("id", "ascending"), ("d", "ascending")], null_placement="at_start")
+                docs = docs[order.to_numpy()[:k]]
             found.append((np.full(len(docs), q), docs, total[docs]))
         if not found:
             return schema.empty_table()
         q, docs, scores = (np.concatenate(x) for x in zip(*found, strict=True))
-        return pa.table([pa.array(q, pa.int64()), pa.array(np.full(len(q), block), pa.int64()), pa.array(docs, pa.int32()), pa.array(scores, pa.int64())], schema=schema)
+        return pa.table([pa.array(q, pa.int64()), pa.array(np.full(len(q), block), pa.int64()), pa.array(docs, pa.int32()), ids.take(pa.array(docs)), pa.array(scores, pa.int64())], schema=schema)
 
     return run
 
