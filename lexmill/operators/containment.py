@@ -63,10 +63,21 @@ class Trie:
         self.term = np.full(count, -1, np.int32)
         for n, t in ends:
             self.term[n] = t
+        # of longer terms more bytes are looked at before a walker starts
+        self.ahead = int(min(8, min(map(len, terms), default=0)))
+        if self.ahead > SHORTEST:
+            self.first_bytes = np.unique(self._hash(body, np.cumsum([0, *[len(terms[i]) for i in order]])[:-1]))
         self.whole = np.array([len(t.decode()) < whole for t in terms])
         if not hasattr(self, "roots"):
             self.roots = self.root_nodes = np.zeros(0, np.int64)
 
+    def _hash(self, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """24 bits of the first ``ahead`` bytes from each place on."""
+        h = np.zeros(len(at), np.uint64)
+        for k in range(self.ahead):
+            h = h * np.uint64(257) + raw[at + k]
+        return ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64)
+
     def places(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, term, byte) of every place of a term in the texts that lie between the offsets of ``raw``."""
         none = np.zeros(0, np.int64)
@@ -75,9 +86,15 @@ class Trie:
         if not hasattr(self, "begins"):
             self.begins = np.zeros(1 << 24, bool)
             self.begins[self.roots] = True
+            if self.ahead > SHORTEST:
+                self.goes_on = np.zeros(1 << 24, bool)
+                self.goes_on[self.first_bytes] = True
         wide = raw.astype(np.int32)
         gram = (wide[:-2] << 16) | (wide[1:-1] << 8) | wide[2:]
         at = np.flatnonzero(self.begins[gram])
+        if self.ahead > SHORTEST:
+            at = at[at + self.ahead <= len(raw)]
+            at = at[self.goes_on[self._hash(raw, at)]]
         text = np.searchsorted(offsets, at, side="right") - 1
         limit = offsets[text + 1]
         inside = at + SHORTEST <= limit
