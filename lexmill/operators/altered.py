@@ -27,7 +27,7 @@ from lexmill.plans.scratch import materialize
 from lexmill.session import ship
 
 #: Characters of quotations that are looked for in one pass, and the length that pieces have where edits leave room for it.
-BLOCK, PIECE = 1 << 20, 6
+BLOCK, PIECE = 1 << 20, 8
 #: UTF-8 bytes of a character at most: edits are counted in characters, places in bytes.
 WIDE = 4
 
