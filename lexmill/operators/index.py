@@ -33,7 +33,7 @@ from lexmill.plans.scratch import materialize
 from lexmill.session import ship
 
 #: Documents and tokens of a block; whichever is reached first ends it.
-BLOCK_DOCS, BLOCK_TOKENS = 4096, 2_000_000
+BLOCK_DOCS, BLOCK_TOKENS = 4096, 1_000_000
 #: Documents of a slice of the files.
 SLICE_DOCS = 1 << 16
 #: The saturation and length parameters, and the least weight of a term.
