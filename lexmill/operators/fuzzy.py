@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.plans.joins import meet
+
 
 def deletions(word: Column, edits: int = 2) -> Column:
     """The word and everything that up to ``edits`` deletions leave: two words within that distance share one."""
@@ -35,14 +37,18 @@ def variants(section: Column) -> Column:
 def nearest(queries: DataFrame, query: str, names: DataFrame, name: str, top: int = 3, edits: int = 2, gap: int = 5) -> DataFrame:
     """(query, name, dist, gap, rank): names within ``edits`` (case folded) or ``gap`` of the leading number, or variants, best first.
 
-    Order: distance (edits + 1 beyond), gap (``gap`` + 1 beyond), length, text. A name equal to the query is left out.
+    Order: distance (edits + 1 beyond), gap (``gap`` + 1 beyond), length, text. A name equal to the query is left out. Names may be many:
+    they are never broadcast, the queries' keys are where they are few.
     """
     q = queries.select(F.col(query).alias("query")).where("query is not null").distinct()
-    n = names.select(F.col(name).alias("name")).where("name is not null").distinct()
-    pairs = q.select("query", F.explode(deletions(F.lower("query"), edits)).alias("k")).join(n.select("name", F.explode(deletions(F.lower("name"), edits)).alias("k")), "k").select("query", "name")
+    # the number of partitions is given: names are short, and Spark would join them to one or two tasks, which then make all deletions
+    parts = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = names.select(F.col(name).alias("name")).where("name is not null").repartition(parts, "name").distinct()
+    keys = lambda df, c: df.select(c, F.explode(deletions(F.lower(c), edits)).alias("k"))
+    pairs = meet(keys(q, "query"), keys(n, "name"), "k").select("query", "name")
     near = q.select("query", F.explode(F.sequence(leading_number(F.col("query")) - gap, leading_number(F.col("query")) + gap)).alias("k"))
-    pairs = pairs.unionByName(near.join(n.select("name", leading_number(F.col("name")).alias("k")), "k").select("query", "name"))
-    pairs = pairs.unionByName(q.select("query", F.explode(variants(F.col("query"))).alias("name")).join(n, "name", "left_semi").select("query", "name")).distinct()
+    pairs = pairs.unionByName(meet(near, n.select("name", leading_number(F.col("name")).alias("k")), "k").select("query", "name"))
+    pairs = pairs.unionByName(meet(q.select("query", F.explode(variants(F.col("query"))).alias("name")), n, "name").select("query", "name")).distinct()
     dist = F.levenshtein(F.lower("query"), F.lower("name"))
     away = F.least(F.coalesce(F.abs(leading_number(F.col("query")) - leading_number(F.col("name"))), F.lit(gap + 1)), F.lit(gap + 1))
     rows = pairs.where("query != name").select("query", "name", F.least(dist, F.lit(edits + 1)).alias("dist"), away.alias("gap"), F.array_contains(variants(F.col("query")), F.col("name")).alias("variant"))
