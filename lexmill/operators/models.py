@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType, IntegralType
 
 #: Percentage points; strictly more is a change, this much makes a holder count.
 CHANGE, FIVE_PERCENT = 50, 5
+#: Three years in places (below).
+YEARS = 2 * 31 * 36 + 1
 
 
 def window_start(day: Column) -> Column:
@@ -14,25 +17,44 @@ def window_start(day: Column) -> Column:
     return F.add_months(day, -36)
 
 
+def _place(day: Column) -> Column:
+    """A day as a number, three years a fixed distance apart; 29 February stands right behind the 28th, so that a window from it begins on the 28th."""
+    leap = (F.month(day) == 2) & (F.day(day) == 29)
+    return 2 * (31 * (12 * F.year(day) + F.month(day)) + F.day(day)) - F.when(leap, 1).otherwise(0)
+
+
 def owner_shift(register: DataFrame, entity: str, day: str, holder: str, percent: str) -> DataFrame:
     """(entity, when, total_increase, changed): for every date of an entity's register, the sum over holders of the rise
     from the lowest holding in the three years to that date.
 
     The low also counts the last holding before the window. Holders who never reached five per cent up to the date are left out;
-    of several rows of one holder and day the greatest counts. The range join is on (entity, holder), whose series are short;
-    testing dates of the entity meet its holders by equality on the entity.
+    of several rows of one holder and day the greatest counts. A holder's rise only changes on a day of a holding, or when one leaves the window:
+    these changes, at most two a holding, are summed up along an entity's days. Dates and holders never meet in pairs.
     """
-    h = register.select(F.col(entity).alias("e"), F.col(day).cast("date").alias("d"), F.col(holder).alias("h"), F.col(percent).alias("p"))
-    h = h.groupBy("e", "h", "d").agg(F.max("p").alias("p"))
-    series = Window.partitionBy("e", "h").orderBy("d")
-    h = h.select("e", "h", "d", "p", F.lead("d").over(series).alias("until"), F.max("p").over(series.rowsBetween(Window.unboundedPreceding, 0)).alias("peak"))
-    dates = h.select("e", F.col("d").alias("t")).distinct()
-    # a holding stands from its day to the next one's; in a window count its own holdings and the last one before it
-    met = dates.join(h, "e").where((F.col("d") <= F.col("t")) & (F.coalesce("until", F.lit("9999-12-31").cast("date")) >= window_start(F.col("t"))))
-    per = met.groupBy("e", "t", "h").agg(F.max_by("p", "d").alias("now"), F.min("p").alias("low"), F.max("peak").alias("peak"))
+    kind = register.schema[percent].dataType
+    exact = isinstance(kind, DecimalType | IntegralType)  # sums of changes have to be exact
+    p = F.col(percent) if exact else F.col(percent).cast("decimal(28,12)")
+    h = register.select(F.col(entity).alias("e"), F.col(day).cast("date").alias("d"), F.col(holder).alias("h"), p.alias("p")).where("e is not null and d is not null")
+    h = h.groupBy("e", "h", "d").agg(F.max("p").alias("p")).repartition("e", "h")  # once for all that follows
+    # a holding leaves when the next one, too, lies before the window: on the first day whose window begins after that one's day
+    after = F.date_add("d", 1)
+    leaves = F.date_add(F.add_months(after, 36), F.when((F.month(after) == 2) & (F.day(after) == 29), 1).otherwise(0))
+    steps = F.array(F.struct(F.col("d").alias("t"), F.lit(True).alias("own"), F.struct("p").alias("held")), F.struct(leaves.alias("t"), F.lit(False).alias("own"), F.lit(None).cast(f"struct<p:{h.schema['p'].dataType.simpleString()}>").alias("held")))
+    s = h.select("e", "h", F.explode(steps).alias("x")).select("e", "h", "x.*").groupBy("e", "h", "t").agg(F.max("own").alias("own"), F.max("held").alias("held"))
+    s = s.withColumn("at", _place(F.col("t")))
+    so_far = Window.partitionBy("e", "h").orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("e", "h").orderBy("at").rangeBetween(-YEARS, 0)
+    before = Window.partitionBy("e", "h").orderBy("at").rangeBetween(Window.unboundedPreceding, -YEARS - 1)
+    last = lambda w: F.last("held", ignorenulls=True).over(w)["p"]
+    s = s.select("e", "h", "t", "own", last(so_far).alias("now"), F.least(F.min("held.p").over(inside), last(before)).alias("low"), F.max("held.p").over(so_far).alias("peak"))
     rise = F.when(F.col("peak") >= FIVE_PERCENT, F.greatest(F.col("now") - F.col("low"), F.lit(0)))
-    out = per.groupBy("e", "t").agg(F.coalesce(F.sum(rise), F.lit(0)).alias("total_increase"))
-    return out.select(F.col("e").alias(entity), F.col("t").alias("when"), "total_increase", (F.col("total_increase") > CHANGE).alias("changed"))
+    s = s.select("e", "h", "t", "own", F.coalesce(rise, F.lit(0)).alias("rise"))
+    change = F.col("rise") - F.coalesce(F.lag("rise").over(Window.partitionBy("e", "h").orderBy("t")), F.lit(0))
+    days = s.withColumn("change", change).groupBy("e", "t").agg(F.max("own").alias("own"), F.sum("change").alias("change"))  # no more rows an entity than days
+    total = F.sum("change").over(Window.partitionBy("e").orderBy("t").rowsBetween(Window.unboundedPreceding, 0))
+    out = days.withColumn("total_increase", total).where("own").withColumn("changed", F.col("total_increase") > CHANGE)
+    shown = F.col("total_increase") if exact else F.col("total_increase").cast(kind)
+    return out.select(F.col("e").alias(entity), F.col("t").alias("when"), shown.alias("total_increase"), "changed")
 
 
 def shift_summary(shifts: DataFrame, entity: str) -> DataFrame:

@@ -31,3 +31,42 @@ def test_names_are_never_broadcast(spark, tmp_path):
     assert sent(out) and not any("many-names" in p for p in sent(out))
     got = {(r["query"], r["rank"]): (r["name"], r["dist"], r["gap"]) for r in out.collect()}
     assert got["163A", 1] == ("163", 1, 0) and got["19", 1] == ("18", 1, 1) and len(got) == 6
+
+
+def plain_shift(rows, kind):
+    by = defaultdict(dict)
+    for e, d, h, p in rows:
+        if e is not None and d is not None:
+            held = by[e, h]
+            held[d] = p if held.get(d) is None else held[d] if p is None else max(p, held[d])
+    out = {}
+    for e, t in {(e, d) for (e, _), held in by.items() for d in held}:
+        start = t.replace(year=t.year - 3, day=28 if (t.month, t.day) == (2, 29) else t.day)
+        total = 0
+        for held in (held for (x, _), held in by.items() if x == e):
+            known = [d for d in sorted(held) if d <= t]
+            counted = [held[d] for d in known if d >= start] + [held[d] for d in known if d < start][-1:]
+            peak = max((held[d] for d in known if held[d] is not None), default=0)
+            if known and peak >= 5 and held[known[-1]] is not None:
+                total += max(held[known[-1]] - min(p for p in counted if p is not None), 0)
+        out[e, t] = (kind(round(total, 6)), total > 50)
+    return out
+
+
+def test_owner_shift_equals_its_definition_without_pairs_of_dates_and_holders(spark):
+    r = random.Random(3)
+    day = lambda: datetime.date(1999, 2, 25) + datetime.timedelta(r.choice([0, 365, 366, 730, 1095, 1096, 1097, 1461, 2191, 2192, 3000]) + r.randint(0, 7))
+    rows = [(r.choice(["x", "y", "z", None]), r.choice([day(), day(), None]) if r.random() < 0.1 else day(), r.choice(["A", "B", "C", None]), r.choice([None, 0, 3, 5, 17, 40, 60, 99])) for _ in range(400)]
+    # a null day of a large holding is no peak; the series of one holder over the ends of February
+    rows += [("n", None, "A", 99), ("n", datetime.date(2001, 1, 1), "A", 1), ("n", datetime.date(2002, 1, 1), "A", 4)]
+    rows += [("f", d, "A", p) for d, p in ((datetime.date(2001, 2, 27), 9), (datetime.date(2001, 2, 28), 6), (datetime.date(2001, 3, 1), 30), (datetime.date(2004, 2, 28), 80), (datetime.date(2004, 2, 29), 81), (datetime.date(2004, 3, 1), 82))]
+    rows += [("f", datetime.date(2004, 3, 2), "B", 0), ("f", datetime.date(2007, 2, 28), "B", 7), ("f", datetime.date(2007, 3, 1), "B", 8), ("f", datetime.date(2008, 2, 29), "B", 9)]
+    for sql, kind in (("double", float), ("decimal(9,4)", float), ("int", int)):
+        df = spark.createDataFrame(rows, "e string, d date, h string, p int").withColumn("p", F.col("p").cast(sql)).repartition(3)
+        out = models.owner_shift(df, "e", "d", "h", "p")
+        assert {(x["e"], x["when"]): (kind(x["total_increase"]), x["changed"]) for x in out.collect()} == plain_shift(rows, kind)
+        assert "Join" not in out._jdf.queryExecution().toString()
+    # sums of changes leave no rest: 0.1 and 0.2 come and go before 50 is reached, and 50 is no change
+    back = [("s", f"2000-01-0{k}", h, p) for k, h, p in ((1, "A", 5.1), (1, "B", 5.2), (2, "A", 5.3), (3, "A", 5.1), (3, "B", 55.2))]
+    out = models.owner_shift(spark.createDataFrame(back, "e string, d string, h string, p double"), "e", "d", "h", "p")
+    assert {str(x["when"]): (x["total_increase"], x["changed"]) for x in out.collect()} == {"2000-01-01": (0.0, False), "2000-01-02": (pytest.approx(0.2), False), "2000-01-03": (50.0, False)}
