@@ -11,8 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions.cite import extract, guidance_id
-from lexmill.functions.ids import section_of
+from lexmill.functions.ids import prefixes_of, section_of
 from lexmill.operators import fuzzy, lookup
+from lexmill.plans.joins import broadcast_if_small
+from lexmill.plans.scratch import materialize
 
 SEVERITIES = ("ok", "info", "warning", "error")
 INOPERATIVE = {"repealed": "repealed", "omitted": "repealed", "transferred": "repealed", "reserved": "reserved"}
@@ -31,18 +33,22 @@ def resolve(citations: DataFrame, provisions: DataFrame, guidance: DataFrame | N
     ``provisions``: id, heading, status. ``guidance``: id, status (superseded or active). A section that is missing is not_found
     (for regulations without a reachable source: source_unavailable); a missing pinpoint under an existing section is pinpoint_not_found.
     """
+    citations = materialize(citations, "citations")  # read twice; texts are scanned once
+    cited = materialize(citations.select("canonical_id").where("canonical_id is not null").distinct(), "cited")
+    # Only what is cited, and what is above it, is taken from the provisions: these are never broadcast, however small their files look.
+    asked = broadcast_if_small(cited.select(F.explode(prefixes_of(F.col("canonical_id"))["id"]).alias("a_id")).distinct())
+    named = provisions.select("id", "heading", "status").hint("merge").join(asked, F.col("id") == F.col("a_id"), "left_semi")
     # a provision that is listed twice counts once, the listing with a heading first
-    once = lookup.keep_first(provisions.select("id", "heading", "status"), ["id"], [F.col("heading").isNull(), F.col("heading"), F.col("status")])
-    p = once.select(F.col("id").alias("p_id"), F.col("heading"), F.col("status").alias("p_status"))
-    s = provisions.select(F.col("id").alias("s_id")).distinct()
-    rows = citations.withColumn("s_key", section_of(F.col("canonical_id"))).join(p, F.col("canonical_id") == F.col("p_id"), "left")
-    rows = rows.join(s, F.col("s_key") == F.col("s_id"), "left")
-    missed = rows.where("canonical_id is not null and p_id is null and s_id is not null").select(F.col("canonical_id").alias("d_id"))
-    deepest = lookup.deepest_existing(missed, "d_id", provisions, "id").select("d_id", F.col("found").alias("ancestor"))
-    rows = rows.join(deepest, F.col("canonical_id") == F.col("d_id"), "left")
+    held = materialize(lookup.keep_first(named, ["id"], [F.col("heading").isNull(), F.col("heading"), F.col("status")]), "held")
+    p = held.select(F.col("id").alias("p_id"), "heading", F.col("status").alias("p_status"))
+    found = cited.join(p, F.col("canonical_id") == F.col("p_id"), "left").join(held.select(F.col("id").alias("s_id")), section_of(F.col("canonical_id")) == F.col("s_id"), "left")
+    missed = found.where("p_id is null and s_id is not null").select(F.col("canonical_id").alias("d_id"))
+    deepest = lookup.deepest_existing(missed, "d_id", held, "id").select("d_id", F.col("found").alias("ancestor"))
+    found = materialize(found.join(deepest, F.col("canonical_id") == F.col("d_id"), "left").withColumnRenamed("canonical_id", "f_id"), "found")
+    rows = citations.join(broadcast_if_small(found), F.col("canonical_id") == F.col("f_id"), "left")
     rows = rows.withColumn("g_key", F.when(F.col("source") == "irs_guidance", guidance_id(F.col("guidance_type"), F.col("guidance_number"))))
     if guidance is not None:
-        rows = rows.join(guidance.select(F.col("id").alias("g_id"), F.col("status").alias("g_status")), F.col("g_key") == F.col("g_id"), "left")
+        rows = rows.join(broadcast_if_small(guidance.select(F.col("id").alias("g_id"), F.col("status").alias("g_status"))), F.col("g_key") == F.col("g_id"), "left")
     else:
         rows = rows.withColumns({"g_id": F.lit(None).cast("string"), "g_status": F.lit(None).cast("string")})
     year = F.regexp_extract("guidance_number", r"^(\d{4})-", 1).try_cast("int")
@@ -58,7 +64,7 @@ def resolve(citations: DataFrame, provisions: DataFrame, guidance: DataFrame | N
         .otherwise("not_found")
     )
     rows = rows.withColumn("status", status).withColumn("severity", severity(F.col("status")))
-    return rows.drop("p_id", "p_status", "s_id", "s_key", "d_id", "g_key", "g_id", "g_status")
+    return rows.drop("p_id", "p_status", "s_id", "f_id", "d_id", "g_key", "g_id", "g_status")
 
 
 def suggestions(results: DataFrame, provisions: DataFrame) -> DataFrame:

@@ -70,3 +70,22 @@ def test_owner_shift_equals_its_definition_without_pairs_of_dates_and_holders(sp
     back = [("s", f"2000-01-0{k}", h, p) for k, h, p in ((1, "A", 5.1), (1, "B", 5.2), (2, "A", 5.3), (3, "A", 5.1), (3, "B", 55.2))]
     out = models.owner_shift(spark.createDataFrame(back, "e string, d string, h string, p double"), "e", "d", "h", "p")
     assert {str(x["when"]): (x["total_increase"], x["changed"]) for x in out.collect()} == {"2000-01-01": (0.0, False), "2000-01-02": (pytest.approx(0.2), False), "2000-01-03": (50.0, False)}
+
+
+def test_provisions_are_never_broadcast(spark, tmp_path, monkeypatch):
+    rows = [(f"/us/usc/t26/s{i}" + x, None if i % 2 else f"h{i}", "repealed" if i % 5 == 0 else "active") for i in range(1, 400) for x in ("", "/a", "/a/1")]
+    spark.createDataFrame(rows + [("/us/usc/t26/s7", "z", "active")], "id string, heading string, status string").write.parquet(f"{tmp_path}/many-provisions")
+    provisions = spark.read.parquet(f"{tmp_path}/many-provisions")
+    written = []
+    monkeypatch.setattr(verify, "materialize", lambda df, *a, f=verify.materialize: written.append(df) or f(df, *a))
+    text = "§ 7(a)(1)(B), § 7, § 8(c), § 10, § 900 and Rev. Rul. 2019-2; Rev. Rul. 2019-3; Treas. Reg. § 1.7-1"
+    rulings = spark.createDataFrame([("rev-rul-2019-2", "superseded")], "id string, status string")
+    out = verify.verify(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string"), provisions, rulings, [2019])
+    got = {r["display"]: (r["status"], r["heading"], r["ancestor"]) for r in out.collect()}
+    assert got == {
+        "§ 7(a)(1)(B)": ("pinpoint_not_found", None, "/us/usc/t26/s7/a/1"), "§ 7": ("verified", "z", None), "§ 8(c)": ("pinpoint_not_found", None, "/us/usc/t26/s8"), "§ 10": ("repealed", "h10", None),
+        "§ 900": ("not_found", None, None), "Rev. Rul. 2019-2": ("superseded", None, None), "Rev. Rul. 2019-3": ("not_found", None, None), "Treas. Reg. § 1.7-1": ("source_unavailable", None, None),
+    }
+    assert not any("many-provisions" in p for df in (out, *written) for p in sent(df))
+    # what is kept of the provisions is what is cited or lies above it
+    assert [df.count() for df in written if "p_status" not in df.columns and "heading" in df.columns] == [5]
