@@ -1,7 +1,7 @@
 """Runs in the marks of a node's children - (a), (b), (c) or (1), (2), (3) or (i), (ii) - and the hints made of them.
 
-A run is a stretch of children whose marks follow one another: their value minus their place among the children is the same. So runs
-are groups, found by one aggregation with partial sums, and a node with any number of children is never collected.
+A run is a stretch of children whose marks follow one another: their value minus their place among the children is the same, and so is
+their place minus their number among those. So runs are groups, found by one sort and one aggregation, and no child list is collected.
 """
 
 from __future__ import annotations
@@ -73,22 +73,10 @@ def runs(children: DataFrame, parent: str, mark: str, ordinal: str, roman: bool
     # marks without a value are runs of their own: their place stands for it, and the place itself for the difference
     key = F.when(value.isNull(), F.col(ordinal)).otherwise(value - F.col(ordinal))
     rows = children.select(parent, F.col(mark).alias("m"), F.col(ordinal).alias("o"), kind.alias("kind"), key.alias("key"))
-    found = rows.groupBy(parent, "kind", "key").agg(F.min("o").alias("place"), F.max("o").alias("end"), F.min_by("m", "o").alias("first"), F.max_by("m", "o").alias("last"), F.count(F.lit(1)).alias("n"))
-    # one difference again after a gap of other marks: 1 2 x 4 5 is two runs
-    split = found.where(F.col("end") - F.col("place") + 1 > F.col("n"))
-    apart = rows.join(split.select(parent, "kind", "key"), [parent, "kind", "key"], "left_semi")
-    if split.isEmpty():
-        return found.select(parent, "place", "kind", "first", "last", "n")
-    ends = apart.select(parent, "kind", "key", "o", "m")
-    before = ends.select(parent, "kind", "key", (F.col("o") + 1).alias("o"), F.lit(True).alias("goes_on"))
-    after = ends.select(parent, "kind", "key", (F.col("o") - 1).alias("o"), F.lit(True).alias("leads_on"))
-    edge = ends.join(before, [parent, "kind", "key", "o"], "left").join(after, [parent, "kind", "key", "o"], "left").where("goes_on is null or leads_on is null")
-    # edges only: the k-th begin belongs to the k-th end; a group has as many as it has gaps
-    order = Window.partitionBy(parent, "kind", "key").orderBy("o")
-    begins = edge.where("goes_on is null").select(parent, "kind", "key", F.row_number().over(order).alias("k"), F.col("o").alias("place"), F.col("m").alias("first"))
-    stops = edge.where("leads_on is null").select(parent, "kind", "key", F.row_number().over(order).alias("k"), F.col("o").alias("end"), F.col("m").alias("last"))
-    mended = begins.join(stops, [parent, "kind", "key", "k"]).select(parent, "place", "kind", "first", "last", (F.col("end") - F.col("place") + 1).cast("long").alias("n"))
-    return found.where(F.col("end") - F.col("place") + 1 == F.col("n")).select(parent, "place", "kind", "first", "last", "n").unionByName(mended)
+    # one difference may come again after a gap of other marks: 1 2 x 4 5 is two runs, which differ by the marks that the gap has left out
+    run = F.col("o") - F.row_number().over(Window.partitionBy(parent, "kind", "key").orderBy("o"))
+    found = rows.withColumn("run", run).groupBy(parent, "kind", "key", "run").agg(F.min("o").alias("place"), F.min_by("m", "o").alias("first"), F.max_by("m", "o").alias("last"), F.count(F.lit(1)).alias("n"))
+    return found.select(parent, "place", "kind", "first", "last", "n")
 
 
 def pinpoint_hints(missing: DataFrame, summary: DataFrame, sections: DataFrame) -> DataFrame:

@@ -165,3 +165,12 @@ def test_pinpoint_hints(spark):
     out = {r["id"]: r["suggestion"] for r in marks.pinpoint_hints(missing, summary, sections).collect()}
     assert out["1"] == "§ 263(a) has paragraphs (1)–(3); no (9); did you mean § 263A?"
     assert out["2"] == "§ 263(b) has no subdivisions" and out["3"] == "§ 263(a) has paragraphs (1)–(3)"
+
+
+def test_runs_read_the_children_once(spark):
+    groups = {0: ["1", "2", "x", "4", "5"], 1: ["1", "3", "2", "4"], 2: [None, "", "b"]}
+    df = spark.createDataFrame([(p, t, o) for p, ts in groups.items() for o, t in enumerate(ts)], "parent int, mark string, ordinal long")
+    out = marks.runs(df, "parent", "mark", "ordinal")
+    plan = out._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert "Join" not in plan and "Union" not in plan and plan.count("Exchange") == 1
+    assert sorted((r["parent"], r["place"], r["n"]) for r in out.collect()) == [(0, 0, 2), (0, 2, 1), (0, 3, 2), (1, 0, 1), (1, 1, 1), (1, 2, 1), (1, 3, 1), (2, 0, 1), (2, 1, 1), (2, 2, 1)]
