@@ -80,11 +80,15 @@ def reach(scope: Column) -> Column:
     return F.when(scope.isNull(), "title").otherwise(F.coalesce(known, F.lit("section")))
 
 
+def within(reaches: Column, defined_in: Column, used_in: Column) -> Column:
+    """Whether one id lies within ``reach`` of another."""
+    same = lambda depth: F.substring_index(defined_in, "/", depth) == F.substring_index(used_in, "/", depth)
+    return F.when(reaches == "section", same(5)).when(reaches == "subsection", same(6)).when(reaches == "paragraph", same(7)).otherwise(F.lit(True))
+
+
 def governs(scope: Column, defined_in: Column, used_in: Column) -> Column:
-    """Whether a definition at one id reaches the provision at another."""
-    depth = F.when(reach(scope) == "section", 5).when(reach(scope) == "subsection", 6).when(reach(scope) == "paragraph", 7)
-    head = lambda x: F.slice(F.split(x, "/"), F.lit(1), depth)
-    return F.when(depth.isNull(), F.lit(True)).otherwise(head(defined_in) == head(used_in))
+    """Whether a definition at one id reaches the provision at another. Of many pairs, take ``reach`` once a definition and ``within`` a pair."""
+    return within(reach(scope), defined_in, used_in)
 
 
 def definitions(provisions: DataFrame) -> DataFrame:

@@ -517,10 +517,10 @@ def scope_reaches(spark: SparkSession, sf: str) -> DataFrame:
     """Whether a definition at one line of an order reaches each of the order's lines."""
     rows = table(spark, sf, "lineitem").select("l_orderkey", F.char(97 + F.col("l_linenumber") % 3).alias("a"), F.col("l_partkey").alias("b"), (F.col("l_linenumber") % 4).alias("k")).distinct()
     at = F.concat_ws("/", "a", "b")
-    d = rows.select("l_orderkey", at.alias("defined_at"), F.col("k").alias("scope_kind"), F.get(F.array(*map(F.lit, _SCOPES)), F.col("k").cast("int")).alias("scope"))
+    d = rows.select("l_orderkey", at.alias("defined_at"), F.col("k").alias("scope_kind"), definitions.reach(F.get(F.array(*map(F.lit, _SCOPES)), F.col("k").cast("int"))).alias("reaches"))
     both = d.join(rows.select("l_orderkey", at.alias("used_at")), "l_orderkey")
     place = lambda c: F.concat(F.lit(ids.PREFIX["irc"]), F.col("l_orderkey"), F.lit("/"), F.col(c))
-    governs = definitions.governs(F.col("scope"), place("defined_at"), place("used_at"))
+    governs = definitions.within(F.col("reaches"), place("defined_at"), place("used_at"))
     return both.select("l_orderkey", "defined_at", "used_at", "scope_kind", governs.alias("governs"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexmill.operators import fuzzy, models
 from lexmill.plans import verify
+from lexmill.queries import QUERIES
 
 
 def sent(df):
@@ -89,3 +90,9 @@ def test_provisions_are_never_broadcast(spark, tmp_path, monkeypatch):
     assert not any("many-provisions" in p for df in (out, *written) for p in sent(df))
     # what is kept of the provisions is what is cited or lies above it
     assert [df.count() for df in written if "p_status" not in df.columns and "heading" in df.columns] == [5]
+
+
+def test_scopes_are_read_once_a_definition(spark):
+    plan = QUERIES["scope_reaches"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("Join")]
+    assert "governs" in above and "split" not in above and "regexp" not in above.lower()
