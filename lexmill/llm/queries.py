@@ -24,8 +24,8 @@ def id_remainder(n: int) -> Column:
 
 def op2_quality_ranker(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    ranker = quality_ranker.fit(docs, labels.where(id_remainder(4) != 2))
-    out = quality_ranker.score(docs, ranker)
+    rows = quality_ranker.measure(docs)
+    out = quality_ranker.score_measured(rows, quality_ranker.fit_measured(rows, labels.where(id_remainder(4) != 2)))
     return out.select("doc_id", (id_remainder(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 

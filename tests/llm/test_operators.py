@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 import brute
@@ -80,6 +81,17 @@ def test_quality_ranker_separates_held_out(spark, docs, empty):
     assert all(x["score"] == pytest.approx(0.7) for x in quality_ranker.score(table, flat).collect())
 
 
+def test_quality_ranker_learns_from_every_labelled_row(spark):
+    """A feature that only the last of 24,000 rows in hash order show (which a fit on 10,000 a label left out) counts."""
+    rows = spark.range(24_000).select(F.col("id").alias("doc_id"), F.row_number().over(Window.orderBy(F.xxhash64("id"))).alias("r"), (F.col("id") % 2).cast("int").alias("quality"))
+    late = F.col("r") > 23_000
+    text = F.when(late & (F.col("quality") == 0), "alpha! beta gamma").otherwise("alpha beta gamma")
+    rows = rows.select("doc_id", "quality", text.alias("text")).cache()
+    ranker = quality_ranker.fit(rows.select("doc_id", "text"), rows.select("doc_id", "quality"))
+    assert ranker.weights["shouts"] < 0
+    assert quality_ranker.fit(rows.select("doc_id", "text").repartition(7), rows.select("doc_id", "quality").repartition(5)) == ranker
+
+
 def test_perspectives(spark):
     rows = [(1, 0, "system", "s"), (1, 1, "user", "hé"), (1, 2, "assistant", None), (1, 2, "assistant", None), (1, None, None, "x"), (2, 700, "a", "q"), (2, 3, "b", "r"), (2, 300, "c", ""), (None, 1, "user", "n"), (3, 1, "system", "alone")]
     df = spark.createDataFrame([(*x, 9, 9) for x in rows], "conv_id long, turn int, role string, text string, blk int, speaker int")
