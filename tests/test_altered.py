@@ -1,10 +1,12 @@
 """The search for altered quotations against scoring every text."""
 
+import difflib
 import random
 
 from hypothesis import given
 from hypothesis import strategies as st
 
+from lexmill.functions import quote
 from lexmill.functions.quote import ELSEWHERE, score_quote
 from lexmill.functions.textnorm import normalize, normalize_mapped
 from lexmill.plans import quotes
@@ -58,3 +60,19 @@ def test_more_than_any_number_of_candidates(spark):
     none = spark.createDataFrame(texts[:0], "id long, text string")
     assert quotes.altered_quotes(spark.createDataFrame([(1, q)], "ask long, quote string"), none).count() == 0
     assert quotes.altered_quotes(spark.createDataFrame([], "ask long, quote string"), spark.createDataFrame(texts, "id long, text string")).count() == 0
+
+
+def test_matching_blocks_are_those_of_difflib():
+    r = random.Random(5)
+    for _ in range(1500):
+        letters = r.choice(["ab", "abc", "abcdefgh ", "aé½ b"])
+        a, b = ("".join(r.choices(letters, k=r.randint(0, n))) for n in (40, 80))
+        if a and r.random() < 0.3:
+            b = b[:10] + a[: len(a) // 2] + "x" + a[len(a) // 2 + 1 :] + b[10:]
+        assert [tuple(m) for m in difflib.SequenceMatcher(None, a, b, False).get_matching_blocks()] == quote.matching_blocks(a, b)
+        best = (0.0, 0, 0)
+        for x, y, _ in quote.matching_blocks(a, b) if a and b else []:
+            s = min(max(y - x, 0), max(len(b) - len(a), 0))
+            score = difflib.SequenceMatcher(None, a, b[s : s + len(a)], False).ratio()
+            best = (score, s, s + len(b[s : s + len(a)])) if score > best[0] else best
+        assert quote.partial_ratio(a, b) == ((1.0, b.index(a), b.index(a) + len(a)) if a and a in b else best)
