@@ -14,18 +14,18 @@ from lexmill.plans.scratch import folder
 from lexmill.session import table
 
 
-def _documents(spark: SparkSession, sf: str, kind: str = analyzer.PLAIN) -> index.Index:
+def _documents(spark: SparkSession, sf: str, kind: str = analyzer.PLAIN, places: bool = True) -> index.Index:
     """The documents' index in two segments, English texts and others, without those that are labelled toxic."""
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
     english = F.col("lang").eqNullSafe(F.lit("en"))
-    made = index.create(spark, folder(spark, "index"), kind=kind)
+    made = index.create(spark, folder(spark, "index"), kind=kind, places=places)
     made = made.add(docs.where(english), facet_col="source").add(docs.where(~english), facet_col="source")
     return made.delete(table(spark, sf, "labels").where("toxic = 1").select("doc_id"))
 
 
 def index_topk(spark: SparkSession, sf: str) -> DataFrame:
     """The ten best documents of every benchmark item by BM25 over any of its words."""
-    found = _documents(spark, sf).top(table(spark, sf, "benchmark"), 10, query_id="item_id")
+    found = _documents(spark, sf, places=False).top(table(spark, sf, "benchmark"), 10, query_id="item_id")
     return found.select(F.col("qid").alias("item_id"), "rank", F.col("id").alias("doc_id"), F.round("score", 5).alias("score"))
 
 
@@ -55,7 +55,7 @@ def stem_dictionary(spark: SparkSession, sf: str) -> DataFrame:
 
 def item_snippets(spark: SparkSession, sf: str) -> DataFrame:
     """The best document of every item by stems, with the 28 words that hold most of the item."""
-    made = _documents(spark, sf, analyzer.STEMMED)
+    made = _documents(spark, sf, analyzer.STEMMED, places=False)
     items = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
     best = made.top(items, 1, query_text="query").join(items, "qid").select("qid", "id", "query", F.round("score", 5).alias("score"))
     out = made.snippets(best, table(spark, sf, "documents").select("doc_id", "text"))

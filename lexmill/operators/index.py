@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 import numpy as np
@@ -47,11 +47,11 @@ DOCS = -1
 #: Fixed value: tokens of a snippet.
 SNIPPET = 28
 
-#: ``ends``: how many of ``places`` belong to the documents up to each.
+#: ``ends``: how many places belong to the documents up to each. ``lens``, ``ids`` and ``facets`` are those of a block's documents, in the row that lists them.
 _POSTINGS = "token string, block long, n int, most int, least int, docs array<int>, ends array<int>, lens array<int>, places array<int>, ids array<{}>, facets array<string>"
 
 
-def _invert(kind: pa.DataType, segment: int):  # noqa: ANN202
+def _invert(kind: pa.DataType, segment: int, keep_places: bool):  # noqa: ANN202
     names = ["token", "block", "n", "most", "least", "docs", "ends", "lens", "places", "ids", "facets"]
 
     def rows(held: list[pa.RecordBatch], number: int) -> Iterator[pa.RecordBatch]:
@@ -74,24 +74,25 @@ def _invert(kind: pa.DataType, segment: int):  # noqa: ANN202
             return
         doc = np.repeat(np.arange(n, dtype=np.int32), lens)
         start = np.cumsum(lens, dtype=np.int64) - lens
-        place = (np.arange(len(code)) - np.repeat(start, lens)).astype(np.int32)
         order = np.argsort(code, kind="stable")  # places stay in order
-        code, doc, place = code[order], doc[order], place[order]
+        code, doc = code[order], doc[order]
         first = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])])  # of each posting
         tf = np.diff(np.r_[first, len(code)]).astype(np.int32)
         post_doc, post_code = doc[first], code[first]
-        post_len = lens[post_doc]
         head = np.flatnonzero(np.r_[True, post_code[1:] != post_code[:-1]])  # of each token
         bounds = pa.array(np.r_[head, len(first)].astype(np.int32))
         cut = lambda values: pa.ListArray.from_arrays(bounds, pa.array(values))
         begin = first[head]  # where each token's places begin
         ends = (np.r_[first[1:], len(code)] - np.repeat(begin, np.diff(np.r_[head, len(first)]))).astype(np.int32)
-        places = pa.ListArray.from_arrays(pa.array(np.r_[begin, len(code)].astype(np.int32)), pa.array(place))
         m = len(head)
+        places = pa.nulls(m, pa.list_(pa.int32()))
+        if keep_places:
+            place = (np.arange(len(code)) - np.repeat(start, lens)).astype(np.int32)[order]
+            places = pa.ListArray.from_arrays(pa.array(np.r_[begin, len(code)].astype(np.int32)), pa.array(place))
         out = pa.RecordBatch.from_arrays(
             [
                 coded.dictionary.take(pa.array(post_code[head])), pa.array(np.full(m, number)), pa.array(np.diff(np.r_[head, len(first)]).astype(np.int32)),
-                pa.array(np.maximum.reduceat(tf, head)), pa.array(np.minimum.reduceat(post_len, head)), cut(post_doc), cut(ends), cut(post_len),
+                pa.array(np.maximum.reduceat(tf, head)), pa.array(np.minimum.reduceat(lens[post_doc], head)), cut(post_doc), cut(ends), pa.nulls(m, pa.list_(pa.int32())),
                 places, pa.nulls(m, pa.list_(kind)), pa.nulls(m, pa.list_(pa.string())),
             ],
             names,
@@ -126,7 +127,8 @@ def _invert(kind: pa.DataType, segment: int):  # noqa: ANN202
 
 @dataclass(frozen=True)
 class Index:
-    """An opened version of a stored index. ``segments``: (number, documents, tokens) each; ``gone``: folders of tombstones."""
+    """An opened version of a stored index. ``segments``: (number, documents, tokens) each; ``gone``: folders of tombstones; ``places``: whether the
+    places of terms are stored, which ``near`` and ``phrases`` read."""
 
     spark: SparkSession
     path: str
@@ -136,6 +138,9 @@ class Index:
     id_type: str
     segments: tuple[tuple[int, int, int], ...] = ()
     gone: tuple[str, ...] = ()
+    places: bool = True
+    #: Segments that have been opened: their files don't change, so they are listed once.
+    opened: dict[int, DataFrame] = field(default_factory=dict, compare=False, repr=False)
 
     # -- writing ------------------------------------------------------------------------------------------------------------------
 
@@ -155,7 +160,7 @@ class Index:
         if not slices:
             return self
         kind = rows.select("id").limit(0).toArrow().schema.field("id").type
-        posts = rows.mapInArrow(_invert(kind, number), _POSTINGS.format(self.id_type))
+        posts = rows.mapInArrow(_invert(kind, number, self.places), _POSTINGS.format(self.id_type))
         posts = posts.withColumn("term", analyzer.term_of(F.col("token"), self.analyzer))
         posts = posts.withColumn("slice", F.pmod(F.xxhash64("block"), F.lit(slices)).cast("int"))
         posts = posts.withColumn("bucket", F.when(F.col("term").isNull(), DOCS).otherwise(self._bucket(F.col("term")))).drop("token")
@@ -191,7 +196,7 @@ class Index:
             same = F.col("dead").isNull() | (F.col("bucket") == DOCS)
             missing = lambda i: F.aggregate(F.filter("lost", lambda x: x < i), F.lit(0), lambda a, x: a + _times("ends", x))
             kept = {
-                "docs": F.transform("keep", lambda i: F.get("docs", i)), "lens": F.transform("keep", lambda i: F.get("lens", i)),
+                "docs": F.transform("keep", lambda i: F.get("docs", i)),
                 "ends": F.transform("keep", lambda i: F.get("ends", i) - missing(i)), "places": F.flatten(F.transform("keep", lambda i: _places_of("places", "ends", i))),
             }
             rows = rows.withColumns({c: F.when(same, F.col(c)).otherwise(x) for c, x in kept.items()}).drop("lost")
@@ -208,8 +213,8 @@ class Index:
 
     def _commit(self, **changes: tuple) -> Index:
         new = replace(self, version=self.version + 1, **changes)
-        row = [(new.version, new.analyzer, new.buckets, new.id_type, [list(s) for s in new.segments], list(new.gone))]
-        schema = "version int, analyzer string, buckets int, id_type string, segments array<array<long>>, gone array<string>"
+        row = [(new.version, new.analyzer, new.buckets, new.id_type, [list(s) for s in new.segments], list(new.gone), new.places)]
+        schema = "version int, analyzer string, buckets int, id_type string, segments array<array<long>>, gone array<string>, places boolean"
         # a version that exists isn't written over: of two writers that began from one version the second fails
         self.spark.createDataFrame(row, schema).coalesce(1).write.mode("errorifexists").parquet(f"{self.path}/manifest/v={new.version}")
         return new
@@ -220,8 +225,10 @@ class Index:
         return f"{self.path}/segment-{number}"
 
     def _read(self, number: int) -> DataFrame:
-        schema = _POSTINGS.format(self.id_type).replace("token", "term") + ", slice int, bucket int"
-        return self.spark.read.schema(schema).parquet(self._segment(number))
+        if number not in self.opened:
+            schema = _POSTINGS.format(self.id_type).replace("token", "term") + ", slice int, bucket int"
+            self.opened[number] = self.spark.read.schema(schema).parquet(self._segment(number))
+        return self.opened[number]
 
     def _postings(self) -> DataFrame:
         return reduce(DataFrame.unionByName, [self._read(s[0]) for s in self.segments])
@@ -325,8 +332,8 @@ class Index:
                 out = other if out is None else out.unionByName(other)
             here = here.withColumn("out", F.array().cast("array<int>")) if out is None else here.join(
                 out.groupBy("block").agg(F.collect_set("doc").alias("out")), "block", "left").withColumn("out", F.coalesce("out", F.array().cast("array<int>")))  # of one block
-            here = here.join(self._postings().where(F.col("bucket") == DOCS).select("block", "ids"), "block")
-            posts = self._of(terms, "docs", "ends", "lens").join(of_term, "term")
+            here = here.join(self._postings().where(F.col("bucket") == DOCS).select("block", "ids", "lens"), "block")
+            posts = self._of(terms, "docs", "ends").join(broadcast_if_small(chosen.select("block").distinct()), "block", "left_semi").join(of_term, "term")
             score = _score_block(k if allowed is None else None, every, mean)
             found = posts.groupBy("block").cogroup(here.groupBy("block")).applyInArrow(score, f"q long, block long, doc int, id {self.id_type}, score long")
             found = found.join(broadcast_if_small(numbers), "q").drop("q")
@@ -352,6 +359,8 @@ class Index:
         ``asked``: (qid, t, term), t numbering the query's terms from 0. The rarest term's documents are found first, and of the other terms'
         postings only those in such documents are shuffled.
         """
+        if not self.places:
+            raise ValueError(f"{self.path} stores no places")
         df = broadcast_if_small(materialize(self.frequencies(asked), "df"))
         need = Window.partitionBy("qid")
         terms = asked.join(df, "term", "left").withColumn("need", F.count(F.lit(1)).over(need)).withColumn("known", F.count("df").over(need)).where("known = need")
@@ -424,37 +433,50 @@ def _score_block(k: int | None, every: bool, mean: float):  # noqa: ANN202
             return schema.empty_table()
         ids = here.column("ids")[0].values
         wanted, out = set(here.column("qs")[0].as_py()), np.array(here.column("out")[0].as_py(), np.int64)
-        rows: dict[str, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
-        asks: dict[int, list[tuple[str, float, int]]] = {}
-        size = 0
-        for term, docs, ends, lens, ask in zip(*[posts.column(c) for c in ("term", "docs", "ends", "lens", "asks")], strict=True):
-            name = term.as_py()
-            d, e, n = (np.asarray(x.values) for x in (docs, ends, lens))
+        lens = here.column("lens")[0].values.to_numpy(zero_copy_only=False).astype(np.float64)
+        # the postings of all rows one after the other
+        flat = lambda c: posts.column(c).combine_chunks()
+        docs, asked, ends = flat("docs"), flat("asks"), np.asarray(flat("ends").flatten())
+        doc, cuts = np.asarray(docs.flatten()), np.asarray(docs.offsets) - docs.offsets[0].as_py()
+        tf, first = np.diff(ends, prepend=0), cuts[:-1]  # no posting row is empty
+        tf[first] = ends[first]
+        size = len(lens)
+        rows: dict[str, list[slice]] = {}
+        asks: dict[int, list[tuple[str, float]]] = {}
+        needs: dict[int, int] = {}
+        of_ask = asked.flatten()
+        q_of, weight_of, need_of = (of_ask.field(c).to_pylist() for c in ("q", "weight", "need"))
+        begin = (np.asarray(asked.offsets) - asked.offsets[0].as_py()).tolist()
+        for i, name in enumerate(flat("term").to_pylist()):
             if name not in rows:
-                for a in ask.as_py():
-                    if a["q"] in wanted:
-                        asks.setdefault(a["q"], []).append((name, a["weight"], a["need"]))
-            rows.setdefault(name, []).append((d, np.diff(e, prepend=0), n))
-            size = max(size, int(d.max()) + 1)
+                rows[name] = []
+                for j in range(begin[i], begin[i + 1]):
+                    if q_of[j] in wanted:
+                        asks.setdefault(q_of[j], []).append((name, weight_of[j]))
+                        needs[q_of[j]] = need_of[j]
+            rows[name].append(slice(int(cuts[i]), int(cuts[i + 1])))
+        over, under = tf * (K1 + 1), tf + K1 * (1 - B + B * lens[doc] / mean)
         tokens: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for name, parts in rows.items():
-            d, tf, n = parts[0]
-            if len(parts) > 1:  # several tokens of one term
-                every_d = np.concatenate([x[0] for x in parts])
-                d, first, place = np.unique(every_d, return_index=True, return_inverse=True)
-                tf = np.bincount(place, np.concatenate([x[1] for x in parts])).astype(np.int64)
-                n = np.concatenate([x[2] for x in parts])[first]
-            tokens[name] = d, tf.astype(np.float64), n.astype(np.float64)
+        for name, at in rows.items():
+            if len(at) == 1:
+                tokens[name] = doc[at[0]], over[at[0]], under[at[0]]
+            else:  # several tokens of one term
+                d, place = np.unique(np.concatenate([doc[x] for x in at]), return_inverse=True)
+                n = np.bincount(place, np.concatenate([tf[x] for x in at]))
+                tokens[name] = d, n * (K1 + 1), n + K1 * (1 - B + B * lens[d] / mean)
+        parts_of: dict[tuple[str, float], np.ndarray] = {}  # most queries give a term the same weight
         gone = np.zeros(size, bool)
         gone[out[out < size]] = True
         block, found = posts.column("block")[0].as_py(), []
         for q, terms in asks.items():
-            total, met = np.zeros(size, np.int64), np.zeros(size, np.int32)
-            for name, weight, _ in terms:
-                d, tf, n = tokens[name]
-                total[d] += np.floor(weight * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * n / mean)) * UNIT + 0.5).astype(np.int64)
-                met[d] += 1
-            docs = np.flatnonzero((met == terms[0][2] if every else met > 0) & ~gone)
+            total, met = np.zeros(size, np.int64), np.zeros(size, np.int32 if every else bool)
+            for key in terms:
+                d, over, under = tokens[key[0]]
+                if key not in parts_of:
+                    parts_of[key] = np.floor(key[1] * over / under * UNIT + 0.5).astype(np.int64)
+                total[d] += parts_of[key]
+                met[d] = met[d] + 1 if every else True
+            docs = np.flatnonzero((met == needs[q] if every else met) & ~gone)
             if k is not None and len(docs) > k:
                 least = np.partition(total[docs], len(docs) - k)[len(docs) - k]
                 docs = docs[total[docs] >= least]
@@ -509,9 +531,9 @@ def best_window(hits: str, width: Column) -> Column:
     return -F.array_max(F.transform(F.sequence(F.lit(0), F.size(h) - 1), of))["s"]
 
 
-def create(spark: SparkSession, path: str, *, kind: str = analyzer.PLAIN, buckets: int = 32, id_type: str = "long") -> Index:
-    """An empty index in a new folder."""
-    return Index(spark, path.rstrip("/"), -1, kind, buckets, id_type)._commit()
+def create(spark: SparkSession, path: str, *, kind: str = analyzer.PLAIN, buckets: int = 32, id_type: str = "long", places: bool = True) -> Index:
+    """An empty index in a new folder; one without ``places`` ranks, but finds neither phrases nor terms near each other."""
+    return Index(spark, path.rstrip("/"), -1, kind, buckets, id_type, places=places)._commit()
 
 
 def open_index(spark: SparkSession, path: str, version: int | None = None) -> Index:
@@ -520,4 +542,4 @@ def open_index(spark: SparkSession, path: str, version: int | None = None) -> In
     r = (rows if version is None else rows.where(F.col("version") == version)).first()
     if r is None:
         raise ValueError(f"no version {version} of {path}")
-    return Index(spark, path.rstrip("/"), r["version"], r["analyzer"], r["buckets"], r["id_type"], tuple(tuple(s) for s in r["segments"]), tuple(r["gone"]))
+    return Index(spark, path.rstrip("/"), r["version"], r["analyzer"], r["buckets"], r["id_type"], tuple(tuple(s) for s in r["segments"]), tuple(r["gone"]), r["places"])

@@ -212,3 +212,35 @@ def test_least_window_and_best_window_of_many_places(spark):
         assert x["w"] == min(spans)
         value = lambda s, h=x["hits"]: (len({t for p, t in h if s <= p < s + 9}), sum(s <= p < s + 9 for p, _ in h), -s)
         assert x["s"] == -max(value(h["place"]) for h in x["hits"])[2]
+
+
+def test_an_index_without_places_ranks_the_same_and_stores_none(spark, built, asked):
+    bare = index.create(spark, tempfile.mkdtemp(prefix="index-") + "/i", kind=built.analyzer, buckets=4, places=False).add(frame(spark, ROWS), facet_col="source")
+    assert bare._postings().where("places is not null").isEmpty() and not built._postings().where("places is not null").isEmpty()
+    gone = spark.createDataFrame([(5,), (403,)], "x long")
+    less = index.open_index(spark, bare.delete(gone).path)
+    expected = plain_top([r for r in ROWS if r[0] not in (5, 403)], 9, built.analyzer)
+    assert not less.places and got(less.top(asked, 9)) == expected == got(less.compact().top(asked, 9))
+    with pytest.raises(ValueError, match="places"):
+        less.phrases(asked)
+
+
+def test_only_postings_of_chosen_blocks_are_sent_to_be_scored(spark, monkeypatch):
+    monkeypatch.setattr(index, "BLOCK_DOCS", 10)
+    rows = [(i, "common word " * (1 if i % 100 else 30), "a") for i in range(600)]
+    new = index.create(spark, tempfile.mkdtemp(prefix="index-") + "/i", buckets=2).add(spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1))
+    sent = spark.sparkContext.accumulator(0)
+    real = index._score_block
+
+    def counted(*a):
+        run = real(*a)
+
+        def score(posts, here):
+            sent.add(posts.num_rows)
+            return run(posts, here)
+
+        return score
+
+    monkeypatch.setattr(index, "_score_block", counted)
+    new.top(spark.createDataFrame([(1, "common")], "qid int, text string"), 2).collect()
+    assert 0 < sent.value <= 8  # of 60 blocks, in two passes
