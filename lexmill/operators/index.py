@@ -2,8 +2,8 @@
 
 Texts are inverted where they are read. Up to ``BLOCK_DOCS`` documents of a task form a block, and for each of its tokens the block gives
 one row: which of its documents hold it, how often, where, and - as the row's head - the most occurrences and the shortest of those
-documents. Rows are then shuffled once, to files by range of documents (``slice``) and hash of the term (``bucket``), sorted by
-term. A term of every document is spread over all slices, and a query reads its terms' buckets only.
+documents. Rows are then shuffled once, to files by range of documents (``slice``) and hash of the token (``bucket``), sorted by
+token; where terms are not the tokens themselves, each segment has a dictionary of both. A term of every document is spread over all slices, and a query reads its terms' buckets only.
 
 All terms' blocks cover the same documents, so a query's blocks can be compared by what their heads allow at best. ``top`` scores each query's
 most promising blocks first; the k-th best score found is a threshold, and of the other blocks only those whose bound reaches it are read
@@ -161,15 +161,22 @@ class Index:
             return self
         kind = rows.select("id").limit(0).toArrow().schema.field("id").type
         posts = rows.mapInArrow(_invert(kind, number, self.places), _POSTINGS.format(self.id_type))
-        posts = posts.withColumn("term", analyzer.term_of(F.col("token"), self.analyzer))
         posts = posts.withColumn("slice", F.pmod(F.xxhash64("block"), F.lit(slices)).cast("int"))
-        posts = posts.withColumn("bucket", F.when(F.col("term").isNull(), DOCS).otherwise(self._bucket(F.col("term")))).drop("token")
+        posts = posts.withColumn("bucket", F.when(F.col("token").isNull(), DOCS).otherwise(self._bucket(F.col("token"))))
         posts = posts.repartition(slices * self.buckets, "slice", "bucket")
-        posts.sortWithinPartitions("slice", "bucket", "term", "block").write.partitionBy("slice", "bucket").parquet(self._segment(number))
+        posts.sortWithinPartitions("slice", "bucket", "token", "block").write.partitionBy("slice", "bucket").parquet(self._segment(number))
+        self._name(number, self._read(number).where("token is not null").select("token").distinct())
         of = self._read(number).where(F.col("bucket") == DOCS).select(F.size("lens").cast("long").alias("d"), F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x).alias("t"))
         n = of.agg(F.sum("d").alias("d"), F.sum("t").alias("t")).first()
         return self._commit(segments=(*self.segments, (number, n["d"], n["t"])))
 
+    def _name(self, number: int, tokens: DataFrame) -> None:
+        """Write a segment's dictionary: each distinct token's term is computed once, however many blocks hold it."""
+        if self.analyzer != analyzer.PLAIN:
+            terms = materialize(tokens, "tokens").select("token", analyzer.term_of(F.col("token"), self.analyzer).alias("term"))
+            terms = terms.withColumn("bucket", self._bucket(F.col("term"))).repartition(self.buckets, "bucket")
+            terms.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(self._dictionary(number))
+
     def delete(self, ids: DataFrame) -> Index:
         """A version without the documents whose id is in the first column of ``ids``; ids that no document has delete nothing."""
         if not self.segments:
@@ -207,7 +214,8 @@ class Index:
             rows = rows.where((F.col("bucket") == DOCS) | (F.size("docs") > 0))
             rows = rows.withColumn("n", F.when(F.col("bucket") == DOCS, F.col("n")).otherwise(F.size(F.array_distinct("docs"))))
         rows = rows.withColumn("slice", F.pmod(F.xxhash64("block"), F.lit(slices)).cast("int")).repartition(slices * self.buckets, "slice", "bucket")
-        rows.sortWithinPartitions("slice", "bucket", "term", "block").write.partitionBy("slice", "bucket").parquet(self._segment(number))
+        rows.sortWithinPartitions("slice", "bucket", "token", "block").write.partitionBy("slice", "bucket").parquet(self._segment(number))
+        self._name(number, self._read(number).where("token is not null").select("token").distinct())
         n_docs, n_tokens = self.totals()
         return self._commit(segments=((number, n_docs, n_tokens),), gone=())
 
@@ -224,17 +232,29 @@ class Index:
     def _segment(self, number: int) -> str:
         return f"{self.path}/segment-{number}"
 
+    def _dictionary(self, number: int) -> str:
+        return f"{self.path}/dictionary-{number}"
+
     def _read(self, number: int) -> DataFrame:
         if number not in self.opened:
-            schema = _POSTINGS.format(self.id_type).replace("token", "term") + ", slice int, bucket int"
+            schema = _POSTINGS.format(self.id_type) + ", slice int, bucket int"
             self.opened[number] = self.spark.read.schema(schema).parquet(self._segment(number))
         return self.opened[number]
 
     def _postings(self) -> DataFrame:
         return reduce(DataFrame.unionByName, [self._read(s[0]) for s in self.segments])
 
-    def _bucket(self, term: Column) -> Column:
-        return F.pmod(F.xxhash64(term), F.lit(self.buckets)).cast("int")
+    def _bucket(self, word: Column) -> Column:
+        return F.pmod(F.xxhash64(word), F.lit(self.buckets)).cast("int")
+
+    def _tokens(self, terms: DataFrame) -> DataFrame:
+        """(term, token): the tokens of the segments that stand for the terms in question."""
+        wanted = terms.select("term").distinct()
+        if self.analyzer == analyzer.PLAIN:
+            return wanted.withColumn("token", F.col("term"))
+        read = lambda number: self.spark.read.schema("token string, term string, bucket int").parquet(self._dictionary(number))
+        known = reduce(DataFrame.unionByName, [read(s[0]) for s in self.segments]).select("term", "token")
+        return known.join(broadcast_if_small(wanted), "term", "left_semi").distinct()
 
     def _dead(self) -> DataFrame | None:
         return self.spark.read.schema("block long, doc int, len int").parquet(*self.gone).distinct() if self.gone else None
@@ -262,11 +282,12 @@ class Index:
         return counted.withColumn("term", analyzer.term_of(F.col("token"), self.analyzer)).groupBy("qid", "term").agg(F.sum("times").alias("times"))
 
     def _of(self, terms: DataFrame, *columns: str) -> DataFrame:
-        """Posting rows of the terms in question; only their buckets are opened."""
-        wanted = terms.select("term").distinct().withColumn("b", self._bucket(F.col("term")))
+        """Posting rows of the terms in question, a row for each of a term's tokens; only their buckets are opened. ``terms`` may have their tokens beside them."""
+        held = terms if "token" in terms.columns else self._tokens(terms)
+        wanted = held.select("term", "token").withColumn("b", self._bucket(F.col("token")))
         buckets = [r["b"] for r in wanted.select("b").distinct().collect()]  # at most ``buckets``
-        rows = self._postings().where(F.col("bucket").isin(buckets)).select("term", "block", *columns)
-        return rows.join(broadcast_if_small(wanted.select("term")), "term", "left_semi")
+        rows = self._postings().where(F.col("bucket").isin(buckets)).select("token", "block", *columns)
+        return rows.join(broadcast_if_small(wanted.select("term", "token")), "token").select("term", "block", *columns)
 
     def frequencies(self, terms: DataFrame) -> DataFrame:
         """(term, df): in how many living documents each of the terms stands; terms of none are left out."""
@@ -303,7 +324,8 @@ class Index:
         if not n_docs:
             return kind.select("qid", F.lit(1).alias("rank"), F.lit(None).cast(self.id_type).alias("id"), F.lit(0.0).alias("score")).limit(0)
         terms = materialize(self.terms_of(queries, query_id, query_text), "asked")
-        df = materialize(self.frequencies(terms), "df")
+        held = materialize(self._tokens(terms), "held")
+        df = materialize(self.frequencies(held), "df")
         idf = F.greatest(F.log((F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
         asked = terms.join(broadcast_if_small(df), "term", "left").withColumn("need", F.count(F.lit(1)).over(Window.partitionBy("qid")))
         numbers = materialize(terms.select("qid").distinct().withColumn("q", F.monotonically_increasing_id()), "numbers")
@@ -311,7 +333,7 @@ class Index:
         asked = materialize(asked.join(broadcast_if_small(numbers), "qid"), "weights")
         mean = n_tokens / n_docs or 1.0
         part = lambda tf, length: F.col("weight") * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * length / F.lit(mean)))
-        heads = self._of(terms, "most", "least").join(broadcast_if_small(asked), "term")
+        heads = self._of(held, "most", "least").join(broadcast_if_small(asked), "term")
         bound = F.sum((F.ceil(part(F.col("most"), F.col("least")) * UNIT) + 1).cast("long"))  # of several tokens of a term, too: parts add up to more than the part of their sum
         blocks = heads.groupBy("qid", "block").agg(bound.alias("bound"), F.count_distinct("term").alias("met"), F.first("need").alias("need"))
         blocks = materialize(blocks.where("met = need").drop("met", "need") if every else blocks.drop("met", "need"), "bounds")
@@ -333,7 +355,7 @@ class Index:
             here = here.withColumn("out", F.array().cast("array<int>")) if out is None else here.join(
                 out.groupBy("block").agg(F.collect_set("doc").alias("out")), "block", "left").withColumn("out", F.coalesce("out", F.array().cast("array<int>")))  # of one block
             here = here.join(self._postings().where(F.col("bucket") == DOCS).select("block", "ids", "lens"), "block")
-            posts = self._of(terms, "docs", "ends").join(broadcast_if_small(chosen.select("block").distinct()), "block", "left_semi").join(of_term, "term")
+            posts = self._of(held, "docs", "ends").join(broadcast_if_small(chosen.select("block").distinct()), "block", "left_semi").join(of_term, "term")
             score = _score_block(k if allowed is None else None, every, mean)
             found = posts.groupBy("block").cogroup(here.groupBy("block")).applyInArrow(score, f"q long, block long, doc int, id {self.id_type}, score long")
             found = found.join(broadcast_if_small(numbers), "q").drop("q")

@@ -244,3 +244,17 @@ def test_only_postings_of_chosen_blocks_are_sent_to_be_scored(spark, monkeypatch
     monkeypatch.setattr(index, "_score_block", counted)
     new.top(spark.createDataFrame([(1, "common")], "qid int, text string"), 2).collect()
     assert 0 < sent.value <= 8  # of 60 blocks, in two passes
+
+
+def test_each_token_of_a_segment_is_stemmed_once(spark, monkeypatch):
+    monkeypatch.setattr(index, "BLOCK_DOCS", 10)
+    rows = [(i, "Taxes taxed taxing income incomes", "a") for i in range(100)]
+    new = index.create(spark, tempfile.mkdtemp(prefix="index-") + "/i", kind=analyzer.STEMMED, buckets=2).add(frame(spark, rows)).add(frame(spark, rows))
+    posts = new._postings().where("token is not null")
+    assert posts.count() >= 5 * 20  # a row a block
+    stems = {"Taxes": "tax", "taxed": "tax", "taxing": "tax", "income": "incom", "incomes": "incom"}
+    for number, *_ in new.segments:
+        named = spark.read.parquet(f"{new.path}/dictionary-{number}").select("token", "term").collect()
+        assert sorted(named) == sorted(stems.items())
+    asked = spark.createDataFrame([(1, "tax"), (2, "income")], "qid int, text string")
+    assert {(r["term"], r["df"]) for r in new.frequencies(new.terms_of(asked, "qid", "text")).collect()} == {("tax", 200), ("incom", 200)}
