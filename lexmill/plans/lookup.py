@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions.cite import parse_citation
-from lexmill.functions.ids import parent_of, section_of, source_url
+from lexmill.functions.ids import PREFIX, parent_of, section_of, source_url
 from lexmill.operators.lookup import keep_first, truncate_words
 from lexmill.plans.joins import broadcast_if_small
 from lexmill.plans.scratch import materialize
@@ -18,13 +18,16 @@ from lexmill.session import ship
 #: Characters of a text that are shown, if nothing else is asked for.
 MAX_CHARS = 6000
 
+#: A section and its pinpoints, written in full and nothing else: what most questions are. They can be read in one way only, so they never leave the JVM.
+PLAIN = r"\A(?:26 U\.S\.C\. )?§ ([0-9]{1,9}[A-Z]?)((?:\((?:[0-9a-z]{1,6}|[A-Z]{1,4})\))*)\z"
+
 _PARSED = [("canonical_id", pa.string()), ("display", pa.string()), ("source", pa.string()), ("url", pa.string()), ("problem", pa.string())]
 
 
 def coerce(asked: DataFrame, ask: str = "ask", citation: str = "citation") -> DataFrame:
     """(ask, citation, canonical_id, display, source, url, problem): what each text cites. A text that holds none or several citations has a problem and no id.
 
-    Each distinct text is parsed once.
+    Sections as ``PLAIN`` has them are read by expressions; each distinct text of another form is parsed once by the grammar.
     """
     ship(asked.sparkSession)
 
@@ -40,9 +43,18 @@ def coerce(asked: DataFrame, ask: str = "ask", citation: str = "citation") -> Da
             rows = [one(t) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([r.get(n) for r in rows], t) for n, t in _PARSED]], ["c", *[n for n, _ in _PARSED]])
 
-    texts = asked.select(F.coalesce(F.col(citation), F.lit("")).alias("c")).distinct()
+    rows = asked.select(F.col(ask).alias("ask"), F.col(citation).alias("citation"))
+    is_plain = F.coalesce("citation", F.lit("")).rlike(PLAIN)
+    section, pinpoints = (F.regexp_extract("citation", PLAIN, n) for n in (1, 2))
+    before, after = source_url("irc", "\0").split("\0")
+    plain = rows.where(is_plain).select(
+        "ask", "citation", F.concat(F.lit(PREFIX["irc"]), section, F.replace(F.replace(pinpoints, F.lit(")"), F.lit("")), F.lit("("), F.lit("/"))).alias("canonical_id"),
+        F.concat(F.lit("§ "), section, pinpoints).alias("display"), F.lit("irc").alias("source"), F.concat(F.lit(before), section, F.lit(after)).alias("url"), F.lit(None).cast("string").alias("problem"),
+    )
+    rows = rows.where(~is_plain)
+    texts = rows.select(F.coalesce("citation", F.lit("")).alias("c")).distinct()
     parsed = materialize(texts.mapInArrow(scan, "c string, " + ", ".join(f"{n} string" for n, _ in _PARSED)), "parsed")
-    return asked.select(F.col(ask).alias("ask"), F.col(citation).alias("citation")).join(parsed, F.coalesce("citation", F.lit("")) == F.col("c")).drop("c")
+    return plain.unionByName(rows.join(parsed, F.coalesce("citation", F.lit("")) == F.col("c")).drop("c"))
 
 
 def lookup(asked: DataFrame, provisions: DataFrame, *, whole: bool = True, max_chars: int = MAX_CHARS, ask: str = "ask", citation: str = "citation") -> DataFrame:

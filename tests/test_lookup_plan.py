@@ -38,3 +38,25 @@ def test_children_sections_notes_months_and_lengths(spark):
     assert [str(r["month"]) for r in lookup.rate_months(months).collect()] == ["2023-12-01", "2024-02-01"]
     totals = {r["source"]: (r["n"], r["n_sections"], r["mean_chars"]) for r in lookup.text_lengths(p).collect()}
     assert totals == {"irc": (5, 3, (14 + 12 + 6) / 3), "reg": (1, 1, 50.0)}
+
+
+def test_plain_sections_are_read_like_the_grammar_does_and_stay_in_the_jvm(spark, monkeypatch):
+    from lexmill.functions.cite import parse_citation
+    from lexmill.functions.ids import source_url
+
+    plain = [h + s + p for h in ("26 U.S.C. § ", "§ ") for s in ("1", "162", "263A", "007", "123456789") for p in ("", "(b)", "(a)(2)(B)(iv)", "(1)", "(IV)(aa)", "(no)(2024)", "(USC)(ch)")]
+    other = ["26 USC § 162", "§ 162\n", "§ 162(Rabkin)", "§ 162 (a)", "§§ 1, 2", "26 U.S.C. § 1400Z-2", "", None, "§ 1.162-1", "§ 162(a), (b)", "notice 5"]
+    texts = plain + other
+    sent = []
+    real = lookup.materialize
+    monkeypatch.setattr(lookup, "materialize", lambda df, label="table": sent.append(real(df, label)) or sent[-1])
+    out = lookup.coerce(spark.createDataFrame(list(enumerate(texts)), "ask int, citation string")).collect()
+    assert len(out) == len(texts) and {r["c"] for r in sent[0].collect()} == {t or "" for t in other}
+    for r in out:
+        try:
+            c = parse_citation(texts[r["ask"]] or "")
+        except ValueError as e:
+            assert r["problem"] == str(e) and r["canonical_id"] is None
+            continue
+        url = source_url(c["source"], c["section"], c["path"])
+        assert (r["canonical_id"], r["display"], r["source"], r["url"], r["problem"]) == (c["canonical_id"], c["display"], c["source"], url, None), texts[r["ask"]]
